@@ -8,6 +8,7 @@ among the pieces of its length picks the slot of that number.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,8 @@ class WordEncoder:
     ids of a word are kept. Words are cut here for texts of Latin-1 characters,
     which are their own NFC form; other texts go through the tokenizer whole."""
 
-    KEPT = 400_000
+    #: Distinct words held at most, about 150 bytes each.
+    KEPT = 1_000_000
 
     def __init__(self, path: str):
         import re
@@ -39,6 +41,7 @@ class WordEncoder:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         latin = [chr(i) for i in range(256)]
@@ -61,7 +64,8 @@ class WordEncoder:
         except KeyError:
             if len(cache) > self.KEPT:
                 cache.clear()
-            cache.update((w, self._encode(w)) for w in {*words} - cache.keys())
+            new = [w for w in {*words} if w not in cache]
+            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
             return b"".join(map(cache.__getitem__, words))
 
 
