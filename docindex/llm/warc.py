@@ -79,13 +79,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     empty payload) into gzipped archives under ``path``."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_digest", payload_digest(F.col("payload"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    total, repeats = rows.agg(F.sum("payload_bytes"), F.count("*") - F.count("page_id")).first()
+    rows = rows.withColumn("_id", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    total = rows.agg(F.sum("payload_bytes")).first()[0]
     parts = max(1, -(-(total or 0) // ARCHIVE_BYTES))
-    heads = resolve_revisits(rows.drop("payload"), min_bytes).where("refers_to is not null").select("page_id", "payload_digest", "refers_to", "refers_url").distinct()
-    # Rows without an id may repeat; a digest spreads all others evenly.
-    same = (F.col("r.page_id").eqNullSafe(F.col("h.page_id")) if repeats else F.col("r.page_id") == F.col("h.page_id")) & (F.col("r.payload_digest") == F.col("h.payload_digest"))
-    found = rows.alias("r").join(heads.alias("h"), same, "left").select("r.*", "h.refers_to", "h.refers_url")
-    out = found.repartition(parts, F.xxhash64("page_id", "payload_digest")).select(record(date).alias("value"))
+    heads = resolve_revisits(rows.drop("payload"), min_bytes).where("refers_to is not null").select("_id", "payload_digest", "refers_to", "refers_url").distinct()
+    # Payloads move once: the partitions that they are joined in are the archives.
+    found = rows.repartition(parts, "_id", "payload_digest").join(heads, ["_id", "payload_digest"], "left")
+    out = found.select(record(date).alias("value"))
     out.write.option("lineSep", _EOL * 2).option("compression", "gzip").text(path)
 
 
