@@ -9,12 +9,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import attach
+
 #: Rows of text per Arrow batch; long texts make batches of more rows too large.
 TEXT_BATCH = 1000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables; also bounds Arrow batches, whose rows hold texts."""
+    attach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
