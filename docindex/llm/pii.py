@@ -49,10 +49,14 @@ def find_base(docs: DataFrame) -> DataFrame:
     """Add an array column of (start, end, value) for each kind; needs ``text`` without nulls."""
     for kind in KINDS:
         docs = with_matches(docs, kind, "text", PATTERNS[kind])
-        docs = docs.withColumn(kind, F.filter(F.col(kind), lambda s, k=kind: is_valid(k, s["value"])))
+        docs = docs.withColumn(kind, _valid(kind))
     return docs
 
 
+def _valid(kind: str) -> Column:
+    return F.filter(F.col(kind), lambda s: is_valid(kind, s["value"]))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """Seeds and candidates with their lexical patterns: key, start, end, instance,
     kind (null for candidates), patterns."""

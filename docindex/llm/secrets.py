@@ -129,7 +129,7 @@ def candidates(index: DataFrame, rules: list[Rule], trigrams: list[str]) -> Data
     """Intersect postings: (key, rules) of the documents that can match some rule with trigrams."""
     at = {t: n for n, t in enumerate(trigrams)}
     words = range(-(-len(trigrams) // 63))
-    bit = F.shiftleft(F.lit(1).cast("long"), F.col("trigram") % 63)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("trigram") % 63)
     sets = index.groupBy("key").agg(*(F.bit_or(F.when(F.floor(F.col("trigram") / 63) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{w}") for w in words))
 
     def holds(way: frozenset[str]) -> Column:
@@ -169,10 +169,14 @@ def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
             out = out.withColumn("_searched", F.col("_text"))
         out = with_matches(out, name, "_searched", rule.pattern)
         if rule.check:
-            out = out.withColumn(name, F.filter(name, lambda s, c=rule.check: s["value"].rlike(c)))
+            out = out.withColumn(name, _checked(name, rule.check))
     return out.drop("_text", "_searched", "key", "rules")
 
 
+def _checked(name: str, check: str) -> Column:
+    return F.filter(name, lambda s: s["value"].rlike(check))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; overlapping ones count as one.
     ``n_chars``, if there, follows the text. Null texts stay null."""
@@ -184,7 +188,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     def step(s: Column, p: Column) -> Column:
         gap = F.array(F.struct(s["at"].alias("start"), p["start"].alias("end")))
-        return F.struct(F.greatest(s["at"], p["end"]).alias("at"), F.when((p["start"] >= s["at"]) & ((p["start"] > s["at"]) | (s["at"] == 0)), F.concat(s["gaps"], gap)).when(p["start"] >= s["at"], F.concat(s["gaps"], gap)).otherwise(s["gaps"]).alias("gaps"))
+        return F.struct(F.greatest(s["at"], p["end"]).alias("at"), F.when(p["start"] >= s["at"], F.concat(s["gaps"], gap)).otherwise(s["gaps"]).alias("gaps"))
 
     found = found.withColumn("_kept", F.aggregate("_spans", empty, step))
     pieces = F.transform(F.col("_kept.gaps"), lambda g: F.substring(F.col("text"), g["start"] + 1, g["end"] - g["start"]))

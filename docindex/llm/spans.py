@@ -55,7 +55,11 @@ def with_matches(df: DataFrame, name: str, text: str, pattern: str, context: boo
 
 def labelled(kinds: list[str]) -> Column:
     """All spans of columns named like their kinds, by start, then by the order of ``kinds``: (start, order, end, kind)."""
-    return F.array_sort(F.concat(*(F.transform(F.col(k), lambda s, n=n, k=k: F.struct(s["start"].alias("start"), F.lit(n).alias("order"), s["end"].alias("end"), F.lit(k).alias("kind"))) for n, k in enumerate(kinds))))
+
+    def of(order: int, kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    return F.array_sort(F.concat(*(of(n, k) for n, k in enumerate(kinds))))
 
 
 def joined(spans: Column) -> Column:
