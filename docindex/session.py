@@ -1,14 +1,18 @@
-"""Bringing the package to where a session's tasks run."""
+"""What a session needs: the package where its tasks run, and tables that outlive
+executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _attached: set[str] = set()
+#: Folders made for local applications that name none.
+_local: dict[str, str] = {}
 
 
 def attach(spark: SparkSession) -> None:
@@ -24,3 +28,33 @@ def attach(spark: SparkSession) -> None:
             out.write(source, Path(root.name) / source.relative_to(root))
     context.addPyFile(str(archive))
     _attached.add(context.applicationId)
+
+
+def load_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    attach(spark)
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir``
+    names it. Only where that is unset (local tests) a temporary folder is made."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="docindex-")
+        _local[spark.sparkContext.applicationId] = folder
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: later
+    steps read files that survive the loss of executors, and lineage ends here."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
