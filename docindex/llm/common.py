@@ -3,13 +3,10 @@ outlive executors, row keys and joins that survive a hot key."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import attach
+from ..session import load_table, materialize, new_path, shared_dir  # noqa: F401
 
 #: Rows of text per Arrow batch; long texts make batches of more rows too large.
 TEXT_BATCH = 1000
@@ -17,30 +14,8 @@ TEXT_BATCH = 1000
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One of the given tables; also bounds Arrow batches, whose rows hold texts."""
-    attach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir``
-    names it. Only where that is unset (local tests) a temporary folder is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="docindex-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: later
-    steps read files that survive the loss of executors, and lineage ends here."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return load_table(spark, sf_dir, table)
 
 
 def row_key(*cols: Column) -> Column:
