@@ -25,6 +25,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text without any match of the kind mostly lacks; cheaper to look for.
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Something with a digit or an at sign that may be an identifier.
 OTHER = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z_.-]{0,24}+[0-9@])[A-Za-z0-9]++(?:[-_./:@]++[A-Za-z0-9]++)*+"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
@@ -48,9 +50,15 @@ def is_valid(kind: str, value: Column) -> Column:
 def find_base(docs: DataFrame) -> DataFrame:
     """Add an array column of (start, end, value) for each kind; needs ``text`` without nulls."""
     for kind in KINDS:
-        docs = with_matches(docs, kind, "text", PATTERNS[kind])
+        docs = docs.withColumn("_searched", _hinted(HINTS[kind]))
+        docs = with_matches(docs, kind, "_searched", PATTERNS[kind])
         docs = docs.withColumn(kind, _valid(kind))
-    return docs
+    return docs.drop("_searched")
+
+
+def _hinted(hint: str) -> Column:
+    """The text if it has what any match has, else nothing to search."""
+    return F.when(F.col("text").rlike(hint), F.col("text")).otherwise(F.lit(""))
 
 
 def _valid(kind: str) -> Column:
@@ -61,7 +69,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """Seeds and candidates with their lexical patterns: key, start, end, instance,
     kind (null for candidates), patterns."""
     every = "|".join([*(f"(?:{PATTERNS[k]})" for k in ("email", "phone", "ip", "card")), f"(?:{OTHER})"])
-    found = with_matches(docs.select("key", "text"), "seen", "text", every, context=True)
+    found = with_matches(docs.where(F.col("text").rlike("[0-9@]")).select("key", "text"), "seen", "text", every, context=True)
     enough = lambda s: (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 4) | s["value"].contains("@")
     one = found.select("key", F.explode(F.filter("seen", enough)).alias("s")).select("key", "s.*")
     kind = F.coalesce(*(F.when(F.col("value").rlike(f"^(?:{PATTERNS[k]})$") & is_valid(k, F.col("value")), F.lit(k)) for k in KINDS))

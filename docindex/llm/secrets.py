@@ -35,7 +35,7 @@ class Rule:
 RULES = [
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}$"""),
     Rule("access", r"AKIA[A-Z0-9]+", r"^.{18,}$"),
-    Rule("hex", r"(?<![0-9a-f])[0-9a-f]{16,}"),
+    Rule("hex", r"[0-9a-f]{16,}"),
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
