@@ -155,22 +155,21 @@ def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Add to ``docs`` (doc_id, text and others) an array column (start, end, value) for
     each rule, named like it after ``secret_``. Null texts count as empty; rows
     and other columns stay as they are."""
-    keyed = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("key", row_key(F.col("doc_id"), F.col("_text")))
+    text, key, passed = "_secret_text", "_secret_key", "_secret_rules"  # docs may have columns of any plainer name
+    keyed = docs.withColumn(text, F.coalesce("text", F.lit(""))).withColumn(key, row_key(F.col("doc_id"), F.col(text)))
     picky = [r for r in rules if trigram_query(r.pattern)]
     trigrams = sorted({t for r in picky for clause in trigram_query(r.pattern) for way in clause for t in way})
-    able = candidates(postings(keyed.select("key", F.col("_text").alias("text")), trigrams), picky, trigrams)
-    able = materialize(able, "candidates")
-    out = keyed.join(able.hint("shuffle_hash"), "key", "left")
+    able = candidates(postings(keyed.select(F.col(key).alias("key"), F.col(text).alias("text")), trigrams), picky, trigrams)
+    able = materialize(able.select(F.col("key").alias(key), F.col("rules").alias(passed)), "candidates")
+    out = keyed.join(able.hint("shuffle_hash"), key, "left")
     for rule in rules:
         name = f"secret_{rule.name}"
-        if rule in picky:
-            out = out.withColumn("_searched", F.when(F.array_contains("rules", rule.name), F.col("_text")).otherwise(F.lit("")))
-        else:
-            out = out.withColumn("_searched", F.col("_text"))
-        out = with_matches(out, name, "_searched", rule.pattern)
+        search = F.array_contains(passed, rule.name) if rule in picky else F.lit(True)
+        out = out.withColumn("_secret_searched", F.when(search, F.col(text)).otherwise(F.lit("")))
+        out = with_matches(out, name, "_secret_searched", rule.pattern)
         if rule.check:
             out = out.withColumn(name, _checked(name, rule.check))
-    return out.drop("_text", "_searched", "key", "rules")
+    return out.drop(text, "_secret_searched", key, passed)
 
 
 def _checked(name: str, check: str) -> Column:
