@@ -41,6 +41,9 @@ BLOCK = 512
 
 _U = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], _U)
+_BASE = 0xD1342543DE82EF95
+#: Bytes of text that are hashed at once, up to the next white space.
+_PIECE = 1 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,33 +52,70 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    keep = np.empty(len(x), bool)
+    keep[:1] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
 
 
 class Shingler:
-    """Sorted hashes of a text's distinct shingles."""
+    """Sorted hashes of a text's distinct shingles.
+
+    Words are runs of bytes other than ASCII white space, A-Z in lower case. All words of
+    a text are hashed at once: with prefix sums of byte values times powers of an
+    odd base, a word's hash is a difference, divided by the power at its start."""
 
     def __init__(self, words: int = WORDS):
-        self.n, self.hashes = words, _WordHashes()
+        self.n = words
+        lower = np.arange(256)
+        lower[65:91] += 32
+        self.value = _mix(np.arange(1, 257, dtype=_U))[lower]
+        self.blank = np.zeros(256, bool)
+        self.blank[[32, *range(9, 14)]] = True
+        self.power = self.inverse = np.ones(1, _U)
+
+    def _powers(self, n: int) -> None:
+        n = 1 << (n - 1).bit_length()
+        with np.errstate(over="ignore"):
+            self.power, self.inverse = (np.concatenate([[_U(1)], np.cumprod(np.full(n, b, _U))]) for b in (_BASE, pow(_BASE, -1, 2**64)))
+
+    def words(self, raw: bytes) -> np.ndarray:
+        """Hashes of the words, in order."""
+        if len(raw) <= _PIECE:
+            return self._words(np.frombuffer(raw, np.uint8))
+        b = np.frombuffer(raw, np.uint8)
+        cuts = np.flatnonzero(self.blank[b])
+        ends, at = [], 0
+        while len(b) - at > _PIECE:
+            k = np.searchsorted(cuts, at + _PIECE)
+            if k == len(cuts):
+                break
+            at = int(cuts[k])
+            ends.append(at)
+        return np.concatenate([self._words(p) for p in np.split(b, ends)])
+
+    def _words(self, b: np.ndarray) -> np.ndarray:
+        if len(b) >= len(self.power):
+            self._powers(len(b) + 1)
+        edge = np.ones(len(b) + 2, np.int8)
+        edge[1:-1] = self.blank[b]
+        step = np.diff(edge)
+        starts, ends = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
+        total = np.zeros(len(b) + 1, _U)
+        np.cumsum(self.value[b] * self.power[: len(b)], out=total[1:])
+        return _mix((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(_U))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        # lower() and split() of bytes know ASCII letters and white space only
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.empty(0, _U)
-        h = np.fromiter(map(self.hashes.__getitem__, words), _U, len(words))
-        n = min(self.n, len(words))
-        total = np.full(len(words) - n + 1, n, _U)
+        h = self.words((text or "").encode())
+        if not len(h):
+            return h
+        n = min(self.n, len(h))
+        total = np.full(len(h) - n + 1, n, _U)
         for k in range(n):
-            total += _mix(h[k : k + len(total)] ^ _FACTORS[k % 5]) * _FACTORS[k % 5]
-        return np.unique(_mix(total))
+            total += h[k : k + len(total)] * _FACTORS[k]
+        return _distinct(_mix(total))
 
 
 def class_ids(s: np.ndarray) -> tuple[int, int]:
@@ -104,7 +144,25 @@ def segments(s: np.ndarray, band: int) -> np.ndarray:
     return np.bitwise_xor.reduceat(s, np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])))
 
 
-def join_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+class Members:
+    """A set of hashes to look others up in; most are told apart by a table of their top bits."""
+
+    BITS = 22
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.sort(values)
+        self.top = np.zeros(1 << self.BITS, bool)
+        self.top[self.values >> _U(64 - self.BITS)] = True
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        out = self.top[x >> _U(64 - self.BITS)]
+        if out.any():
+            some = x[out]
+            out[out] = self.values[np.minimum(np.searchsorted(self.values, some), len(self.values) - 1)] == some
+        return out
+
+
+def join_keys(s: np.ndarray, common: Members) -> np.ndarray:
     """Keys of a set of hashes; sets of sizes 16^k to 16^(k+1) - 1 meet in band k,
     and those near its lower end also in the band below."""
     n = len(s)
@@ -117,11 +175,10 @@ def join_keys(s: np.ndarray, common: np.ndarray) -> np.ndarray:
         own = segments(s, k)
         keys = _mix(own ^ _U(0x632BE59BD9B4E019 * (k + 1) % 2**64)) >> _U(1)
         take = max_difference(n, top) + 1
-        if len(common):
-            late = common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
-            if late.any():
-                cold, hot = keys[~late], keys[late]
-                keys = cold if len(cold) >= take else np.concatenate([cold, np.partition(hot, min(take - len(cold), len(hot)) - 1)[: take - len(cold)]])
+        late = common.has(own)
+        if late.any():
+            cold, hot = keys[~late], keys[late]
+            keys = cold if len(cold) >= take else np.concatenate([cold, np.partition(hot, min(take - len(cold), len(hot)) - 1)[: take - len(cold)]])
         out.append(np.partition(keys, take - 1)[:take] if len(keys) > take else keys)
     return np.concatenate(out)
 
@@ -163,7 +220,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _emit(common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen = Shingler(), set()
+        shingles, seen, members = Shingler(), set(), Members(common)
         for batch in batches:
             keys, owners = [np.empty(0, _U)], [np.empty(0, np.int64)]
             for text in batch.column(0):
@@ -172,7 +229,7 @@ def _emit(common: np.ndarray):
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(a)
-                keys.append(join_keys(s, common))
+                keys.append(join_keys(s, members))
                 owners.append(np.full(len(keys[-1]), a, np.int64))
             yield _arrow(["key", "cls"], np.concatenate(keys).view(np.int64), np.concatenate(owners))
 
@@ -224,11 +281,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = int(cls[-1])
 
 
-def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """Whether dense sketches (rows of 64-bit words) of sets of these sizes allow a link."""
+def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether dense sketches (rows of 64-bit words) of sets of these sizes allow a
+    link, and how far apart they are for their sizes."""
     lo, hi = np.minimum(nx, ny), np.maximum(nx, ny)
     apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-    return (100 * lo >= PERCENT * hi) & (apart * (100 + PERCENT) <= (nx + ny) * (100 - PERCENT))
+    return (100 * lo >= PERCENT * hi) & (apart * (100 + PERCENT) <= (nx + ny) * (100 - PERCENT)), (apart + hi - lo) / (nx + ny)
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -238,64 +296,93 @@ def _words(column: pa.Array) -> np.ndarray:
 def _sketch_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
-        ok = _near(_words(batch.column(4)), _words(batch.column(5)), na, nb) if len(a) else np.empty(0, bool)
-        yield _arrow(["a", "b"], a[ok], b[ok])
+        ok, far = _near(_words(batch.column(4)), _words(batch.column(5)), na, nb) if len(a) else (np.empty(0, bool), np.empty(0))
+        yield _arrow(["a", "b", "far"], a[ok], b[ok], far[ok])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(best: bool):
     """Pairs of classes of different components in a block of a bucket, from rows
     (key, i, j, own, cls, root, n, sketch) by block (key, i, j). Rows of the
-    block i come as own; they meet each other if i = j, else those of block j."""
-    names = ["a", "b"]
-    rest = None
+    block i come as own; they meet each other if i = j, else those of block j.
+    With ``best`` the closest pair of each two components, else all that sketches allow."""
+    names = ["a", "b", "x", "y", "far"]
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
         t = t.combine_chunks()
         key, i, j, own, cls, root, n = (t.column(k).to_numpy() for k in range(7))
         sketch = _words(t.column(7).combine_chunks())
         starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        at = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        sizes = np.diff(np.append(starts, len(key)))
+        at = np.repeat(np.arange(len(starts)), sizes)
         out = []
-        for step in range(1, int(np.diff(np.append(starts, len(key))).max())):
+        for step in range(1, int(sizes.max())):
             x = np.flatnonzero(at[step:] == at[:-step])
             y = x + step
-            x, y = (v[(root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))] for v in (x, y))
+            differ = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+            x, y = x[differ], y[differ]
             if len(x):
-                ok = _near(sketch[x], sketch[y], n[x], n[y])
-                out.append((cls[x[ok]], cls[y[ok]]))
+                ok, far = _near(sketch[x], sketch[y], n[x], n[y])
+                x, y = x[ok], y[ok]
+                swap = root[x] > root[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                out.append((cls[x], cls[y], root[x], root[y], far[ok]))
         if not out:
             return None
-        a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-        ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return _arrow(names, ab[:, 0], ab[:, 1])
+        a, b, x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
+        order = np.lexsort((b, a, far, y, x) if best else (far, b, a))
+        first, second = (x[order], y[order]) if best else (a[order], b[order])
+        new = np.ones(len(order), bool)
+        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        keep = order[new]
+        return _arrow(names, a[keep], b[keep], x[keep], y[keep], far[keep])
 
-    for batch in batches:
-        if not len(batch):
-            continue
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        key, i, j = (t.column(k).to_numpy() for k in range(3))
-        cut = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
-        cut = int(cut[-1]) + 1 if len(cut) else 0
-        rest = t.slice(cut)
-        if cut and (got := compare(t.slice(0, cut))) is not None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            key, i, j = (t.column(k).to_numpy() for k in range(3))
+            cut = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            rest = t.slice(cut)
+            if cut and (got := compare(t.slice(0, cut))) is not None:
+                yield got
+        if rest is not None and len(rest) and (got := compare(rest)) is not None:
             yield got
-    if rest is not None and len(rest) and (got := compare(rest)) is not None:
-        yield got
+
+    return run
+
+
+def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed texts whose class is the one that their id stands for, once in each task."""
+    import zstandard
+
+    shingles, seen, pack = Shingler(), set(), zstandard.ZstdCompressor(3).compress
+    for batch in batches:
+        rows = []
+        for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if cls not in seen and class_ids(shingles(text))[0] == cls:
+                seen.add(cls)
+                rows.append((cls, pack(text.encode())))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "text"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles = Shingler()
+    import zstandard
+
+    shingles, unpack = Shingler(), zstandard.ZstdDecompressor().decompress
 
-    @lru_cache(256)
-    def of(text: str) -> np.ndarray:
-        return shingles(text)
+    @lru_cache(512)
+    def of(blob: bytes) -> np.ndarray:
+        return shingles(unpack(blob).decode())
 
     for batch in batches:
         ok = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             s, t = of(x.as_py()), of(y.as_py())
-            both = len(np.intersect1d(s, t, assume_unique=True))
+            both = len(s) + len(t) - len(_distinct(np.concatenate([s, t])))
             ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
         keep = np.array(ok, bool)
         yield _arrow(["a", "b"], batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep])
@@ -322,50 +409,50 @@ def link_components(docs: DataFrame) -> DataFrame:
     same = F.when(F.min("b") == F.max("b"), F.min("n")).otherwise(F.raise_error(F.lit("two sets have one digest")))
     classes = materialize(survey.where("tag = 0 and n > 0").groupBy(F.col("a").alias("cls")).agg(same.cast("long").alias("n"), F.max("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "classes")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Those of distinct pairs of classes that are linked."""
-        need = materialize(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "need")
-        who = classes.join(need, "cls", "left_semi").select("cls", "doc_id")
-        with_id = docs.join(who.where("doc_id is not null"), "doc_id").select("cls", "text")
-        texts = materialize(with_id.mapInArrow(_of_class, "cls long, text string"), "texts")
+    sizes = classes.select("cls", "n", "sketch")
+    a, b = (sizes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    pool = met.where("tag = 0").select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
+    pool = materialize(pool.mapInArrow(_sketch_pairs, PAIR + ", far double"), "pool")
+    bucket = materialize(met.where("tag = 1").select(F.col("a").alias("key"), F.col("b").alias("cls")), "buckets")
+    need = pool.select(F.col("a").alias("cls")).unionByName(pool.select(F.col("b").alias("cls"))).unionByName(bucket.select("cls")).distinct()
+    who = classes.where("doc_id is not null").join(need, "cls", "left_semi").select("cls", "doc_id")
+    texts = materialize(docs.join(who, "doc_id").select("cls", "text").mapInArrow(_of_class, "cls long, text binary"), "texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) of classes that are linked."""
+        some = materialize(pairs.select("a", "b"), "pairs")
         a, b = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+        both = some.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(_verify, PAIR).distinct(), "links")
 
-    sizes = classes.select("cls", "n", "sketch")
-    a, b = (sizes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    pairs = met.where("tag = 0").select("a", "b").distinct().join(a, "a").join(b, "b")
-    first = links(materialize(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sketch_pairs, PAIR), "pairs"))
-    roots = materialize(components(first), "roots")
-
-    bucket = met.where("tag = 1").select(F.col("a").alias("key"), F.col("b").alias("cls")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = bucket.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    dealt = bucket.join(mixed, "key").join(sizes, "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("own"), "cls", "root", "n", "sketch")
-    late = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across, PAIR).distinct()
-    second = links(materialize(late, "late"))
-    roots = components(first.unionByName(second))
-
-    roots = materialize(roots, "roots")
+    def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+        known = links if roots is None else links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+        return materialize(components(known), "roots")
+
+    def rooted(df: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
+        return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
+
+    # The closest pair of each class first; then what is still apart.
+    closest = materialize(pool.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b"), "closest")
+    roots = merged(None, verified(closest))
+    apart = rooted(rooted(pool.join(closest, ["a", "b"], "left_anti"), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
+    roots = merged(roots, verified(apart))
+    # Buckets that hold several components: the closest pair of each two, while that joins any; then all pairs.
+    for best in (True, True, False):
+        members = rooted(bucket, roots, "cls", "root")
+        mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+        dealt = members.join(mixed, "key").join(sizes, "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+        spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("own"), "cls", "root", "n", "sketch")
+        late = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(best), PAIR + ", x long, y long, far double")
+        if best:
+            late = late.groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
+        roots = merged(roots, verified(late.select("a", "b").distinct()))
     smallest = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("doc_id").alias("component_id"))
     of_class = classes.select("cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")).join(smallest, "root").select("cls", "component_id")
     found = rows.where("n > 0").join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts whose class is the one that their id stands for, once in each task."""
-    shingles, seen = Shingler(), set()
-    for batch in batches:
-        keep = []
-        for cls, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ok = cls not in seen and class_ids(shingles(text.as_py()))[0] == cls
-            if ok:
-                seen.add(cls)
-            keep.append(ok)
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id; of repeated
     rows with one id one stays. Documents with a null doc_id stay."""
