@@ -24,6 +24,10 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+").findall
 #: A word counts as itself and by its beginnings of these lengths, as insults are inflected.
 STEMS = (3, 4, 5)
+#: A feature has to be so many times as frequent in toxic documents as in others.
+RATIO = 3.0
+#: And to occur in that share of the toxic ones; what is rarer is learnt by heart, wrong labels included.
+SHARE = 0.02
 
 
 def features(word: str) -> list[str]:
@@ -84,13 +88,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"feature": pa.array(words, pa.string()), "n1": pa.array([toxic[w] for w in words], pa.int64()), "n0": pa.array([clean[w] for w in words], pa.int64())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_features: int = 1_000, steps: int = 400, l2: float = 1e-4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_features: int = 1_000, steps: int = 400, l2: float = 1e-5) -> Model:
     """Fit on labelled documents that aren't held out.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; rows with a null in
     any of these teach nothing. At most ``max_docs`` documents are used, those of
-    the lowest hash of doc_id, and at most ``max_features`` features, those whose
-    document frequencies differ most between the classes; both bound what reaches
+    the lowest hash of doc_id, and at most ``max_features`` features, those that are
+    most typical of toxic documents; both bound what reaches
     the driver. Without labels of both classes the model scores every text 0."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
@@ -103,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_features
         table = sample.mapInArrow(_counts, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
         p, q = (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + 0.5) / (n0 + 1)
         gap = F.abs(p - q) / F.sqrt((F.col("n1") + F.col("n0") + 1) / (n1 + n0 + 2.0))
-        best = [r["feature"] for r in table.where(F.col("n1") + F.col("n0") >= 3).orderBy(gap.desc(), "feature").limit(max_features).collect()]
+        telling = (F.col("n1") >= max(3, SHARE * n1)) & (p >= RATIO * q)
+        best = [r["feature"] for r in table.where(telling).orderBy(gap.desc(), "feature").limit(max_features).collect()]
         index = {f: i for i, f in enumerate(best)}
 
         def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
