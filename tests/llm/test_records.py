@@ -237,3 +237,23 @@ def test_warc_edges(spark):
     path = new_path(spark, "test-warc")
     warc.write_archives(small.limit(0), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+# SQL ----------------------------------------------------------------------------
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data here")
+@pytest.mark.parametrize("name", ["op9_chat", "op10_warc"])
+def test_sql_twin(spark, name):
+    import duckdb
+
+    from docindex import llm
+
+    con = duckdb.connect()
+    for table in ("conversations", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+    got = llm.QUERIES[name](spark, "/root/testdata/sf0.001")
+    cursor = con.execute(llm.ORACLE_SQL[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, cursor.fetchall()))
