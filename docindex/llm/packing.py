@@ -9,6 +9,7 @@ among the pieces of its length picks the slot of that number.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,16 +26,37 @@ from .common import load, materialize
 RANKED = 20_000
 
 
-class WordEncoder:
-    """Token ids of texts, as little-endian 32-bit bytes.
-
-    The tokenizer cuts a text into words and encodes each word by itself, so the
-    ids of a word are kept. Words are cut here for texts of Latin-1 characters,
-    which are their own NFC form; other texts go through the tokenizer whole."""
+class _Words(dict):
+    """Ids of words as bytes, encoded when first seen."""
 
     #: Distinct words held at most, about 150 bytes each.
     KEPT = 1_000_000
 
+    def __init__(self, model):
+        super().__init__()
+        # Byte-level vocabularies write bytes as characters: printable ones as
+        # themselves, the others as those from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        byte = [chr(b if b in printable else next(others)) for b in range(256)]
+        self.model, self.written = model, {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > self.KEPT:
+            self.clear()
+        ids = [t.id for t in self.model.tokenize(word.translate(self.written))]
+        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+class WordEncoder:
+    """Token ids of texts, as little-endian 32-bit bytes.
+
+    The tokenizer cuts a text into words and its model encodes each word by itself, so
+    the ids of a word are kept. Words are cut here for texts of Latin-1
+    characters, which are their own NFC form; other texts go through the tokenizer
+    whole, and so do all if it turns out to work in another way."""
+
     def __init__(self, path: str):
         import re
 
@@ -48,25 +70,24 @@ class WordEncoder:
         of = lambda kind: "".join(re.escape(c) for c in latin if regex.fullmatch(kind, c))
         letters, numbers, blanks = of(r"\p{L}"), of(r"\p{N}"), of(r"[\t-\r \x85\xa0]")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+").findall
-        self.cache: dict[str, bytes] = {}
+        self.ids = _Words(self.tokenizer.model)
+        sample = "It's a Sample, 42 ÀÉ!? " + "".join(latin[33:])
+        self.by_word = self._words(sample) == self._whole(sample)
 
-    def _encode(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self.ids.__getitem__, self.words(text.lower())))
+
     def __call__(self, text: str) -> bytes:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self._encode(text)
-        cache, words = self.cache, self.words(text.lower())
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            if len(cache) > self.KEPT:
-                cache.clear()
-            new = [w for w in {*words} if w not in cache]
-            cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
-            return b"".join(map(cache.__getitem__, words))
+        if self.by_word:
+            try:
+                text.encode("latin-1")
+                return self._words(text)
+            except UnicodeEncodeError:
+                pass
+        return self._whole(text)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

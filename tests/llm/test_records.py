@@ -30,6 +30,7 @@ def tokenizer():
 def test_encoder_is_the_tokenizer(tokenizer):
     path, plain = tokenizer
     encode = packing.WordEncoder(path)
+    assert encode.by_word
     rng = random.Random(6)
     texts = ["".join(chr(rng.choice([rng.randrange(1, 256), rng.randrange(32, 127)])) for _ in range(60)) for _ in range(400)]
     texts += [chr(c) + "a" + chr(c) for c in range(1, 256)] + ["it's 'S we'll I'D x''s", "Straße ÀÉÎ ß µ", "日本 😀 İı é", "", "a1b22 ½²", "\x85\xa0x\x1c\x1fy"]
