@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import join_by_key, load, materialize
 
 #: Bytes: window of the rolling hash, least and most in a chunk, and mean distance of borders.
-WINDOW, LEAST, MOST, MEAN = 32, 16, 512, 24
+WINDOW, LEAST, MOST, MEAN = 32, 12, 512, 16
 #: Code points that chunks in a row have to cover to count as a repeated passage.
 MIN_PASSAGE = 100
 
