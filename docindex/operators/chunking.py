@@ -145,6 +145,25 @@ def chunk_documents(df: DataFrame, max_tokens: int = 800, min_tokens: int = 50,
     return docs.select("source_file", "title", module_of("source_file").alias("module"), chapter_of("source_file").alias("chapter"), "chunk_no", "_c.content", "_c.tokens", "_c.section_title", "_c.symbol")
 
 
+def chunk_documents_with(df: DataFrame, count: Callable[[str], int], max_tokens: int = 800, min_tokens: int = 50) -> DataFrame:
+    """``chunk_documents`` with a counter of strings, such as a BPE encoder's length,
+    whose counts need not add up. Runs in Python, a document at a time."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from ..helpers.sections import chunk
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["source_file", "title", "chunk_no", "content", "tokens", "section_title", "symbol"]
+        for batch in batches:
+            rows = [(f, t, n, *c.values()) for f, t, text in batch.itertuples(index=False, name=None) for n, c in enumerate(chunk(text, max_tokens, min_tokens, count))]
+            yield pd.DataFrame(rows, columns=names)
+
+    chunks = df.where(~is_blank("content")).select("source_file", "title", "content").mapInPandas(run, "source_file string, title string, chunk_no int, content string, tokens int, section_title string, symbol string")
+    return chunks.select("source_file", "title", module_of("source_file").alias("module"), chapter_of("source_file").alias("chapter"), "chunk_no", "content", "tokens", "section_title", "symbol")
+
+
 #: The columns of the index, whatever a chunk comes from.
 CHUNK_COLUMNS = {
     "chunk_id": "string", "source_key": "string", "chunk_no": "int", "content": "string", "source_type": "string",

@@ -302,6 +302,15 @@ def c9_chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents(d.md_docs(spark, sf)).select("source_file", "chunk_no", "tokens", _md5("content"), "symbol", "section_title", "chapter")
 
 
+@query(ORACLE_SQL["c9_chunk_documents"])
+def c9_chunk_documents_with(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a counter of strings, as a BPE encoder would be."""
+    import re
+
+    pieces = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f]")
+    return chunking.chunk_documents_with(d.md_docs(spark, sf), lambda s: len(pieces.findall(s))).select("source_file", "chunk_no", "tokens", _md5("content"), "symbol", "section_title", "chapter")
+
+
 # Code -------------------------------------------------------------------------
 
 _LINES = "lines AS (SELECT project, relative_path, string_split(content, chr(10)) AS ls, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM f)"

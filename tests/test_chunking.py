@@ -73,6 +73,17 @@ def test_text_keeps_its_order(spark, paragraphs):
     assert all(r["tokens"] <= 7 or "\n\n" not in r["content"] for r in rows)
 
 
+def test_both_versions_agree(spark):
+    import re
+
+    count = lambda s: len(re.findall(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f]", s))
+    texts = [GATE, "a\n\n```\n\nx\n```\n\nb c d e", "pre\n\n# A\nbody (x)\n## B b\n\n" + "w x y z\n\n" * 9 + "# C\nint f(a)\n", "one\u0001two", "   # no\n#\n## odd\nend", "é " * 30]
+    df = spark.createDataFrame([(f"d/{n}.md", "t", x) for n, x in enumerate(texts)], "source_file string, title string, content string")
+    for most, least in ((5, 1), (10, 4), (20, 8), (800, 0)):
+        native = sorted(map(tuple, chunking.chunk_documents(df, most, least).collect()))
+        assert native == sorted(map(tuple, chunking.chunk_documents_with(df, count, most, least).collect()))
+
+
 def test_text_functions(spark):
     df = one(spark, p="root/html/Core/x.y.html", q="a/b/c/d.htm", r="d.htm", s="abcdef", ws=" a \n\n\n\nb 　\n", e="a\n\n b", em="😀é" * 3)
     assert value(df, t.module_of("p")) == "root/Core" and value(df, t.chapter_of("p")) == "root/html/Core/x.y"
