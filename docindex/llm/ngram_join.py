@@ -396,8 +396,8 @@ def link_components(docs: DataFrame) -> DataFrame:
     (doc_id, text): the smallest doc_id that links lead to.
 
     Rows without words (null, empty or blank text) are linked with nothing and
-    are their own component. Rows with a null doc_id link like any other, a
-    component of nothing else has a null id. Repeated rows give repeated rows."""
+    are their own component. A row with a null doc_id is in the component of rows of the same
+    shingles that have one, else in none (null). Repeated rows give repeated rows."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     survey = materialize(docs.mapInArrow(_survey, "tag int, doc_id long, a long, b long, n long, sketch binary"), "survey")
     rows = survey.where("tag = 0").select("doc_id", F.col("a").alias("cls"), "b", "n")
