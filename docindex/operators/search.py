@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of query vectors that one pass over the index broadcasts.
 BLOCK_BYTES = 64_000_000
@@ -62,7 +63,7 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return flat.reshape(-1, dimension)
 
 
-def _best(queries: np.ndarray, names: list, k: int, id_type: pa.DataType):
+def _best(queries: np.ndarray, names: list, k: int, query_type: pa.DataType, id_type: pa.DataType):
     """A task's best k for each query, ties by id."""
     units = _unit(queries)
 
@@ -84,7 +85,7 @@ def _best(queries: np.ndarray, names: list, k: int, id_type: pa.DataType):
                 scores[q], ids[q] = s, i
         for q, name in enumerate(names):
             if len(scores[q]):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids[q])), pa.array(ids[q], id_type), pa.array(scores[q], pa.float64())], ["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids[q]), query_type), pa.array(ids[q], id_type), pa.array(scores[q], pa.float64())], ["query_id", "chunk_id", "score"])
 
     return run
 
@@ -106,14 +107,12 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     Queries (query_id, vector) of one dimension; vectors of the index have to agree.
     Fewer than k are found only if the index is smaller; null vectors are in no result."""
     spark = index.sparkSession
-    id_field = index.schema["chunk_id"].dataType.simpleString()
-    query_field = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_field}, chunk_id {id_field}, score double"
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_field]
+    id_kind, query_kind = index.schema["chunk_id"].dataType, queries.schema["query_id"].dataType
+    schema = f"query_id {query_kind.simpleString()}, chunk_id {id_kind.simpleString()}, score double"
     vectors = index.where("vector is not null").select("chunk_id", "vector")
     found = None
     for names, matrix in _blocks(queries):
-        part = vectors.mapInArrow(_best(matrix, names, k, id_type), schema)
+        part = vectors.mapInArrow(_best(matrix, names, k, to_arrow_type(query_kind), to_arrow_type(id_kind)), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)
