@@ -425,16 +425,22 @@ def link_components(docs: DataFrame) -> DataFrame:
         both = some.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(_verify, PAIR).distinct(), "links")
 
-    def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-        known = links if roots is None else links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
-        return materialize(components(known), "roots")
-
     def rooted(df: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
+    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """The roots after more links; only components that these join are worked on."""
+        joins = rooted(rooted(links, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        joins = materialize(joins, "joins")
+        if joins.isEmpty():
+            return roots
+        moved = materialize(components(joins), "moved")
+        old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        return materialize(old.unionByName(moved.join(roots.select("node"), "node", "left_anti")), "roots")
+
     # The closest pair of each class first; then what is still apart.
     closest = materialize(pool.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b"), "closest")
-    roots = merged(None, verified(closest))
+    roots = materialize(components(verified(closest)), "roots")
     apart = rooted(rooted(pool.join(closest, ["a", "b"], "left_anti"), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
     roots = merged(roots, verified(apart))
     # Buckets that hold several components: the closest pair of each two, while that joins any; then all pairs.
