@@ -58,3 +58,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing will read any more."""
+    for df in tables:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
