@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load_table, materialize, new_path, shared_dir  # noqa: F401
+from ..session import drop, load_table, materialize, new_path, shared_dir  # noqa: F401
 
 #: Rows of text per Arrow batch; long texts make batches of more rows too large.
 TEXT_BATCH = 1000

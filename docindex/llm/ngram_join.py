@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize
+from .common import drop, load, materialize
 from .graph import components
 
 WORDS = 5
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Bits of the dense sketch.
-BITS = 2048
+#: Bits of the dense sketch; it tells sets of up to about as many elements apart.
+BITS = 8192
 #: Keys seen so often among 2 million go last in the shared order, as do at most
 #: MOST_COMMON in all. This only decides which keys are taken first.
 COMMON, MOST_COMMON = 4, 100_000
@@ -319,6 +319,7 @@ def _across(best: bool):
             x = np.flatnonzero(at[step:] == at[:-step])
             y = x + step
             differ = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+            differ &= 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
             x, y = x[differ], y[differ]
             if len(x):
                 ok, far = _near(sketch[x], sketch[y], n[x], n[y])
@@ -423,7 +424,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         some = materialize(pairs.select("a", "b"), "pairs")
         a, b = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = some.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(_verify, PAIR).distinct(), "links")
+        return materialize(both.mapInArrow(_verify, PAIR).distinct(), "links")  # few rows
 
     def rooted(df: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
@@ -453,6 +454,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         if best:
             late = late.groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
         roots = merged(roots, verified(late.select("a", "b").distinct()))
+    drop(met, pool, bucket, texts, closest)
     smallest = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("doc_id").alias("component_id"))
     of_class = classes.select("cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")).join(smallest, "root").select("cls", "component_id")
     found = rows.where("n > 0").join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
