@@ -4,10 +4,16 @@ A gear rolling hash over the last 32 bytes decides where chunks end, so chunk
 borders move with the text and are the same again a few dozen bytes after an insertion.
 Chunks with one digest are one chunk; the first occurrence (smallest doc_id, then
 smallest position) is the original and the others are repeats.
+
+Chunks need not fit into a short passage, so passages are found from anchors: pieces
+of ANCHOR bytes that end where the rolling hash is the least of NEAR in a row. Of any
+ANCHOR + NEAR - 1 equal bytes both sides get the same anchor. From there on the texts
+of a document and its source are compared to both sides, and words are counted.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,21 +28,37 @@ from .common import join_by_key, load, materialize
 WINDOW, LEAST, MOST, MEAN = 32, 12, 512, 16
 #: Code points that chunks in a row have to cover to count as a repeated passage.
 MIN_PASSAGE = 100
+#: Words of a passage; so many have at least twice as many bytes, less one.
+MIN_WORDS = 51
+#: Bytes of an anchor and hashes to choose from: together no more than such words have.
+#: NEAR is less than ANCHOR, so the anchors of a long text leave no gap.
+ANCHOR, NEAR = 52, 50
+#: Bytes compared on either side of a run of anchors; beyond those lies another anchor.
+SIDE = 128
+
+_ALONE = "\u0e00-\u0eff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # letters of scripts without spaces
+_WORDS = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
+_INSIDE = re.compile(rf"[^\W{_ALONE}]")
 
 _U = np.uint64
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, _U)
 
 
+def _rolling(b: np.ndarray, window: int) -> np.ndarray:
+    h = _GEAR[b]
+    width = 1
+    while width < window:  # a window of twice the width from two of this width
+        h[width:] += h[:-width] << _U(width) if len(h) > width else _U(0)
+        width *= 2
+    return h
+
+
 def borders(raw: bytes) -> list[int]:
     """Ends of the chunks of a UTF-8 text, in bytes, never inside a character."""
     b = np.frombuffer(raw, np.uint8)
     if not len(b):
         return []
-    h = _GEAR[b]
-    width = 1
-    while width < WINDOW:  # a window of twice the width from two of this width
-        h[width:] += h[:-width] << _U(width) if len(h) > width else _U(0)
-        width *= 2
+    h = _rolling(b, WINDOW)
     starts = np.concatenate([(b[1:] & 0xC0) != 0x80, [True]])
     ends = np.flatnonzero((h < _U(2**64 // MEAN)) & starts) + 1
     out, last = [], 0
@@ -98,9 +120,167 @@ def find_repeats(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
     return found.where(F.col("end") - F.col("start") >= min_passage).drop("run")
 
 
+def _sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` over each ``width`` neighbours of ``a``."""
+    out, w = a, 1
+    while 2 * w <= width:
+        out, w = pick(out[:-w], out[w:]), 2 * w
+    return pick(out[: len(out) - (width - w)], out[width - w :]) if w < width else out
+
+
+def anchors(raw: bytes) -> np.ndarray:
+    """Where the anchors of a text start, in bytes."""
+    if len(raw) < ANCHOR + NEAR - 1:
+        return np.empty(0, np.int64)
+    h = _rolling(np.frombuffer(raw, np.uint8), WINDOW)[ANCHOR - 1 :]
+    least = _sliding(h, NEAR, np.minimum)
+    edge = np.zeros(NEAR - 1, _U)
+    chosen = _sliding(np.concatenate([edge, least, edge]), NEAR, np.maximum) == h
+    # Equal neighbours are runs of one character; some of each run do.
+    at = np.arange(len(h))
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    last = np.concatenate([new[1:], [True]])
+    return np.flatnonzero(chosen & (last | ((at - np.maximum.accumulate(np.where(new, at, 0))) % NEAR == 0)))
+
+
+def _digest(raw: bytes, at: int) -> tuple[int, int]:
+    import xxhash
+
+    got = xxhash.xxh3_128_digest(raw[at : at + ANCHOR])
+    return int.from_bytes(got[:8], "big", signed=True), int.from_bytes(got[8:], "big", signed=True)
+
+
+def _anchor_rows(docs: DataFrame) -> DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_py().encode()
+                rows += [(*_digest(raw, at), doc, at) for at in anchors(raw).tolist()]
+            cols = [*zip(*rows, strict=True)] if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], ["key", "check", "doc_id", "at"])
+
+    return docs.mapInArrow(find, "key long, check long, doc_id long, at int")
+
+
+def _sides(docs: DataFrame, points: DataFrame) -> DataFrame:
+    """The bytes beside ``points`` (src, side, at, key, n), where anchors of sources are: before those of side 0, after the others."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                raw = text.as_py().encode()
+                for p in wanted.as_py():
+                    if _digest(raw, p["at"])[0] == p["key"]:  # another text of this id otherwise
+                        end = p["at"] + ANCHOR
+                        rows.append((p["point"], p["n"], raw[end : end + SIDE] if p["side"] else raw[max(0, p["at"] - SIDE) : p["at"]]))
+            cols = [*zip(*rows, strict=True)] if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["point", "n", "piece"])
+
+    wanted = points.groupBy(F.col("src").alias("doc_id")).agg(F.collect_list(F.struct("point", "side", "at", "key", "n")).alias("wanted"))
+    return docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(cut, "point string, n long, piece binary").dropDuplicates(["point"])
+
+
+def _passages(raw: bytes, runs: list[dict]) -> list[list[int]]:
+    """Runs of anchors, extended and united: [start, end, anchors, source, most bytes of anchors in a row]."""
+    out: list[list[int]] = []
+    for r in runs:
+        start, end = r["first"], r["last"] + ANCHOR
+        if _digest(raw, start)[0] != r["key"] or _digest(raw, r["last"])[0] != r["last_key"]:
+            continue
+        before, after = r["before"] or b"", r["after"] or b""
+        a, b = start, end
+        while a and start - a < len(before) and raw[a - 1] == before[len(before) - 1 - (start - a)]:
+            a -= 1
+        while b < len(raw) and b - end < len(after) and raw[b] == after[b - end]:
+            b += 1
+        out.append([a, b, r["n"], r["src"], start, end])
+    out.sort()
+    united: list[list[int]] = []
+    for a, b, n, src, start, end in out:
+        if united and a <= united[-1][1]:
+            u = united[-1]
+            u[1], u[2] = max(u[1], b), u[2] + n
+            u[5:] = [u[5], max(u[6], end)] if start <= u[6] else [start, end]
+            u[4] = max(u[4], u[6] - u[5])
+        else:
+            united.append([a, b, n, src, end - start, start, end])
+    return [u[:5] for u in united]
+
+
+def _whole_words(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without blanks and parts of words at its ends."""
+    x, y = a, b
+    if x and _INSIDE.match(text[x - 1]):
+        while x < y and _INSIDE.match(text[x]):
+            x += 1
+    if y < len(text) and _INSIDE.match(text[y]):
+        while x < y and _INSIDE.match(text[y - 1]):
+            y -= 1
+    while x < y and text[x].isspace():
+        x += 1
+    while x < y and text[y - 1].isspace():
+        y -= 1
+    return x, y
+
+
+def find_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE, min_words: int = MIN_WORDS) -> DataFrame:
+    """Passages of ``docs`` that occurred before, in whole words: doc_id, start, end,
+    n_chunks (anchors in it) and source_doc_id, where the first of its anchors was found first.
+
+    A passage has at least ``min_words`` words, or anchors in a row cover ``min_passage``
+    code points of it. Each anchor is compared with its first occurrence only. Rows
+    with one doc_id count as one document, and a document may repeat itself."""
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    rows = _anchor_rows(docs)
+    firsts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "check")).alias("first")).where("n > 1")
+    firsts = materialize(firsts, "firsts")
+    hits = join_by_key(rows, firsts, "key", "n").where("check = first.check and not (doc_id = first.doc_id and at = first.at)")
+    hits = hits.select("doc_id", "at", "key", F.col("first.doc_id").alias("src"), (F.col("at") - F.col("first.at")).alias("shift")).distinct()
+    order = W.partitionBy("doc_id", "src", "shift").orderBy("at")
+    new = F.coalesce((F.lag("at").over(order) + ANCHOR < F.col("at")).cast("int"), F.lit(1))
+    runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc_id", "src", "shift", "run")
+    runs = runs.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").cast("int").alias("n"), F.min_by("key", "at").alias("key"), F.max_by("key", "at").alias("last_key"))
+    point = lambda side, at, key: F.concat_ws(":", F.lit(side), "src", F.col(at) - F.col("shift"), key)
+    runs = materialize(runs.withColumns({"left": point(0, "first", "key"), "right": point(1, "last", "last_key")}), "runs")
+    asked = lambda side, at, key, name: runs.select("src", F.lit(side).alias("side"), (F.col(at) - F.col("shift")).alias("at"), F.col(key).alias("key"), F.col(name).alias("point"))
+    points = asked(0, "first", "key", "left").unionByName(asked(1, "last", "last_key", "right")).groupBy("src", "side", "at", "key", "point").agg(F.count("*").alias("n"))
+    sides = materialize(_sides(docs, points), "sides")
+    for name, piece in (("left", "before"), ("right", "after")):
+        side = sides.where(F.col("point").startswith("0:" if name == "left" else "1:")).withColumnRenamed("point", name)
+        runs = join_by_key(runs.withColumnRenamed("n", "n_anchors"), side, name, "n").drop("n").withColumnsRenamed({"piece": piece, "n_anchors": "n"})
+    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "n", "src", "key", "last_key", "before", "after")).alias("runs"))
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc, value, its in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text = value.as_py()
+                raw = text.encode()
+                points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+                for a, b, n, src, row in _passages(raw, its.as_py()):
+                    while a < b and raw[a] & 0xC0 == 0x80:
+                        a += 1
+                    while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+                        b -= 1
+                    whole = int(points[a]), int(points[b])
+                    x, y = _whole_words(text, *whole)
+                    long = row >= min_passage and whole[1] - whole[0] >= min_passage
+                    if long and x == y:
+                        x, y = whole
+                    if long or sum(1 for _ in _WORDS.finditer(text, x, y)) >= min_words:
+                        found.append((doc, x, y, n, src))
+            cols = [*zip(*found, strict=True)] if found else [[]] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "end", "n_chunks", "source_doc_id"])
+
+    return docs.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(extend, "doc_id long, start int, end int, n_chunks int, source_doc_id long").distinct()
+
+
 def remove_repeats(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
     """``docs`` without their repeated passages; rows without any stay as they are."""
-    spans = find_repeats(docs, min_passage).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = find_passages(docs, min_passage).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     joined = docs.join(spans, "doc_id", "left")
     starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["end"]))
     ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text")))
@@ -110,4 +290,4 @@ def remove_repeats(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_repeats(load(spark, sf_dir, "documents"))
+    return find_passages(load(spark, sf_dir, "documents"))

@@ -225,3 +225,30 @@ def test_digests_find_the_same_as_brute_force(spark):
     for r in substring.find_repeats(documents(spark, rows), min_passage=1).collect():
         got[r["doc_id"]] += r["end"] - r["start"]
     assert got == again
+
+
+@pytest.mark.parametrize("letters", [(1, 1), (1, 3), (2, 4), (3, 8)])
+def test_passages_of_51_words(spark, letters):
+    rng = random.Random(5)
+    say = lambda n, a, b: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b))) for _ in range(n))
+    rows, planted = [], {}
+    for n in range(60):
+        passage = say(51, *letters)
+        for i in (n, 1000 + n):
+            head = say(rng.randrange(1, 30), 4, 9) + " "
+            rows.append((i, f"{head}{passage} {say(20, 4, 9)}"))
+            planted[i] = (len(head), len(head) + len(passage))
+    got = {r["doc_id"]: (r["start"], r["end"], r["source_doc_id"]) for r in substring.find_passages(documents(spark, rows)).collect()}
+    assert got == {1000 + n: (*planted[1000 + n], n) for n in range(60)}
+    kept = {r["doc_id"]: r["text"] for r in substring.remove_repeats(documents(spark, rows)).collect()}
+    assert all(len(kept[i]) == len(t) - (i >= 1000) * (planted[i][1] - planted[i][0]) for i, t in rows)
+
+
+def test_equal_texts_share_an_anchor():
+    rng = random.Random(6)
+    least = 2 * substring.MIN_WORDS - 1
+    for n in range(300):
+        same = bytes(rng.choice(b"ab ") for _ in range(least)) if n % 2 else b"x" * rng.randrange(least) + b"y" * least
+        cut = lambda raw: {raw[a : a + substring.ANCHOR] for a in substring.anchors(raw).tolist()}
+        noise = lambda: bytes(rng.choice(b"ab xy") for _ in range(rng.randrange(90)))
+        assert cut(noise() + same + noise()) & cut(noise() + same + noise())
