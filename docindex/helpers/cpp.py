@@ -6,12 +6,17 @@ import re
 from bisect import bisect_right
 
 # What counts as a class, a function definition and a declaration.
+# A match from the first of several empty lines is the one that counts, so later ones
+# are not tried; blanks aren't given back, as no blank can follow.
+_BEGIN = r"(?<!\n\n)^\s*+"
 _TEMPLATE = r"(?:template\s*<[^>]*>\s*)?"
 _DECLSPEC = r"__declspec\([^)]*\)"
 _TYPE = r"[\w:*&<>]+(?:\s+[\w:*&<>]+)*"
-CLASS = re.compile(rf"(?P<signature>^\s*{_TEMPLATE}(?P<kind>class|struct)\s+(?:{_DECLSPEC}\s+)?(?P<name>\w+)(?:\s*:\s*[^{{]+)?)\s*\{{", re.M)
-FUNCTION = re.compile(rf"(?P<signature>^\s*{_TEMPLATE}(?:(?:static|virtual|inline|explicit|constexpr|override|const|extern|{_DECLSPEC})\s+)*{_TYPE}\s+(?P<name>(?:\w+::)*\w+)\s*\([^)]*\)(?:\s*const)?(?:\s*noexcept)?(?:\s*override)?)\s*\{{", re.M)
-DECLARATION = re.compile(rf"(?P<signature>^\s*(?:(?:static|virtual|inline|explicit|const|extern|{_DECLSPEC})\s+)*{_TYPE}\s+(?P<name>\w+)\s*\([^)]*\)(?:\s*const)?)\s*;", re.M)
+#: Up to the first parenthesis a function has nothing else; cheaper to look for.
+_OPENS = r"(?=[\w:*&<>\s]*+\()"
+CLASS = re.compile(rf"(?P<signature>{_BEGIN}{_TEMPLATE}(?P<kind>class|struct)\s+(?:{_DECLSPEC}\s+)?(?P<name>\w+)(?:\s*:\s*[^{{]+)?)\s*\{{", re.M)
+FUNCTION = re.compile(rf"(?P<signature>{_BEGIN}{_TEMPLATE}{_OPENS}(?:(?:static|virtual|inline|explicit|constexpr|override|const|extern|{_DECLSPEC})\s+)*{_TYPE}\s+(?P<name>(?:\w+::)*\w+)\s*\([^)]*\)(?:\s*const)?(?:\s*noexcept)?(?:\s*override)?)\s*\{{", re.M)
+DECLARATION = re.compile(rf"(?P<signature>{_BEGIN}{_OPENS}(?:(?:static|virtual|inline|explicit|const|extern|{_DECLSPEC})\s+)*{_TYPE}\s+(?P<name>\w+)\s*\([^)]*\)(?:\s*const)?)\s*;", re.M)
 
 #: Names that a definition can't have; "else if (x) {" looks like one.
 KEYWORDS = frozenset("if for while switch catch return else do sizeof".split())

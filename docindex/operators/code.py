@@ -13,8 +13,6 @@ from ..helpers import cpp, qt_ui
 
 HEADERS, SOURCES = (".h", ".hpp"), (".cpp", ".cc", ".cxx")
 FILE = ["project", "relative_path", "ext"]
-#: Larger files aren't parsed; the expressions above degrade on them.
-MAX_FILE_CHARS = 2_000_000
 _SYMBOL = "array<struct<order_no:int,name:string,kind:string,signature:string,body:string,class_name:string,line_start:int,line_end:int>>"
 _UI = "class_name string, version string, widgets array<struct<node_no:int,parent_no:int,depth:int,object_name:string,class_name:string,row:int,column:int,properties:map<string,string>>>, connections array<struct<sender:string,signal:string,receiver:string,slot:string>>, tree string"
 
@@ -22,7 +20,7 @@ _UI = "class_name string, version string, widgets array<struct<node_no:int,paren
 def _parsed(content: Column, parse) -> Column:
     @F.pandas_udf(_SYMBOL)
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([parse(t) if t is not None and len(t) <= MAX_FILE_CHARS else [] for t in texts], dtype=object)
+        return pd.Series([parse(t) if t is not None else [] for t in texts], dtype=object)
 
     return run(content)
 
@@ -243,7 +241,7 @@ def parse_ui(df: DataFrame, dedupe: bool = True) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            got = qt_ui.parse(t, dedupe) if t is not None and len(t) <= MAX_FILE_CHARS else None
+            got = qt_ui.parse(t, dedupe) if t is not None else None
             rows.append((None, None, [], [], None) if got is None else (got["class_name"], got["version"], got["widgets"], got["connections"], qt_ui.tree_text(got["widgets"])))
         return pd.DataFrame(rows, columns=["class_name", "version", "widgets", "connections", "tree"])
 

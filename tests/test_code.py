@@ -92,3 +92,15 @@ def test_all_kinds(spark):
     assert len({(r["relative_path"], r["chunk_no"]) for r in rows}) == len(rows)
     same = code.chunk_code(df.repartition(7)).select(F.sort_array(F.collect_list("content")))
     assert same.count() == 1
+
+
+def test_large_files(spark):
+    source = "".join(f"// no. {n}\n\n\nstatic int C{n}::run(int a) {{\n  return a + {n};\n}}\n" for n in range(50_000)) + "\n" * 500_000
+    header = "".join(f"int declared{n}(int a, int b);\n" for n in range(80_000))
+    widgets = "".join(f'<widget class="QPushButton" name="button{n}"/>' for n in range(50_000))
+    ui = f'<ui version="4.0"><class>D</class><widget class="QDialog" name="D">{widgets}</widget></ui>'
+    assert min(map(len, (source, header, ui))) > 2_000_000
+    df = files(spark, a__cpp=source, b__h=header, c__ui=ui)
+    assert code.cpp_functions(df).count() == 50_000
+    assert code.cpp_declarations(df).count() == 80_000 and code.header_fallback(df).count() == 0
+    assert code.ui_widgets(df).count() == 50_001
