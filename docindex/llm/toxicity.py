@@ -26,8 +26,13 @@ _WORD = re.compile(r"[^\W\d_]+").findall
 STEMS = (3, 4, 5)
 #: A feature has to be so many times as frequent in toxic documents as in others.
 RATIO = 3.0
-#: And to occur in that share of the toxic ones; what is rarer is learnt by heart, wrong labels included.
+#: And to occur in so many toxic documents.
+LEAST = 3
+#: Of those a feature in that share of the toxic documents counts; rarer ones have to be
+#: certain, else they are learnt by heart, wrong labels included.
 SHARE = 0.02
+#: Chance that any feature at all is taken for certain though it is no more frequent in toxic documents.
+ALPHA = 0.05
 
 
 def features(word: str) -> list[str]:
@@ -88,6 +93,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"feature": pa.array(words, pa.string()), "n1": pa.array([toxic[w] for w in words], pa.int64()), "n0": pa.array([clean[w] for w in words], pa.int64())})
 
 
+def _surprise(n1: Column, n0: Column, share: float) -> Column:
+    """Minus the logarithm of a bound (Chernoff's) on the chance that of ``n1 + n0``
+    documents, each toxic with probability ``share``, ``n1`` or more are."""
+    n = n1 + n0
+    of = lambda k, q: F.when(k > 0, k * F.log(k / (n * q))).otherwise(F.lit(0.0))
+    return F.when(n1 > n * share, of(n1, share) + of(n0, 1 - share)).otherwise(F.lit(0.0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_features: int = 1_000, steps: int = 400, l2: float = 1e-5) -> Model:
     """Fit on labelled documents that aren't held out.
 
@@ -104,10 +117,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_features
         n1, n0 = n.get(True, 0), n.get(False, 0)
         if not n1 or not n0:
             return Model({}, -30.0)
-        table = sample.mapInArrow(_counts, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        table = sample.mapInArrow(_counts, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).persist()
         p, q = (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + 0.5) / (n0 + 1)
         gap = F.abs(p - q) / F.sqrt((F.col("n1") + F.col("n0") + 1) / (n1 + n0 + 2.0))
-        telling = (F.col("n1") >= max(3, SHARE * n1)) & (p >= RATIO * q)
+        least = math.log(max(table.count(), 1) / ALPHA)  # for the number of features tested
+        certain = _surprise(F.col("n1"), F.col("n0"), n1 / (n1 + n0)) >= least
+        telling = (F.col("n1") >= LEAST) & (p >= RATIO * q) & (certain | (F.col("n1") >= SHARE * n1))
         best = [r["feature"] for r in table.where(telling).orderBy(gap.desc(), "feature").limit(max_features).collect()]
         index = {f: i for i, f in enumerate(best)}
 
@@ -127,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_features
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.list_(pa.int32())))], ["toxic", "empty", "bags"])
 
         rows = sample.mapInArrow(compact, "toxic boolean, empty long, bags array<array<int>>").toArrow()
+        table.unpersist()
     finally:
         sample.unpersist()
     return _descend(rows, best, steps, l2)

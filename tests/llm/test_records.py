@@ -131,6 +131,22 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert a.weights == b.weights and a.bias == b.bias
 
 
+def test_rare_insults_in_a_large_sample(spark):
+    rng = random.Random(4)
+    say = lambda: " ".join("w%s" % "".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(9))
+    insults = [f"{a}{b}grum" for a in "bcdfghjklm" for b in "aeiou"] + [f"{a}{b}snar" for a in "npqrst" for b in "aeiou"]
+    rows, labels = [], []
+    for n in range(8000):
+        bad = n % 4 == 0
+        rows.append((n, say() + (f". {rng.choice(insults)} {say()}" if bad else f". {say()}")))
+        labels.append((n, int(bad)))
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fresh = documents(spark, [(n, f"{say()}. {w} {say()}") for n, w in enumerate(insults)] + [(1000 + n, say()) for n in range(200)])
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(fresh, model).collect()}
+    caught = sum(v >= toxicity.THRESHOLD for k, v in scores.items() if k < 1000)
+    assert caught == len(insults) and sum(v >= toxicity.THRESHOLD for k, v in scores.items() if k >= 1000) <= 10
+
+
 # Media --------------------------------------------------------------------------
 
 
