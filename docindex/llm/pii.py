@@ -9,6 +9,8 @@ patterns that it occurs in. Instances of high score are found wherever they occu
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,12 @@ PATTERNS = {
 #: What a text without any match of the kind mostly lacks; cheaper to look for.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Something with a digit or an at sign that may be an identifier.
-OTHER = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z_.-]{0,24}+[0-9@])[A-Za-z0-9]++(?:[-_./:@]++[A-Za-z0-9]++)*+"
+OTHER = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z_.-]*+[0-9@])[A-Za-z0-9]++(?:[-_./:@]++[A-Za-z0-9]++)*+"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
 #: A pattern needs so many seeds' worth of instances, and that share of all its
 #: instances; an instance that score.
-SUPPORT, CONFIDENCE, ACCEPT, ROUNDS = 3, 0.7, 0.9, 3
+SUPPORT, CONFIDENCE, ACCEPT = 3, 0.7, 0.9
 
 
 def is_valid(kind: str, value: Column) -> Column:
@@ -70,8 +72,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     kind (null for candidates), patterns."""
     every = "|".join([*(f"(?:{PATTERNS[k]})" for k in ("email", "phone", "ip", "card")), f"(?:{OTHER})"])
     found = with_matches(docs.where(F.col("text").rlike("[0-9@]")).select("key", "text"), "seen", "text", every, context=True)
-    enough = lambda s: (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 4) | s["value"].contains("@")
-    one = found.select("key", F.explode(F.filter("seen", enough)).alias("s")).select("key", "s.*")
+    one = found.select("key", F.explode("seen").alias("s")).select("key", "s.*")
     kind = F.coalesce(*(F.when(F.col("value").rlike(f"^(?:{PATTERNS[k]})$") & is_valid(k, F.col("value")), F.lit(k)) for k in KINDS))
     word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
     left, left2, right = word("before", r"(\p{L}+)\P{L}*$"), word("before", r"(\p{L}+\P{L}+\p{L}+)\P{L}*$"), word("after", r"^\P{L}*(\p{L}+)")
@@ -80,16 +81,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return one.select("key", "start", "end", "instance", "kind", F.array_compact(patterns).alias("patterns"))
 
 
-def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
+def bootstrap(seen: DataFrame, rounds: int | None = None, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
     """(instance, kind) of candidates that the patterns vouch for. Repeats count
-    once: the graph has an edge for each distinct pattern and instance."""
+    once: the graph has an edge for each distinct pattern and instance. Rounds end
+    when none finds a new instance, or after ``rounds``."""
     edges = seen.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.first("kind").alias("kind"))
     edges = materialize(edges, "edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     graph = materialize(join_by_key(edges, sizes, "pattern", "n"), "graph")
     seeds = graph.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("score")).distinct()
-    known, found = seeds, None
-    for _ in range(rounds):
+    known, found, reached = seeds, None, None
+    for _ in itertools.count() if rounds is None else range(rounds):
         scored = graph.select("pattern", "instance", "n").join(known, "instance")
         trust = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.first("n").alias("n")).withColumn("trust", F.col("mass") / F.col("n"))
         trust = trust.where((F.col("mass") >= support) & (F.col("trust") >= confidence)).select("pattern", F.col("kind").alias("as_kind"), F.least("trust", F.lit(0.99)).alias("trust"), "n")
@@ -98,7 +100,12 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, con
         score = F.lit(1.0) - F.exp(F.sum(F.log(F.lit(1.0) - F.col("t.trust"))))
         best = voted.groupBy("instance", F.col("t.as_kind").alias("kind")).agg(score.alias("score")).groupBy("instance").agg(F.max_by(F.struct("kind", "score"), F.struct("score", "kind")).alias("b"))
         found = materialize(best.where(F.col("b.score") >= accept).select("instance", "b.kind", "b.score"), "found")
-        known = seeds.unionByName(found)
+        # What was found stays so, or rounds might swing to and fro for ever.
+        found = found if reached is None else materialize(reached.unionByName(found.join(reached, "instance", "left_anti")), "found")
+        before, now = 0 if reached is None else reached.count(), found.count()
+        if now == before:
+            break
+        reached, known = found, seeds.unionByName(found)
     return found.select("instance", "kind")
 
 

@@ -104,3 +104,18 @@ def test_redaction(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(documents(spark, rows)).collect()}
     assert got[1] == ("a [SECRET] b", 12) and got[2] == ("clean 😀", 7) and got[3] == (None, 0) and got[4][0] == "[SECRET]"
     assert "0123" not in got[5][0]
+
+
+def test_identifiers_without_digits(spark):
+    known = [(n, f"write to address p{n}@host{n}.de today") for n in range(12)]
+    found = {r["doc_id"]: r["added"] for r in pii.find_pii(documents(spark, [*known, (50, "address maximilian-mustermann-schmidt@localhost today")])).collect()}
+    assert [(a["kind"], a["start"], a["end"]) for a in found[50]] == [("email", 8, 47)]
+
+
+def test_rounds_go_on_while_something_is_found(spark):
+    rows = [(f"seed{n}", "card", ["p0"]) for n in range(60)] + [(f"i1-{n}", None, ["p0"]) for n in range(5)]
+    for level in range(1, 5):
+        for j in range(5):
+            rows += [(i, None, [f"p{level}{j}a", f"p{level}{j}b"]) for i in [*(f"i{level}-{n}" for n in range(5)), f"i{level + 1}-{j}"]]
+    found = {r["instance"] for r in pii.bootstrap(spark.createDataFrame(rows, "instance string, kind string, patterns array<string>")).collect()}
+    assert found == {f"i{level}-{n}" for level in range(1, 6) for n in range(5)}
