@@ -1,32 +1,57 @@
-"""The index: a Parquet table of chunks with vectors, by source type, and a
-manifest of its dimension and count beside it."""
+"""The index: a Parquet table of chunks with vectors, by source type and bucket of
+the source's key, and a manifest of its dimension and count beside it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, remove
+
+
+#: Parts of each source type. What an index was written with has to stay.
+BUCKETS = 256
 
 
 def _table(path: str) -> str:
     return f"{path.rstrip('/')}/chunks"
 
 
-def _manifest(spark: SparkSession, path: str) -> None:
-    stats = load_index(spark, path).agg(F.max(F.size("vector")).alias("dimension"), F.count("*").alias("count"))
-    stats.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/manifest")
+def _manifest(spark: SparkSession, path: str, dimension: int | None) -> None:
+    """Rows are counted from the files' footers, no vector is read."""
+    count = load_index(spark, path).count()
+    stats = spark.createDataFrame([(dimension if count else None, count)], "dimension int, count long")
+    stats.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path.rstrip('/')}/manifest")
+
+
+def _dimension(df: DataFrame) -> int | None:
+    return df.agg(F.max(F.size("vector"))).first()[0]
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    key = "source_key" if "source_key" in df.columns else "chunk_id"
+    return df.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int"))
+
+
+def _write(df: DataFrame, path: str, mode: str) -> None:
+    """Rows of a bucket go together, in as many files as they need."""
+    rows = _bucketed(df).hint("rebalance", "source_type", "bucket")
+    rows.write.mode(mode).option("partitionOverwriteMode", "dynamic" if mode == "overwrite" else "static").partitionBy("source_type", "bucket").parquet(_table(path))
 
 
 def write_index(df: DataFrame, path: str) -> None:
     """Replace the index by ``df``."""
-    df.write.mode("overwrite").partitionBy("source_type").parquet(_table(path))
-    _manifest(df.sparkSession, path)
+    _bucketed(df).hint("rebalance", "source_type", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("source_type", "bucket").parquet(_table(path))
+    _manifest(df.sparkSession, path, _dimension(load_index(df.sparkSession, path)))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", _table(path)).parquet(_table(path))
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     """The index at ``path``; an error if there is none."""
-    return spark.read.option("basePath", _table(path)).parquet(_table(path))
+    return _stored(spark, path).drop("bucket")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -35,33 +60,64 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def clear_index(spark: SparkSession, path: str) -> None:
     """Leave an empty index of the same columns."""
-    empty = load_index(spark, path).limit(0)
+    empty = _stored(spark, path).limit(0)
     spark.createDataFrame([], empty.schema).write.mode("overwrite").parquet(_table(path))
-    _manifest(spark, path)
+    _manifest(spark, path, None)
 
 
-def append_to_index(df: DataFrame, path: str, mode: str = "append") -> None:
+def _once(df: DataFrame) -> DataFrame:
+    """Of rows with one chunk_id the last by what they hold."""
+    row = F.struct(*df.columns)
+    return df.groupBy("chunk_id").agg(F.max_by(row, F.to_json(row)).alias("row")).select("row.*")
+
+
+def append_to_index(df: DataFrame, path: str, mode: str = "append", sources: DataFrame | None = None) -> None:
     """Add rows to the index.
 
     ``overwrite`` replaces what there is of the source types in ``df``, ``append`` adds
-    rows as they are, ``upsert`` replaces rows with equal chunk_id, rewriting only the
-    source types in ``df``. Repeated chunk_ids in an upsert count once. Empty input
-    changes nothing."""
+    rows as they are, ``upsert`` replaces rows with equal chunk_id, ``replace`` all rows of the
+    sources (source_type, source_key) in ``df`` or in ``sources``, so that a source that shrank or
+    vanished leaves nothing behind. Both rewrite only the buckets that these sources lie in; rows with
+    equal chunk_ids have to have equal source_keys, and count once. Empty input changes nothing."""
     spark = df.sparkSession
-    if df.isEmpty():
+    if mode not in ("append", "overwrite", "upsert", "replace"):
+        raise ValueError(f"no mode {mode!r}")
+    if df.isEmpty() and (mode != "replace" or sources is None or sources.isEmpty()):
         return
+    known = read_manifest(spark, path).first()
     if mode == "append":
-        df.write.mode("append").partitionBy("source_type").parquet(_table(path))
-    elif mode in ("overwrite", "upsert"):
-        if mode == "upsert":
-            new = df.dropDuplicates(["chunk_id"])
-            types = [r[0] for r in df.select("source_type").distinct().collect()]  # a handful
-            old = load_index(spark, path).where(F.col("source_type").isin(types)).join(new.select("chunk_id"), "chunk_id", "left_anti")
-            df = materialize(old.select(*df.columns).unionByName(new), "upsert")  # what is read is replaced
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_type").parquet(_table(path))
+        _write(df, path, "append")
+    elif mode == "overwrite":
+        df = materialize(df, "overwrite")
+        types = [r[0] for r in df.select("source_type").distinct().collect()]  # a handful
+        others = load_index(spark, path).where(F.coalesce(~F.col("source_type").isin(types), F.lit(True)))
+        if others.isEmpty():
+            write_index(df, path)
+        else:  # buckets that the new rows leave empty have to go as well
+            gone = _stored(spark, path).where(F.col("source_type").isin(types)).select("source_type", "bucket").distinct()
+            _rewrite(df, path, gone)
     else:
-        raise ValueError(f"no mode {mode!r}")
-    _manifest(spark, path)
+        new = materialize(_once(df), "new")
+        keys = new.select("source_type", "source_key" if "source_key" in new.columns else "chunk_id")
+        if mode == "replace" and sources is not None:
+            keys = keys.unionByName(sources.select("source_type", "source_key"))
+        touched = _bucketed(keys.withColumn("chunk_id", F.lit(None)) if "source_key" in keys.columns else keys).select("source_type", "bucket").distinct()
+        by = ["chunk_id"] if mode == "upsert" else ["source_type", "source_key"]
+        gone = (new if mode == "upsert" else keys).select(*by).distinct()
+        stored, parts = _stored(spark, path), F.broadcast(touched)
+        old = stored.join(parts, stored["source_type"].eqNullSafe(parts["source_type"]) & (stored["bucket"] == parts["bucket"]), "left_semi").drop("bucket").join(gone, by, "left_anti")
+        _rewrite(materialize(old.select(*new.columns).unionByName(new), "merged"), path, touched)  # what is read is replaced
+    _manifest(spark, path, _dimension(df) or (known[0] if known else None))
+
+
+def _rewrite(rows: DataFrame, path: str, touched: DataFrame) -> None:
+    """Put ``rows`` in the place of the touched parts (source_type, bucket; BUCKETS of each source type at most), which have all their rows in it."""
+    spark = rows.sparkSession
+    before = {tuple(r) for r in touched.collect()}
+    _write(rows, path, "overwrite")
+    left = before - {tuple(r) for r in _bucketed(rows).select("source_type", "bucket").distinct().collect()}
+    for source_type, bucket in left:  # parts without any row are not written, so they have to be deleted
+        remove(spark, f"{_table(path)}/source_type={'__HIVE_DEFAULT_PARTITION__' if source_type is None else source_type}/bucket={bucket}")
 
 
 def index_stats(index: DataFrame) -> DataFrame:

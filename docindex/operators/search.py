@@ -1,8 +1,8 @@
 """Exact cosine search for many queries at once, with metadata filters.
 
 Queries go to the vectors, in blocks of bounded size: each task multiplies its
-vectors with a block of queries and keeps the best k of each, so that only k rows
-for each query and task are shuffled to be merged.
+vectors with a block of queries, a bounded number of scores at a time, and keeps the best k of each,
+so that only k rows for each query and task are shuffled to be merged.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import materialize
+
 #: Bytes of query vectors that one pass over the index broadcasts.
 BLOCK_BYTES = 64_000_000
+#: Scores that a task holds at once.
+CELLS = 4_000_000
 
 
 def l2_normalize(vector: Column | str) -> Column:
@@ -63,35 +67,51 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return flat.reshape(-1, dimension)
 
 
+def _top(pool: pa.Table, k: int) -> pa.Table:
+    """Of rows (q, score, id) the best k of each q, ties by id."""
+    pool = pool.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+    q = pool.column("q").to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return pool.filter(pa.array(rank < k))
+
+
 def _best(queries: np.ndarray, names: list, k: int, query_type: pa.DataType, id_type: pa.DataType):
-    """A task's best k for each query, ties by id."""
+    """A task's best k for each query, ties by id. At most CELLS scores are held at once."""
     units = _unit(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[list] = [[] for _ in names]
-        scores = [np.empty(0) for _ in names]
+        least = np.full(len(names), -np.inf)  # no score below is among the best any more
+        schema = pa.schema([("q", pa.int64()), ("score", pa.float64()), ("id", id_type)])
+        pool, size, kept = [schema.empty_table()], 0, 0
         for batch in batches:
             if not len(batch):
                 continue
-            own = batch.column(0).to_pylist()
-            all_scores = _unit(_matrix(batch.column(1), queries.shape[1])) @ units.T
-            for q in range(len(names)):
-                s = np.concatenate([scores[q], all_scores[:, q]])
-                i = [*ids[q], *own]
-                if len(s) > k:  # everything as good as the k-th, then by id
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = sorted(np.flatnonzero(s >= least), key=lambda x: (-s[x], i[x]))[:k]
-                    s, i = s[keep], [i[x] for x in keep]
-                scores[q], ids[q] = s, i
-        for q, name in enumerate(names):
-            if len(scores[q]):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids[q]), query_type), pa.array(ids[q], id_type), pa.array(scores[q], pa.float64())], ["query_id", "chunk_id", "score"])
+            vectors = _unit(_matrix(batch.column(1), queries.shape[1]))
+            step = max(1, CELLS // len(batch))
+            for at in range(0, len(names), step):
+                scores = units[at : at + step] @ vectors.T
+                if len(batch) > k:
+                    least[at : at + step] = np.maximum(least[at : at + step], np.partition(scores, len(batch) - k, axis=1)[:, len(batch) - k])
+                q, row = np.nonzero(scores >= least[at : at + step, None])
+                pool.append(pa.table([pa.array(q + at), pa.array(scores[q, row]), batch.column(0).take(pa.array(row))], schema=schema))
+                size += len(q)
+            if size > 2 * kept + CELLS // 16:
+                pool = [_top(pa.concat_tables(pool).combine_chunks(), k)]
+                size = kept = len(pool[0])
+                full, n = np.unique(pool[0].column("q").to_numpy(), return_counts=True)
+                last = np.cumsum(n) - 1
+                least[full[n == k]] = pool[0].column("score").to_numpy()[last[n == k]]
+        best = _top(pa.concat_tables(pool).combine_chunks(), k)
+        if len(best):
+            ids = pa.array(names, query_type).take(best.column("q").combine_chunks())
+            yield from pa.table([ids, best.column("id"), best.column("score")], names=["query_id", "chunk_id", "score"]).to_batches()
 
     return run
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Query ids and vectors, block by block on the driver."""
+def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray, int]]:
+    """Query ids and vectors, one block after the other on the driver, and how many there are."""
     rows = queries.where("query_id is not null and vector is not null").select("query_id", "vector")
     n, size = rows.agg(F.count("*"), F.sum(F.size("vector") * 8)).first()
     blocks = -(-(size or 0) // BLOCK_BYTES)
@@ -99,7 +119,7 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         got = part.collect()
         if got:
-            yield [r[0] for r in got], np.array([r[1] for r in got], np.float64)
+            yield [r[0] for r in got], np.array([r[1] for r in got], np.float64), blocks
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -111,8 +131,10 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     schema = f"query_id {query_kind.simpleString()}, chunk_id {id_kind.simpleString()}, score double"
     vectors = index.where("vector is not null").select("chunk_id", "vector")
     found = None
-    for names, matrix in _blocks(queries):
+    for names, matrix, blocks in _blocks(queries):
         part = vectors.mapInArrow(_best(matrix, names, k, to_arrow_type(query_kind), to_arrow_type(id_kind)), schema)
+        if blocks > 1:  # a block runs before the next one comes, so that the driver holds one at a time
+            part = materialize(part, "nearest")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], schema)

@@ -69,10 +69,10 @@ def s3_scan_project(spark: SparkSession, sf: str) -> DataFrame:
     return sources.project_files(d.part_paths(spark, sf)).select("p_partkey", "project", "relative_path", "ext")
 
 
-@query(f"SELECT p_partkey, 'scan-' || project AS project, relative_path FROM ({_SCAN}) WHERE project <> 'proj3'")
+@query(f"SELECT p_partkey, 'scan-' || project AS project, relative_path FROM ({_SCAN})")
 def s4_scan_projects(spark: SparkSession, sf: str) -> DataFrame:
     kept = sources.project_files(d.part_paths(spark, sf))
-    roots = spark.createDataFrame([(f"proj{n}", f"scan-proj{n}") for n in range(3)], "root string, name string")
+    roots = spark.createDataFrame([(f"proj{n}", f"scan-proj{n}") for n in range(4)], "root string, name string")
     return kept.join(F.broadcast(roots), kept["project"] == roots["root"]).select("p_partkey", F.col("name").alias("project"), "relative_path")
 
 
@@ -102,16 +102,17 @@ def s5_chunk_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def _small_index(spark: SparkSession, sf: str) -> DataFrame:
     e = load_table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").cast("string").alias("chunk_id"), "label", F.when(F.col("label") % 2 == 0, "demo").otherwise("chm").alias("source_type"), F.col("embedding").alias("vector"))
+    return e.select(F.col("vec_id").cast("string").alias("chunk_id"), "label", F.when(F.col("label") % 2 == 0, "demo").otherwise("chm").alias("source_type"), F.concat(F.lit("k"), F.floor(F.col("vec_id") / 4).cast("string")).alias("source_key"), F.col("embedding").alias("vector"))
 
 
 @query("SELECT 'append' AS step, CASE WHEN label % 2 = 0 THEN 'demo' ELSE 'chm' END AS source_type, count(*) AS n, CAST(sum(label) AS BIGINT) AS labels FROM (SELECT * FROM embeddings UNION ALL SELECT * FROM embeddings WHERE label < 4) GROUP BY ALL "
        "UNION ALL SELECT 'upsert', CASE WHEN label % 2 = 0 THEN 'demo' ELSE 'chm' END, count(*), CAST(sum(CASE WHEN label < 4 THEN label + 100 ELSE label END) AS BIGINT) FROM embeddings GROUP BY ALL "
-       "UNION ALL SELECT 'overwrite', CASE WHEN label % 2 = 0 THEN 'demo' ELSE 'chm' END, count(*), CAST(sum(label) AS BIGINT) FROM embeddings WHERE label % 2 = 1 OR label = 2 GROUP BY ALL")
+       "UNION ALL SELECT 'overwrite', CASE WHEN label % 2 = 0 THEN 'demo' ELSE 'chm' END, count(*), CAST(sum(label) AS BIGINT) FROM embeddings WHERE label % 2 = 1 OR label = 2 GROUP BY ALL "
+       "UNION ALL SELECT 'replace', CASE WHEN label % 2 = 0 THEN 'demo' ELSE 'chm' END, count(*), CAST(sum(CASE WHEN vec_id % 8 = 0 THEN label + 100 ELSE label END) AS BIGINT) FROM embeddings WHERE vec_id % 8 = 0 OR (vec_id // 4, label % 2) NOT IN (SELECT (vec_id // 4, label % 2) FROM embeddings WHERE vec_id % 8 = 0) GROUP BY ALL")
 def s6_append_to_index(spark: SparkSession, sf: str) -> DataFrame:
     rows, out = _small_index(spark, sf), None
     some = rows.where("label < 4")
-    steps = {"append": (some, "append"), "upsert": (some.withColumn("label", F.col("label") + 100), "upsert"), "overwrite": (rows.where("label = 2"), "overwrite")}
+    steps = {"append": (some, "append"), "upsert": (some.withColumn("label", F.col("label") + 100), "upsert"), "overwrite": (rows.where("label = 2"), "overwrite"), "replace": (rows.where("chunk_id % 8 = 0").withColumn("label", F.col("label") + 100), "replace")}
     for step, (more, mode) in steps.items():
         path = new_path(spark, "index")
         idx.write_index(rows, path)
@@ -142,15 +143,21 @@ def h1_clean_html(spark: SparkSession, sf: str) -> DataFrame:
     return _cleaned(spark, sf).select("source_file", "title", F.size("headings").alias("n_headings"), F.length("content").alias("n_chars"), _md5("content"))
 
 
-@query(f"SELECT page_id, {strip_sql(_HTML_TEXT.format('regexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)'))} AS title, 0 AS differs FROM pages")
+_TITLE = strip_sql(_HTML_TEXT.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))
+
+
+@query(f"SELECT page_id, {_TITLE} AS title, {_TITLE} AS parsed FROM pages")
 def h2_extract_title(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles by expression and from the parsed page."""
     pages = load_table(spark, sf, "pages")
     parsed = html.clean_html(pages, key_col="page_id").select(F.col("source_file").alias("page_id"), F.col("title").alias("parsed"))
-    quick = pages.select("page_id", html.extract_title(F.col("html")).alias("title")).join(parsed, "page_id")
-    return quick.select("page_id", "title", (F.col("title") != F.col("parsed")).cast("int").alias("differs"))
+    return pages.select("page_id", html.extract_title(F.col("html")).alias("title")).join(parsed, "page_id").select("page_id", "title", "parsed")
+
 
+_H1S = "regexp_extract_all(html, '(?is)<h1>(.*?)</h1>', 1)"
 
-@query(f"SELECT url || '#' || page_id AS source_file, 0 AS pos, {strip_sql(_HTML_TEXT.format('regexp_extract(html, ' + chr(39) + '(?is)<h1>(.*?)</h1>' + chr(39) + ', 1)'))} AS heading FROM pages")
+
+@query(f"SELECT source_file, CAST(pos - 1 AS INTEGER) AS pos, {strip_sql(_HTML_TEXT.format('h'))} AS heading FROM (SELECT url || '#' || page_id AS source_file, unnest({_H1S}) AS h, generate_subscripts({_H1S}, 1) AS pos FROM pages)")
 def h3_outline(spark: SparkSession, sf: str) -> DataFrame:
     return html.outline(_cleaned(spark, sf))
 
@@ -175,6 +182,29 @@ def h4_h7_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return html.clean_html(_markup(spark, sf), keep_links=True).select("source_file", "content")
 
 
+def _furnished(spark: SparkSession, sf: str, **options) -> DataFrame:
+    """Parts as pages with navigation, a comment, an advertisement and headings, cleaned."""
+    n, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    head = F.concat(F.lit("<html><head><title> "), name, F.lit(" &amp; "), n, F.lit(" </title><style>p{}</style></head><body><nav id='top'>Home</nav><!-- note --><h1>"), name, F.lit("</h1><h2> </h2>"))
+    page = F.concat(head, F.lit("<p>one<br>two <b>"), n, F.lit("</b></p>tail<div class='box ad-wide'>buy</div><h3>T<i>"), "p_brand", F.lit("</i></h3></body></html>"))
+    pages = load_table(spark, sf, "part").select(F.concat(F.lit("p"), n).alias("path"), page.alias("html"))
+    return html.clean_html(pages, **options).select("source_file", "title", F.size("headings").alias("n_headings"), "content")
+
+
+_FURNISHED = "SELECT 'p' || p_partkey AS source_file, p_name || ' & ' || p_partkey AS title, 2 AS n_headings, {0} || '# ' || p_name || chr(10) || chr(10) || 'onetwo' || p_partkey || chr(10) || chr(10) || 'tail' || {1} || chr(10) || chr(10) || '### T' || p_brand AS content FROM part"
+
+
+@query(_FURNISHED.format("'Home' || chr(10) || 'note' || chr(10) || chr(10)", "chr(10) || 'buy'"))
+def h1_clean_markup(spark: SparkSession, sf: str) -> DataFrame:
+    return _furnished(spark, sf)
+
+
+@query(_FURNISHED.format("''", "''"))
+def h9_clean_markup(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without furniture."""
+    return _furnished(spark, sf, remove_boilerplate=True)
+
+
 _WS = "'  ' || chr(10) || replace(text, '. ', '.  ' || chr(9) || chr(10) || chr(10) || chr(10) || chr(10)) || chr(10)"
 
 
@@ -209,10 +239,11 @@ def c1_count_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return load_table(spark, sf, "documents").select("doc_id", t.count_tokens("text").alias("tokens"))
 
 
+_HEADING = r"regexp_extract(part, '^#{1,6}\s+(.+)', 1)"
 _SECTIONS = rf"""
 marked AS (SELECT source_file, string_split(regexp_replace(content, '(?m)^(#{{1,6}}\s+.+)$', chr(1) || '\1', 'g'), chr(1)) AS parts FROM ({d.MD_MULTI})),
 part_rows AS (SELECT source_file, unnest(parts) AS part, generate_subscripts(parts, 1) AS n FROM marked),
-sections AS (SELECT source_file, n, CAST(row_number() OVER (PARTITION BY source_file ORDER BY n) - 1 AS INTEGER) AS section_no, CASE WHEN n > 1 THEN {strip_sql("regexp_extract(part, '^#{1,6}\s+(.+)', 1)")} ELSE '' END AS section_title, {strip_sql('part')} AS section
+sections AS (SELECT source_file, n, CAST(row_number() OVER (PARTITION BY source_file ORDER BY n) - 1 AS INTEGER) AS section_no, CASE WHEN n > 1 THEN {strip_sql(_HEADING)} ELSE '' END AS section_title, {strip_sql('part')} AS section
   FROM part_rows WHERE {strip_sql('part')} <> '')"""
 
 
@@ -314,6 +345,7 @@ def c9_chunk_documents_with(spark: SparkSession, sf: str) -> DataFrame:
 # Code -------------------------------------------------------------------------
 
 _LINES = "lines AS (SELECT project, relative_path, string_split(content, chr(10)) AS ls, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM f)"
+# Calls through an object, with a name space, and of capitalised names.
 _PATTERNS = [r"(\w+)\s*(?:->|\.)\s*(\w+)\s*\([^)]*\)", r"(\w+(?:::\w+)+)\s*\([^)]*\)", r"\b([A-Z]\w+)\s*\([^)]*\)"]
 _BEFORE = "string_split(m, '(')[1]"
 _CALLS_SQL = f"""f AS ({d.CPP_FILES}), {_LINES}, live AS (SELECT * FROM lines WHERE NOT (trim(line) LIKE '//%' OR trim(line) LIKE '/*%')),
@@ -363,12 +395,16 @@ def d2_cpp_declarations(spark: SparkSession, sf: str) -> DataFrame:
     return code.cpp_declarations(d.header_files(spark, sf)).select("relative_path", "name", "signature", "line_start")
 
 
-@query()
+_SOURCE = "SELECT 'proj' || (s_suppkey % 3) AS project, 'src/w' || s_suppkey || '.cpp' AS relative_path, {0} FROM supplier"
+_GET_BODY = r"""'{' || chr(10) || '  if (a) { return ''{''; }' || chr(10) || '  else if (x) {' || chr(10) || '    call();' || chr(10) || '  }' || chr(10) || '  return a;' || chr(10) || '}'"""
+
+
+@query(_SOURCE.format("0 AS order_no, 'W' || s_suppkey AS name, 'class' AS kind, 'class W' || s_suppkey || ' : public Q' AS signature, '{' || chr(10) || '  int x;' || chr(10) || '}' AS body, CAST(NULL AS VARCHAR) AS class_name, 1 AS line_start, 3 AS line_end"))
 def d3_cpp_classes(spark: SparkSession, sf: str) -> DataFrame:
     return code.cpp_classes(d.source_files(spark, sf)).drop("ext")
 
 
-@query()
+@query(_SOURCE.format(f"1 AS order_no, 'get' AS name, 'method' AS kind, 'int W' || s_suppkey || '::get(int a)' AS signature, {_GET_BODY} AS body, 'W' || s_suppkey AS class_name, 4 AS line_start, 11 AS line_end") + " UNION ALL " + _SOURCE.format("2, 'free' || s_suppkey, 'function', 'static void free' || s_suppkey || '()', '{}', NULL, 12, 12"))
 def d4_d6_cpp_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Functions with bodies by matching braces, and their lines."""
     return code.cpp_functions(d.source_files(spark, sf)).drop("ext")
@@ -394,7 +430,12 @@ def d14_content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return load_table(spark, sf, "documents").select("doc_id", t.content_hash("text").alias("hash"))
 
 
-@query()
+_WIDGET = "SELECT 'ui/d' || s_suppkey || '.ui' AS relative_path, {0} FROM supplier"
+
+
+@query(" UNION ALL ".join(_WIDGET.format(x) for x in (
+    "0 AS node_no, CAST(NULL AS INTEGER) AS parent_no, 0 AS depth, 'Dlg' || s_suppkey AS object_name, 'QDialog' AS class_name, CAST(NULL AS INTEGER) AS row, CAST(NULL AS INTEGER) AS column, '{}' AS properties",
+    "1, 0, 1, 'ok', 'QPushButton', 0, 1, '{\"text\":\"' || s_name || '\"}'", "2, 0, 1, 'f', 'QFrame', NULL, NULL, '{}'")))
 def d15_ui_widgets(spark: SparkSession, sf: str) -> DataFrame:
     return code.ui_widgets(d.ui_files(spark, sf)).select("relative_path", "node_no", "parent_no", "depth", "object_name", "class_name", "row", "column", F.to_json("properties").alias("properties"))
 
@@ -517,17 +558,45 @@ def e4_embed_queries(spark: SparkSession, sf: str) -> DataFrame:
     return embed.embed_queries(questions, embed.hashing_embedder(64)).select("conv_id", "turn", F.size("vector").alias("dimension"))
 
 
+def _letters(texts: list[str]):
+    """How often each letter from a to z occurs: an embedding that SQL can follow."""
+    import numpy as np
+
+    return np.array([[t.count(chr(97 + n)) for n in range(26)] for t in texts], np.float32).reshape(-1, 26)
+
+
+_CLEAN = r"substr(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '^ | $', '', 'g'), 1, 15000)"
+_LETTERS = "array_to_string(list_transform(range(26), lambda n: length(c) - length(replace(c, chr(CAST(97 + n AS INTEGER)), ''))), ',') AS letters"
+
+
+def _counts() -> Column:
+    return F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("letters")
+
+
+@query(_CHUNKS_SQL + f"SELECT chunk_id, {_LETTERS} FROM (SELECT sha256('chm' || chr(31) || source_file || chr(31) || chunk_no) AS chunk_id, {_CLEAN.format('content')} AS c FROM final)")
+def e2_embed_letters(spark: SparkSession, sf: str) -> DataFrame:
+    return embed.embed_chunks(d.doc_chunks(spark, sf), _letters).select("chunk_id", _counts())
+
+
+@query(f"SELECT conv_id, turn, {_LETTERS} FROM (SELECT conv_id, turn, {_CLEAN.format('text')} AS c FROM conversations WHERE role = 'user')")
+def e4_embed_letters(spark: SparkSession, sf: str) -> DataFrame:
+    questions = load_table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    return embed.embed_queries(questions, _letters).select("conv_id", "turn", _counts())
+
+
 # Search -----------------------------------------------------------------------
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 4) > 0 AS nonzero, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 5) AS first, 1.0 AS length FROM embeddings")
+@query("""WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm FROM embeddings),
+ u AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN norm > 0 THEN CAST(x AS DOUBLE) / norm ELSE CAST(x AS DOUBLE) END) AS v FROM n)
+SELECT vec_id, list_sum(list_transform(v, lambda x: x * x)) > 0 AS nonzero, round(v[1], 5) AS first, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS length FROM u""")
 def v1_l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
     unit = load_table(spark, sf, "embeddings").select("vec_id", search.l2_normalize("embedding").alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     return unit.select("vec_id", (square > 0).alias("nonzero"), F.round(F.get("v", 0), 5).alias("first"), F.round(F.sqrt(square), 4).alias("length"))
 
 
-_SCORED = f"""x AS ({d.VECTOR_INDEX}), q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20),
+_SCORED = f"""x AS ({d.VECTOR_INDEX}), q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, x.* EXCLUDE (vector), list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(vector AS DOUBLE[])) AS sim FROM q, x)"""
 _EXACT = f"WITH {_SCORED}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS INTEGER) AS rank FROM s WHERE {{0}})"
 
@@ -601,13 +670,25 @@ _ANSWER = "'Answer from the passages above and mark what they do not say.'"
 _SUGGEST = "'No passage was found; mark the whole answer as a suggestion.'"
 
 
-@query(_EXACT.format("source_type = 'demo'") + f", {_CONTEXT_SQL}, {_HISTORY}, t AS (SELECT conv_id AS query_id, text AS question, history FROM conversations JOIN h USING (conv_id, turn) WHERE turn = 0) SELECT query_id, CASE WHEN context IS NULL THEN {_PROMPT.format(chr(39) + '(no passages)' + chr(39), _SUGGEST)} ELSE {_PROMPT.format('context', _ANSWER)} END AS prompt FROM t LEFT JOIN c USING (query_id)")
+@query(_EXACT.format("source_type = 'demo'") + f", {_CONTEXT_SQL}, {_HISTORY}, t AS (SELECT conv_id || ':' || turn AS query_id, (conv_id + turn) // 50 * 50 AS vec, text AS question, history FROM conversations JOIN h USING (conv_id, turn) WHERE role = 'user') SELECT t.query_id, CASE WHEN context IS NULL THEN {_PROMPT.format(chr(39) + '(no passages)' + chr(39), _SUGGEST)} ELSE {_PROMPT.format('context', _ANSWER)} END AS prompt FROM t LEFT JOIN c ON c.query_id = t.vec")
 def q3_build_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn is a question, with what was said before and the passages of one of the vector queries."""
     talks = load_table(spark, sf, "conversations")
-    questions = talks.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
-    history = prompts.history_section(talks).where("turn = 0").select(F.col("conv_id").alias("query_id"), "history")
-    context = prompts.format_context(search.search(d.vector_queries(spark, sf), d.vector_index(spark, sf), 5, source="demo"))
-    return prompts.build_prompts(questions, context, history)
+    questions, history = _questions(talks)
+    found = prompts.format_context(search.search(d.vector_queries(spark, sf), d.vector_index(spark, sf), 5, source="demo")).withColumnRenamed("query_id", "vec")
+    asked = talks.where("role = 'user'").select(_query_id().alias("query_id"), (F.floor((F.col("conv_id") + F.col("turn")) / 50) * 50).alias("vec"))
+    return prompts.build_prompts(questions, asked.join(found, "vec").select("query_id", "context"), history)
+
+
+def _query_id() -> Column:
+    return F.concat_ws(":", "conv_id", "turn")
+
+
+def _questions(talks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The user turns as questions, and the history of each."""
+    questions = talks.where("role = 'user'").select(_query_id().alias("query_id"), F.col("text").alias("question"))
+    history = prompts.history_section(talks).select(_query_id().alias("query_id"), "history").join(questions.select("query_id"), "query_id", "left_semi")
+    return questions, history
 
 
 @query("SELECT conv_id, turn, session_no, CAST(row_number() OVER (PARTITION BY conv_id, session_no ORDER BY turn) AS INTEGER) AS position FROM (SELECT *, sum(CAST(role = 'system' AS BIGINT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS session_no FROM conversations) WHERE role <> 'system'")
@@ -620,13 +701,13 @@ def q4_session_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def w1_w3_pages_to_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages to chunks to an index on disk, then prompts for all opening questions."""
+    """Pages to chunks to an index on disk, then prompts for all user turns."""
     pages = load_table(spark, sf, "pages").withColumn("path", F.concat("url", F.lit("#"), F.col("page_id").cast("string")))
     good, _ = html.drop_empty(html.clean_html(pages))
     model = embed.hashing_embedder(64)
     chunks = chunking.to_chunks(chunking.chunk_documents(good), "chm", F.col("source_file"))
     path = new_path(spark, "index")
     idx.write_index(embed.embed_chunks(chunks, model), path)
-    questions = load_table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
+    questions, history = _questions(load_table(spark, sf, "conversations"))
     results = search.search(embed.embed_queries(questions, model).select("query_id", "vector"), idx.load_index(spark, path), 5, source="chm")
-    return prompts.build_prompts(questions, prompts.format_context(results)).select("query_id", F.length("prompt").alias("n_chars"), _md5("prompt"))
+    return prompts.build_prompts(questions, prompts.format_context(results), history).select("query_id", F.length("prompt").alias("n_chars"), _md5("prompt"))

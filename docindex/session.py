@@ -57,13 +57,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder wherever Spark can reach it; PySpark has no call of its own for that."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def drop(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and that nothing will read any more."""
     for df in tables:
-        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+        remove(df.sparkSession, df.written_to)

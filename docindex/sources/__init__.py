@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators.chunking import CHUNK_COLUMNS
 
+# Suffixes of pages and of source files that are read, directories that are not
+# entered, and encodings in the order in which they are tried.
 HTML_SUFFIXES = (".html", ".htm", ".xhtml")
-# Suffixes of source files that are read, and directories that are not entered.
 CODE_SUFFIXES = (".h", ".hpp", ".cpp", ".cc", ".cxx", ".ui", ".def", ".tcmd")
 SKIP_DIRS = (".git", ".svn", ".vs", ".vscode", "Debug", "Release", "x64", "x86", "build", "out", "bin", "obj", "__pycache__", "node_modules", "GeneratedFiles")
 HTML_ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
@@ -25,10 +26,15 @@ def html_files(df: DataFrame, path_col: str = "path", exts: tuple[str, ...] = HT
     return df.where(suffix(F.col(path_col)).isin(*exts))
 
 
+def _files(spark: SparkSession, path: str, exts: tuple[str, ...]) -> DataFrame:
+    """The files below ``path`` with these suffixes, in any case; no others are opened."""
+    glob = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in exts)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{glob}}}").load(path)
+
+
 def read_html_pages(spark: SparkSession, path: str, exts: tuple[str, ...] = HTML_SUFFIXES) -> DataFrame:
     """(path, content) of the pages below ``path``; sort by path where order matters."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return html_files(files, exts=exts).select("path", "content")
+    return html_files(_files(spark, path, exts), exts=exts).select("path", "content")
 
 
 def decode_text(content: Column, encodings: tuple[str, ...] = HTML_ENCODINGS) -> Column:
@@ -50,7 +56,12 @@ def decode_text(content: Column, encodings: tuple[str, ...] = HTML_ENCODINGS) ->
             return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
         return None
 
-    return decode(content)
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^\ufeff", ""), "\r\n?", "\n")
+    if encodings[:1] != ("utf-8",):
+        return decode(content)
+    # Python only sees what isn't UTF-8.
+    good = F.is_valid_utf8(content.cast("string"))
+    return F.when(good, plain(content.cast("string"))).otherwise(decode(F.when(good, F.lit(None)).otherwise(content)))
 
 
 def project_files(df: DataFrame, skip_dirs: tuple[str, ...] = ()) -> DataFrame:
@@ -74,8 +85,7 @@ def _relative(path: Column, root: str) -> Column:
 def scan_project(spark: SparkSession, directory: str, project: str | None = None, skip_dirs: tuple[str, ...] = ()) -> DataFrame:
     """(project, relative_path, ext, content) of a project's source files; the
     project is called like its directory if no name is given."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    named = files.select(F.lit(project or directory.rstrip("/").rsplit("/", 1)[-1]).alias("project"), _relative(F.col("path"), directory).alias("relative_path"), "content")
+    named = _files(spark, directory, CODE_SUFFIXES).select(F.lit(project or directory.rstrip("/").rsplit("/", 1)[-1]).alias("project"), _relative(F.col("path"), directory).alias("relative_path"), "content")
     kept = project_files(named, skip_dirs)
     return kept.select("project", "relative_path", "ext", decode_text(F.col("content"), HTML_ENCODINGS).alias("content"))
 
@@ -106,6 +116,25 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(", ".join(f"{c} {t}" for c, t in CHUNK_COLUMNS.items())).json(path)
 
 
+def write_chunk_array(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Chunks as files that each hold one JSON array of {content, metadata}: what of a
+    partition's rows isn't null. Partitions are files, so ``coalesce`` first for a single one."""
+    fields = [c for c in CHUNK_COLUMNS if c not in ("chunk_id", "source_key", "chunk_no", "content") and c in df.columns]
+    rows = df.select(F.to_json(F.struct("content", F.struct(*fields).alias("metadata"))).alias("value"))
+
+    def array(batches):
+        import pyarrow as pa
+
+        ahead = "["
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([ahead + row])], ["value"])
+                ahead = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if ahead == "," else "[]"])], ["value"])
+
+    rows.mapInArrow(array, "value string").write.mode(mode).text(path)
+
+
 def read_chunk_array(spark: SparkSession, path: str) -> DataFrame:
     """Chunks of files that hold one JSON array of {content, metadata}, flattened."""
     fields = [c for c in CHUNK_COLUMNS if c not in ("chunk_id", "source_key", "chunk_no", "content")]

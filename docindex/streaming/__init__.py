@@ -13,18 +13,18 @@ from ..operators.index import append_to_index, write_index
 
 
 def ingest_pages(pages: DataFrame, path: str, checkpoint: str, embed_fn: EmbedFn, html_col: str = "html", key_col: str = "path") -> StreamingQuery:
-    """Clean, chunk and embed pages of a stream (path, html) and upsert them into the
-    index at ``path``. Chunk ids come from the page and the chunk's number, so a batch that runs
-    again changes nothing. The steps work on single rows: no state is kept."""
+    """Clean, chunk and embed pages of a stream (path, html) and put them into the
+    index at ``path`` in the place of what it has of them. Chunk ids come from the page and the chunk's
+    number, so a batch that runs again changes nothing. The steps work on single rows: no state is kept."""
 
     def store(batch: DataFrame, number: int) -> None:
         good, _ = drop_empty(clean_html(batch, html_col, key_col))
         chunks = embed_chunks(to_chunks(chunk_documents(good), "chm", F.col("source_file")), embed_fn)
         try:
-            append_to_index(chunks, path, "upsert")
+            append_to_index(chunks, path, "replace", batch.select(F.lit("chm").alias("source_type"), F.col(key_col).alias("source_key")))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            write_index(chunks.dropDuplicates(["chunk_id"]), path)
+            write_index(chunks, path)
 
     return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -98,6 +98,36 @@ def test_index_modes(spark, small):
         idx.load_index(spark, path + "-none")
 
 
+def test_sources_are_replaced(spark):
+    path = new_path(spark, "test-index")
+    rows = [(f"{s}{n}", s, t, [1.0, float(n)]) for s, t, many in (("p", "chm", 4), ("q", "chm", 2), ("p", "demo", 1)) for n in range(many)]
+    schema = "chunk_id string, source_key string, source_type string, vector array<float>"
+    idx.write_index(spark.createDataFrame(rows, schema), path)
+    less = spark.createDataFrame([("p0", "p", "chm", [9.0, 9.0]), ("p0", "p", "chm", [8.0, 9.0])], schema)
+    state = lambda: sorted((r["source_type"], r["chunk_id"], r["vector"][0]) for r in idx.load_index(spark, path).collect())
+    for _ in range(2):
+        idx.append_to_index(less, path, "replace")
+        assert state() == [("chm", "p0", 9.0), ("chm", "q0", 1.0), ("chm", "q1", 1.0), ("demo", "p0", 1.0)]
+    gone = spark.createDataFrame([("chm", "q"), ("chm", "new")], "source_type string, source_key string")
+    idx.append_to_index(less.limit(0), path, "replace", gone)
+    assert state() == [("chm", "p0", 9.0), ("demo", "p0", 1.0)]
+    assert tuple(idx.read_manifest(spark, path).first()) == (2, 2)
+    idx.append_to_index(spark.createDataFrame([("r0", "r", "chm", [3.0, 3.0])], schema), path, "overwrite")
+    assert state() == [("chm", "r0", 3.0), ("demo", "p0", 1.0)]
+
+
+def test_blocks_of_queries_and_scores(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = np.round(rng.normal(size=(400, 4)), 1)
+    index = spark.createDataFrame([(f"c{n:03}", [float(x) for x in v]) for n, v in enumerate(m)], "chunk_id string, vector array<double>").repartition(3)
+    q = queries(spark, *m[:40])
+    whole = found(search.nearest(q, index, 5))
+    monkeypatch.setattr(search, "CELLS", 300)
+    assert found(search.nearest(q, index, 5)) == whole
+    monkeypatch.setattr(search, "BLOCK_BYTES", 4 * 8 * 10)
+    assert found(search.nearest(q, index, 5)) == whole and len(whole) == 200
+
+
 def test_history(spark):
     rows = [(1, n, "system" if n == 7 else "user" if n % 2 == 0 else "assistant", "x" * (501 if n == 6 else 500) if n > 5 else str(n)) for n in range(9)]
     got = {r["turn"]: r["history"] for r in prompts.history_section(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()}

@@ -39,13 +39,23 @@ def test_chunk_arrays(spark, tmp_path):
     df = spark.createDataFrame([tuple(None if t == "int" else "é\n" for t in CHUNK_COLUMNS.values())], ", ".join(f"{c} {t}" for c, t in CHUNK_COLUMNS.items()))
     sources.write_chunks(df, path)
     assert sources.read_chunks(spark, path).collect() == df.collect()
+    path = tmp_path / "arrays"
+    sources.write_chunk_array(df.unionByName(df).coalesce(1), str(path))
+    (part,) = path.glob("part-*")
+    said = json.loads(part.read_text())
+    assert len(said) == 2 and said[0]["content"] == "é\n" and said[0]["metadata"]["symbol"] == "é\n" and "line_number" not in said[0]["metadata"]
+    assert [r["symbol"] for r in sources.read_chunk_array(spark, str(path)).collect()] == ["é\n"] * 2
+    sources.write_chunk_array(df.limit(0).coalesce(1), str(tmp_path / "none"))
+    assert sources.read_chunk_array(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("u1", "<h1>Alpha</h1><p>one two</p>"), ("u2", "")], "path string, html string").write.parquet(str(tmp_path / "in/a"))
     out = str(tmp_path / "index")
-    for _ in range(2):
+    spark.createDataFrame([("u3", "<h1>Beta</h1><p>one</p>")], "path string, html string").write.parquet(str(tmp_path / "in/c"))
+    for n in range(2):
         stream = spark.readStream.schema("path string, html string").parquet(str(tmp_path / "in/*"))
         ingest_pages(stream, out, str(tmp_path / "state"), hashing_embedder(8)).awaitTermination()
-        assert [(r["source_file"], r["symbol"]) for r in load_index(spark, out).collect()] == [("u1", "Alpha")]
-        spark.createDataFrame([("u1", "<h1>Alpha</h1><p>one two</p>")], "path string, html string").write.parquet(str(tmp_path / "in/b")) if not (tmp_path / "in/b").exists() else None
+        assert sorted((r["source_file"], r["symbol"]) for r in load_index(spark, out).collect()) == [("u1", "Alpha"), ("u3", "Beta")][: 2 - n]
+        if not n:  # the same again, and a page that has become empty
+            spark.createDataFrame([("u1", "<h1>Alpha</h1><p>one two</p>"), ("u3", "")], "path string, html string").write.parquet(str(tmp_path / "in/b"))
