@@ -8,13 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import drop, load_table, materialize, new_path, shared_dir  # noqa: F401
 
-#: Rows of text per Arrow batch; long texts make batches of more rows too large.
-TEXT_BATCH = 1000
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the given tables; also bounds Arrow batches, whose rows hold texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    """One of the given tables."""
     return load_table(spark, sf_dir, table)
 
 
@@ -49,3 +44,30 @@ def join_by_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, how: s
     few = F.broadcast(by_key.join(F.broadcast(names), key, "left_semi"))
     out = marked.where("_hot").drop("_hot").join(few, key, how)
     return out.unionByName(marked.where("_hot is null").drop("_hot").join(by_key, key, how))
+
+
+#: Bits of the map that ``maybe_among`` broadcasts, at most 4 MB, and of one of its rows (Spark's own size).
+MAP_BITS, ROW_BITS = 1 << 25, 1 << 15
+
+
+def spare(columns: list[str], name: str) -> str:
+    """``name``, or something longer if ``columns`` has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def flag_among(df: DataFrame, column: str, ids: DataFrame, flag: str) -> DataFrame:
+    """Add ``flag``: true for every row of ``df`` whose ``column`` is among ``ids`` (one column of
+    that name) and for few others; rows with the flag still have to be joined. It saves
+    moving rows that can't have a partner. The map of bits that is broadcast is of fixed size, so with
+    very many ids more rows get the flag; none is ever missed."""
+    row, place, bits = (spare([*df.columns, flag], n) for n in ("map_row", "map_place", "map_bits"))
+    at = F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
+    marked = ids.where(F.col(column).isNotNull()).select(F.floor(at / ROW_BITS).alias(row), (at % ROW_BITS).alias(place))
+    marked = marked.groupBy(row).agg(F.call_function("bitmap_construct_agg", F.col(place)).alias(bits))
+    out = df.withColumn(row, F.floor(at / ROW_BITS)).withColumn(place, (at % ROW_BITS).cast("int")).join(F.broadcast(marked), row, "left")
+    byte = F.conv(F.hex(F.substring(bits, (F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, F.col(place) % 8) == 1
+    return out.withColumn(flag, F.coalesce(is_set, F.lit(False))).drop(row, place, bits)
