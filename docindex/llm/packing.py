@@ -55,7 +55,7 @@ class WordEncoder:
     The tokenizer cuts a text into words and its model encodes each word by itself, so
     the ids of a word are kept. Words are cut here for texts of Latin-1
     characters, which are their own NFC form; other texts go through the tokenizer
-    whole, and so do all if it turns out to work in another way."""
+    whole, and so do those that hold the string of a special token, and all if it turns out to work in another way."""
 
     def __init__(self, path: str):
         import re
@@ -65,54 +65,60 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         latin = [chr(i) for i in range(256)]
         of = lambda kind: "".join(re.escape(c) for c in latin if regex.fullmatch(kind, c))
         letters, numbers, blanks = of(r"\p{L}"), of(r"\p{N}"), of(r"[\t-\r \x85\xa0]")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+").findall
         self.ids = _Words(self.tokenizer.model)
         sample = "It's a Sample, 42 ÀÉ!? " + "".join(latin[33:])
-        self.by_word = self._words(sample) == self._whole(sample)
+        self.by_word = self._words(sample.lower()) == self._whole(sample)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _words(self, text: str) -> bytes:
-        return b"".join(map(self.ids.__getitem__, self.words(text.lower())))
+    def _words(self, lower: str) -> bytes:
+        return b"".join(map(self.ids.__getitem__, self.words(lower)))
 
     def __call__(self, text: str) -> bytes:
         if self.by_word:
             try:
                 text.encode("latin-1")
-                return self._words(text)
+                lower = text.lower()
+                if not any(s in lower for s in self.special):
+                    return self._words(lower)
             except UnicodeEncodeError:
                 pass
         return self._whole(text)
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id {0}, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Cut every document (``doc_id``, ``text``; null text counts as empty) into
     pieces of at most ``capacity`` tokens, its ids followed by ``end_id``. Only a
     longer document is cut, and only its last piece may be shorter. An empty
-    text is one piece of one token; repeated rows give repeated pieces."""
+    text is one piece of one token; repeated rows give repeated pieces. Ids may be of any
+    type, other columns are dropped."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = WordEncoder(tokenizer_path)
-        schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+        schema = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            owner: list[int] = []
+            for doc, text in enumerate(batch.column(1)):
                 ids = encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     one = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(one) // 4, zlib.crc32(one)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema.types, strict=True)], schema=schema)
+                    owner.append(doc)
+                    rows.append((k, at // 4, len(one) // 4, zlib.crc32(one)))
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, schema.types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *cols], ["doc_id", *schema.names])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(cut, PIECES.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:
@@ -158,15 +164,17 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> dict[int, list[tuple
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with ``doc_id``, ``piece`` and
     ``length`` (1 to ``capacity``): sequences are filled without gaps from offset 0.
-    Give it a table that doesn't change when read again; it is read three times."""
+    Other columns stay; any named like the two new ones give way. Give it a table that doesn't change when read again; it is read three times."""
     spark = pieces.sparkSession
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # a row per length
     runs = {n: np.array(r, np.int64).reshape(-1, 4) for n, r in plan_best_fit(counts, capacity).items()}
     share = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()] or [(0, 1)], "length long, parts long")
-    dealt = pieces.join(F.broadcast(share), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    cols = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    rows = pieces.select(F.struct(*cols).alias("row"), "length", F.struct("doc_id", "piece", "ids_crc32").alias("key"))
+    dealt = rows.join(F.broadcast(share), "length").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("parts")
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     base = dealt.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    inside = W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    inside = W.partitionBy("length", "part").orderBy("key")
     ranked = dealt.withColumn("rank", F.row_number().over(inside).cast("long") - 1).join(base, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -182,7 +190,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             out[at, 0], out[at, 1] = first + k // each, offset + k % each * n[at]
         return pd.DataFrame({"sequence_id": out[:, 0], "offset": out[:, 1]})
 
-    return ranked.withColumn("slot", slot("length", "rank")).select(*pieces.columns, "slot.sequence_id", "slot.offset")
+    return ranked.withColumn("slot", slot("length", "rank")).select("row.*", "slot.sequence_id", "slot.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2048) -> DataFrame:
