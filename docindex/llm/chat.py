@@ -3,18 +3,20 @@ turns; these become one prompt, the rest of each a completion in which only
 what the assistant says is trained on.
 
 Turns stay rows until the end, so a conversation of any length is compared and
-cut without one task holding it; long ones come out in numbered parts.
+cut without one task holding it. A conversation is one row, whatever its number of turns; only where its
+text is too long for a row does it come out in numbered parts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import load
 
-#: Turns (by their number) that one row of output may hold.
-PART = 1000
+#: Characters from which on a conversation goes on in another row, and turn numbers that stay together.
+PART_CHARS, TURNS = 50_000_000, 1000
 
 
 def render(role: Column, text: Column) -> Column:
@@ -34,7 +36,7 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """Prompts and completions from two tables (pair_id, turn, role, text).
 
     The prompt ends before the first turn that differs or that one side lacks.
-    A row for each pair and part of ``PART`` turns: ``n_common``, ``n_chosen`` and
+    A row for each pair; of one of more than ``PART_CHARS`` characters a row for each part of about that length: ``n_common``, ``n_chosen`` and
     ``n_rejected`` turns of that part, ``prompt``, ``chosen``, ``rejected`` and their masks,
     spans (start, end; code points, end exclusive) of the completion that count in
     training: the assistant's texts with their end marks."""
@@ -42,7 +44,13 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     both = both.select("pair_id", "turn", F.col("c.said").alias("c"), F.col("r.said").alias("r"))
     first = both.where(~F.col("c").eqNullSafe(F.col("r"))).groupBy("pair_id").agg(F.min("turn").alias("first"))
     cut = both.join(first, "pair_id", "left").withColumn("common", F.coalesce(F.col("turn") < F.col("first"), F.lit(True)))
-    part = F.floor(F.col("turn") / PART)
+    size = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + F.length(render(s["role"], s["text"]))), F.lit(0))
+    cut = cut.withColumn("stretch", F.floor(F.col("turn") / TURNS))
+    sizes = cut.groupBy("pair_id", "stretch").agg(F.sum(size(F.col("c")) + size(F.col("r"))).alias("n"))
+    before = W.partitionBy("pair_id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)  # a row for each stretch
+    parts = sizes.select("pair_id", "stretch", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / PART_CHARS).alias("part")).where("part > 0")
+    cut = cut.join(parts, ["pair_id", "stretch"], "left")
+    part = F.coalesce("part", F.lit(0).cast("long"))
 
     def gather(name: str, when: Column) -> Column:
         return F.array_sort(F.collect_list(F.when(when & F.col(name).isNotNull(), F.struct("turn", F.col(name).alias("said")))))
@@ -97,9 +105,11 @@ r AS (SELECT t.conv_id, t.turn, t.role, CASE WHEN t.turn = a.last AND t.role = '
   FROM t LEFT JOIN a USING (conv_id) WHERE a.last IS NULL OR t.turn <= a.last),
 b AS (SELECT coalesce(t.conv_id, r.conv_id) AS conv_id, coalesce(t.turn, r.turn) AS turn, t.role AS crole, t.text AS ctext, r.role AS rrole, r.text AS rtext
   FROM t FULL JOIN r ON t.conv_id = r.conv_id AND t.turn = r.turn),
+z AS (SELECT conv_id, turn // 1000 AS stretch, sum(coalesce(length(crole) + length(ctext) + 13, 0) + coalesce(length(rrole) + length(rtext) + 13, 0)) AS n FROM b GROUP BY ALL),
+y AS (SELECT conv_id, stretch, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 50000000 AS BIGINT) AS part FROM z),
 f AS (SELECT *, min(CASE WHEN crole IS DISTINCT FROM rrole OR ctext IS DISTINCT FROM rtext THEN turn END) OVER (PARTITION BY conv_id) AS first FROM b),
-c AS (SELECT *, first IS NULL OR turn < first AS common, turn // 1000 AS part,
-  '<|' || crole || '|>' || chr(10) || ctext || '<|end|>' || chr(10) AS cr, '<|' || rrole || '|>' || chr(10) || rtext || '<|end|>' || chr(10) AS rr FROM f),
+c AS (SELECT f.*, part, first IS NULL OR turn < first AS common,
+  '<|' || crole || '|>' || chr(10) || ctext || '<|end|>' || chr(10) AS cr, '<|' || rrole || '|>' || chr(10) || rtext || '<|end|>' || chr(10) AS rr FROM f JOIN y ON y.conv_id = f.conv_id AND y.stretch = f.turn // 1000),
 o AS (SELECT *, sum(CASE WHEN NOT common THEN length(cr) END) OVER w AS cend, sum(CASE WHEN NOT common THEN length(rr) END) OVER w AS rend FROM c WINDOW w AS (PARTITION BY conv_id, part ORDER BY turn))
 SELECT conv_id, part, CAST(count(*) FILTER (WHERE common) AS INTEGER) AS n_common, CAST(count(cr) FILTER (WHERE NOT common) AS INTEGER) AS n_chosen, CAST(count(rr) FILTER (WHERE NOT common) AS INTEGER) AS n_rejected,
   sha256(coalesce(string_agg(cr, '' ORDER BY turn) FILTER (WHERE common), '')) AS prompt_sha256,
