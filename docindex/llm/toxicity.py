@@ -172,13 +172,15 @@ def _descend(rows: pa.Table, names: list[str], steps: int, l2: float) -> Model:
     return Model({f: float(x) for f, x in zip(names, w[:-1], strict=True) if abs(x) > 1e-6}, float(w[-1]))
 
 
-def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", sentences_col: str = "sentences") -> DataFrame:
     """Add ``score`` (0 to 1) and ``sentences``, the spans (start, end, p; code
-    points, end exclusive) of sentences with p of 0.1 or more. Other columns stay.
+    points, end exclusive) of sentences with p of 0.1 or more. Other columns stay; any with
+    the names of these two, which can be chosen, give way.
     Null and empty texts have no sentence: score 0."""
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("sentences", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])))])
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in (score_col.lower(), sentences_col.lower())))
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(sentences_col, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])))])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
     at = docs.columns.index(text_col)
 
@@ -187,7 +189,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
         for batch in batches:
             got = [score(t.as_py() or "") for t in batch.column(at)]
             spans = [[{"start": a, "end": b, "p": float(p)} for a, b, p in s if p >= 0.1] for _, s in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.float64()), pa.array(spans, kind)], [*batch.schema.names, "score", "sentences"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.float64()), pa.array(spans, kind)], [*batch.schema.names, score_col, sentences_col])
 
     return docs.mapInArrow(apply, schema)
 
