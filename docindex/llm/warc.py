@@ -56,16 +56,19 @@ def record(date: str) -> Column:
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK" + _EOL), _field("Content-Type", F.lit("text/html; charset=utf-8")), _field("Content-Length", F.col("payload_bytes").cast("string")), F.lit(_EOL))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    urn = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "payload_digest")), r"(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">"))
+
+    def urn(page_id: str) -> Column:
+        return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("|", F.coalesce(F.col(page_id).cast("string"), F.lit("")), "payload_digest")), r"(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.lit(">"))
+
     return F.concat(
         F.lit("WARC/1.1" + _EOL),
         _field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _field("WARC-Record-ID", urn),
+        _field("WARC-Record-ID", urn("page_id")),
         _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", one_line(F.col("url"))),
         F.when(F.col("page_id").isNull(), F.lit("")).otherwise(_field("X-Page-Id", F.col("page_id").cast("string"))),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(_field("WARC-Profile", F.lit(PROFILE)), _field("WARC-Refers-To-Target-URI", one_line(F.col("refers_url"))), _field("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(_field("WARC-Profile", F.lit(PROFILE)), _field("WARC-Refers-To", urn("refers_to")), _field("WARC-Refers-To-Target-URI", one_line(F.col("refers_url"))), _field("X-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
         _field("Content-Type", F.lit("application/http; msgtype=response")),
         _field("Content-Length", F.octet_length(block).cast("string")),
         F.lit(_EOL),
