@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, row_key
+from .common import flag_among, load, materialize, row_key, spare
 from .spans import joined, labelled, with_matches
 
 
@@ -154,22 +154,26 @@ def candidates(index: DataFrame, rules: list[Rule], trigrams: list[str]) -> Data
 def find_secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Add to ``docs`` (doc_id, text and others) an array column (start, end, value) for
     each rule, named like it after ``secret_``. Null texts count as empty; rows
-    and other columns stay as they are."""
-    text, key, passed = "_secret_text", "_secret_key", "_secret_rules"  # docs may have columns of any plainer name
+    and other columns stay as they are; any with the names of these arrays give way."""
+    new = {f"secret_{r.name}".lower() for r in rules}
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in new))
+    text, key, passed, searched, flag = (spare(docs.columns, f"secret_{x}_") for x in ("text", "key", "rules", "searched", "flag"))
     keyed = docs.withColumn(text, F.coalesce("text", F.lit(""))).withColumn(key, row_key(F.col("doc_id"), F.col(text)))
     picky = [r for r in rules if trigram_query(r.pattern)]
     trigrams = sorted({t for r in picky for clause in trigram_query(r.pattern) for way in clause for t in way})
     able = candidates(postings(keyed.select(F.col(key).alias("key"), F.col(text).alias("text")), trigrams), picky, trigrams)
     able = materialize(able.select(F.col("key").alias(key), F.col("rules").alias(passed)), "candidates")
-    out = keyed.join(able.hint("shuffle_hash"), key, "left")
+    # Only texts that can have a candidate are moved to it.
+    marked = flag_among(keyed, key, able.select(key), flag)
+    out = marked.where(F.col(flag)).join(able, key, "left").unionByName(marked.where(~F.col(flag)).withColumn(passed, F.lit(None).cast("array<string>")))
     for rule in rules:
         name = f"secret_{rule.name}"
         search = F.array_contains(passed, rule.name) if rule in picky else F.lit(True)
-        out = out.withColumn("_secret_searched", F.when(search, F.col(text)).otherwise(F.lit("")))
-        out = with_matches(out, name, "_secret_searched", rule.pattern)
+        out = out.withColumn(searched, F.when(search, F.col(text)).otherwise(F.lit("")))
+        out = with_matches(out, name, searched, rule.pattern)
         if rule.check:
             out = out.withColumn(name, _checked(name, rule.check))
-    return out.drop(text, "_secret_searched", key, passed)
+    return out.drop(text, searched, key, passed, flag)
 
 
 def _checked(name: str, check: str) -> Column:
@@ -180,7 +184,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; overlapping ones count as one.
     ``n_chars``, if there, follows the text. Null texts stay null."""
     cols = docs.columns
-    found = find_secrets(docs)
+    found = find_secrets(docs.select(F.struct(*cols).alias("row"), "doc_id", "text"))
     spans = F.array_sort(F.concat(*(F.transform(F.col(f"secret_{r.name}"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for r in RULES)))
     found = found.withColumn("_spans", spans)
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("gaps"))
@@ -193,10 +197,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     pieces = F.transform(F.col("_kept.gaps"), lambda g: F.substring(F.col("text"), g["start"] + 1, g["end"] - g["start"]))
     rest = F.substring(F.col("text"), F.col("_kept.at") + 1, F.length("text"))
     cut = F.when(F.size("_spans") > 0, F.concat(F.array_join(pieces, mark), F.lit(mark), rest)).otherwise(F.col("text"))
-    found = found.withColumn("text", cut)
+    changed = {"text": cut}
     if "n_chars" in cols:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*cols)
+        changed["n_chars"] = F.when(F.size("_spans") > 0, F.length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*((changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in cols))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
