@@ -1,183 +1,229 @@
 """Benchmark decontamination by greedy string tiling.
 
-Rolling Karp-Rabin hashes of token runs of documents are joined with those of
-the test items; where they meet, matches are extended as far as they go. The
-longest match is marked as a tile, then the longest among what is still
-unmarked, and so on. An item counts as leaked into a document if the tiles cover
-enough of it; as tiles may lie in any order, reordered passages are caught too.
+Runs of a few tokens of the test items, by their rolling hashes, are seeds; Spark joins
+them with the seeds of documents. A document and an item that share any are tiled:
+the longest match of tokens is marked as a tile, then the longest among what is still unmarked, and
+so on, each found by Karp-Rabin hashes of windows. An item counts as leaked into a document if
+the tiles cover enough of it; as tiles may lie in any order, reordered passages
+are caught too.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import MAP_BITS, ROW_BITS, drop, flag_among, join_by_key, load, materialize, row_key, spare
 
 _TOKENS = re.compile(r"\w+").findall
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Characters of test items that one pass over the documents broadcasts.
-BLOCK_CHARS = 16_000_000
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
 #: Shortest tile, in tokens, and the share of an item's tokens that tiles must cover.
 MIN_TILE, MIN_COVERAGE = 5, 0.5
 
 
-def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n ids from each position on."""
-    size = len(ids) - n + 1
-    h = np.zeros(max(size, 0), np.uint64)
-    for k in range(n if size > 0 else 0):
-        h = h * _BASE + ids[k : k + size]
-    return h
-
-
-def tiles(hits: list[tuple[int, int]], seed: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (document start, item start, length) of at least ``seed``
-    tokens, from the positions (i, j) at which ``seed`` tokens are equal. Of equally
-    long matches the one that is first in the document, then in the item, is taken."""
-    heap: list[tuple[int, int, int]] = []
-    last: tuple[int, int] | None = None
-    for d, i in sorted((i - j, i) for i, j in hits):
-        if last == (d, i - 1):
-            heap[-1] = (heap[-1][0] - 1, *heap[-1][1:])
-        else:
-            heap.append((-seed, i, i - d))
-        last = (d, i)
-    heapq.heapify(heap)
-    used_i: set[int] = set()
-    used_j: set[int] = set()
-    out = []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        free = [i + k not in used_i and j + k not in used_j for k in range(-n)]
-        if all(free):
-            out.append((i, j, -n))
-            used_i.update(range(i, i - n))
-            used_j.update(range(j, j - n))
-            continue
-        start = None
-        for k, ok in enumerate([*free, False]):  # what is left of it goes back
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= seed:
-                    heapq.heappush(heap, (start - k, i + start, j + start))
-                start = None
-    return out
+class _Words(dict):
+    """Hashes of words, kept for those seen lately."""
+
+    KEPT = 500_000
 
+    def __missing__(self, word: str) -> int:
+        import xxhash
 
-class ItemIndex:
-    """The seeds of a bounded block of test items."""
-
-    def __init__(self, items: list[tuple[int, str]], min_tile: int):
-        self.items: list[tuple[int, np.ndarray, int]] = []
-        self.vocabulary: dict[str, int] = {}
-        seeds: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for item, text in items:
-            words = _TOKENS(text.lower())
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
-            if words:
-                n = min(min_tile, len(words))
-                seeds[n] += [(int(h), len(self.items), j) for j, h in enumerate(_rolling(ids, n))]
-                self.items.append((item, ids, n))
-        self.seeds = {}
-        for n, s in seeds.items():
-            s.sort()
-            self.seeds[n] = (np.array([x[0] for x in s], np.uint64), np.array([x[1:] for x in s], np.int64))
-
-    def match(self, text: str) -> list[tuple[int, int, int, list[tuple[int, int, int]]]]:
-        """(item id, its tokens, tokens covered, tiles) for items that share a seed."""
-        words = _TOKENS(text.lower())
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, (keys, places) in self.seeds.items():
-            if len(ids) < n:
-                continue
-            known = np.concatenate([[0], np.cumsum(ids > 0)])
-            at = np.flatnonzero(known[n:] - known[:-n] == n)
-            if not len(at):
-                continue
-            h = _rolling(ids, n)[at]
-            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-            for k in np.flatnonzero(hi > lo):
-                i = int(at[k])
-                for item, j in places[lo[k] : hi[k]]:
-                    if np.array_equal(self.items[item][1][j : j + n], ids[i : i + n]):  # not only their hashes
-                        hits[int(item)].append((i, int(j)))
-        out = []
-        for k, found in sorted(hits.items()):
-            item, own, n = self.items[k]
-            if got := tiles(found, n):
-                out.append((item, len(own), sum(t[2] for t in got), got))
+        if len(self) > self.KEPT:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word.encode(errors="surrogatepass"))
         return out
 
 
-def _blocks(benchmark: DataFrame, min_tile: int) -> Iterator[ItemIndex]:
-    """The test items in blocks of bounded size, one after the other on the driver.
-    A test set within BLOCK_CHARS is one block; of a larger one each block
-    costs a pass over the documents."""
-    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_CHARS) or 1
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield ItemIndex([(r[0], r[1]) for r in part.sort("item_id", "text").collect()], min_tile)
+def _ids(text: str | None, words: _Words) -> np.ndarray:
+    found = _TOKENS((text or "").lower())
+    return np.fromiter(map(words.__getitem__, found), _U, len(found))
+
+
+class Windows:
+    """Hashes of windows of any length of a sequence, from prefix sums."""
 
+    def __init__(self, ids: np.ndarray):
+        n = len(ids) + 1
+        self.power, self.inverse = (np.concatenate([[_U(1)], np.cumprod(np.full(n - 1, b, _U))]) for b in (_BASE, pow(_BASE, -1, 2**64)))
+        self.total = np.concatenate([[_U(0)], np.cumsum(ids * self.power[: n - 1])])
 
-LEAKS = "doc_id long, item_id long, item_tokens long, covered_tokens long, coverage double, tiles array<struct<doc_start:int,item_start:int,length:int>>"
+    def __call__(self, n: int, at: np.ndarray | None = None) -> np.ndarray:
+        at = np.arange(len(self.total) - n) if at is None else at
+        h = (self.total[at + n] - self.total[at]) * self.inverse[at]
+        h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+        return h ^ (h >> _U(32)) ^ _U(n)
+
+
+def _free(marked: np.ndarray, n: int) -> np.ndarray:
+    """Where windows of n tokens start that hold nothing marked."""
+    if len(marked) < n:
+        return np.empty(0, np.int64)
+    count = np.concatenate([[0], np.cumsum(marked)])
+    return np.flatnonzero(count[n:] == count[:-n])
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (document start, item start, length) of at least ``least`` tokens of
+    two sequences of token hashes. Of equally long matches the one that is first in the
+    document, then in the item, is taken. The length of the longest is found by halving, so
+    a tile takes n log n steps however often tokens repeat."""
+    used_d, used_i = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    hash_d, hash_i = Windows(doc), Windows(item)
+
+    def match(n: int) -> tuple[int, int] | None:
+        at_d, at_i = _free(used_d, n), _free(used_i, n)
+        if not len(at_d) or not len(at_i):
+            return None
+        keys, first = np.unique(hash_i(n, at_i), return_index=True)
+        h = hash_d(n, at_d)
+        place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        for k in np.flatnonzero(keys[place] == h):
+            i, j = int(at_d[k]), int(at_i[first[place[k]]])
+            if np.array_equal(doc[i : i + n], item[j : j + n]):  # not only their hashes
+                return i, j
+        return None
+
+    out = []
+    most = min(len(doc), len(item))
+    while most >= least and (best := match(least)):
+        low, high = least, most  # there is a match of ``low``, none above ``high``
+        while low < high:
+            n = (low + high + 1) // 2
+            if found := match(n):
+                low, best = n, found
+            else:
+                high = n - 1
+        out.append((*best, low))
+        used_d[best[0] : best[0] + low] = True
+        used_i[best[1] : best[1] + low] = True
+        most = low
+    return out
+
+
+def tile(doc: np.ndarray, item: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
+    """``tiles`` of a document and an item, by looking only at those parts of the document that share a seed."""
+    n = min(min_tile, len(item))
+    if not n or len(doc) < n:
+        return []
+    hit = np.isin(Windows(doc)(n), Windows(item)(n))
+    if not hit.any():
+        return []
+    cover = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(cover, np.flatnonzero(hit), 1)
+    np.add.at(cover, np.flatnonzero(hit) + n, -1)
+    at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+    # Parts are set apart by a token that no item has.
+    ends = np.flatnonzero(np.diff(at) > 1) + 1
+    at = np.insert(at, ends, -1)
+    some = np.where(at >= 0, doc[at], 0)
+    return [(int(at[i]), j, length) for i, j, length in tiles(some, np.where(item == 0, 1, item).astype(_U), n)]
+
+
+LEAKS = "key binary, item_id {0}, item_tokens long, covered_tokens long, coverage double, tiles array<struct<doc_start:int,item_start:int,length:int>>"
+
+
+def _leaks(keyed: DataFrame, benchmark: DataFrame, min_tile: int, min_coverage: float) -> DataFrame:
+    """Leaks into the distinct documents of ``keyed`` (key, text), a row for each key and item."""
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().withColumn("item", row_key(F.col("item_id"), F.col("text")))
+
+    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            keys, n_seed, seeds = [], [], [np.empty(0, _U)]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = _ids(text.as_py(), words)
+                if n := min(min_tile, len(ids)):
+                    seeds.append(np.unique(Windows(ids)(n)))
+                    keys += [key] * len(seeds[-1])
+                    n_seed += [n] * len(seeds[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n_seed, pa.int32()), pa.array(np.concatenate(seeds).view(np.int64))], ["item", "n", "seed"])
+
+    seeds = materialize(items.select("item", "text").mapInArrow(item_seeds, "item binary, n int, seed long"), "seeds")
+    lengths = sorted(r[0] for r in seeds.select("n").distinct().collect())  # at most min_tile
+    # A map of bits of fixed size tells most seeds that no item has; the join does the rest.
+    place = F.pmod("seed", F.lit(MAP_BITS))
+    marked = seeds.groupBy(F.floor(place / ROW_BITS).alias("row")).agg(F.call_function("bitmap_construct_agg", place % ROW_BITS).alias("bits"))
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for row, part in marked.collect():  # 4 MB at most
+        bits[row * ROW_BITS // 8 : (row + 1) * ROW_BITS // 8] = np.frombuffer(part, np.uint8)
+    shared = keyed.sparkSession.sparkContext.broadcast(bits)
+
+    def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = _Words(), shared.value
+        for batch in batches:
+            keys, found = [], [np.empty(0, _U)]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = _ids(text.as_py(), words)
+                windows = Windows(ids)
+                for n in lengths:
+                    if n <= len(ids):
+                        h = windows(n)
+                        at = h & _U(MAP_BITS - 1)
+                        found.append(np.unique(h[(known[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 > 0]))
+                        keys += [key] * len(found[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(found).view(np.int64))], ["key", "seed"])
+
+    hits = materialize(keyed.mapInArrow(doc_seeds, "key binary, seed long").distinct(), "hits")
+    often = hits.groupBy("seed").agg(F.count("*").alias("n_hits"))
+    by_seed = materialize(seeds.groupBy("seed").agg(F.collect_set("item").alias("items")).join(often, "seed"), "by-seed")
+    pairs = materialize(join_by_key(hits, by_seed, "seed", "n_hits").select("key", F.explode("items").alias("item")).distinct(), "pairs")
+    texts = flag_among(keyed, "key", pairs.select("key"), "able").where("able").select("key", "text").dropDuplicates(["key"])
+    often = pairs.groupBy("item").agg(F.count("*").alias("n_pairs"))
+    asked = join_by_key(pairs, items.withColumnRenamed("text", "item_text").join(often, "item"), "item", "n_pairs").select("key", "item_id", "item_text")
+
+    tile_kind = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, last = _Words(), (None, np.empty(0, _U))
+        for batch in batches:
+            rows, keep = [], []
+            for k, (key, text, item) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), batch.column(3), strict=True)):
+                if last[0] != key:
+                    last = (key, _ids(text.as_py(), words))
+                own = _ids(item.as_py(), words)
+                got = tile(last[1], own, min_tile)
+                covered = sum(t[2] for t in got)
+                if covered and covered >= min_coverage * len(own):
+                    keep.append(k)
+                    rows.append((len(own), covered, covered / len(own), [dict(zip(("doc_start", "item_start", "length"), t, strict=True)) for t in got]))
+            cols = [*zip(*rows, strict=True)] if rows else [[]] * 4
+            own_cols = [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.float64(), tile_kind], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64())), *own_cols], ["key", "item_id", "item_tokens", "covered_tokens", "coverage", "tiles"])
+
+    found = materialize(texts.join(asked, "key").select("key", "text", "item_id", "item_text").mapInArrow(look, LEAKS.format(kind)), "leaks")
+    drop(seeds, hits, by_seed, pairs)
+    return found
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """A row for each document (doc_id, text) and test item (item_id, text) of
-    which tiles cover at least ``min_coverage``; positions are in tokens (``\\w+``,
-    lower case). Null or empty texts and items match nothing; items shorter than
+    which tiles cover at least ``min_coverage``: doc_id, item_id, item_tokens, covered_tokens, coverage and
+    tiles; positions are in tokens (``\\w+``, lower case). Null or empty texts and items match nothing; items shorter than
     ``min_tile`` must occur whole; repeated documents give repeated rows."""
-    kind = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))
-    names = ["doc_id", "item_id", "item_tokens", "covered_tokens", "coverage", "tiles"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), kind]
-
-    def search(index: ItemIndex):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    for item, n, covered, got in index.match(text.as_py() or ""):
-                        if covered >= min_coverage * n:
-                            rows.append((doc, item, n, covered, covered / n, [dict(zip(("doc_start", "item_start", "length"), t, strict=True)) for t in got]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names)
-
-        return run
-
-    found = [docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search(index), LEAKS) for index in _blocks(benchmark, min_tile)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    keyed = docs.where("text is not null").select("doc_id", "text").withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    found = _leaks(keyed.select("key", "text"), benchmark, min_tile, min_coverage)
+    rows = flag_among(keyed.select("key", "doc_id"), "key", found.select("key"), "able").where("able").select("key", "doc_id")
+    return rows.join(found, "key").drop("key")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """The documents that no test item leaked into, rows and columns as they are."""
-    at = docs.columns.index("text")
-
-    def keep(index: ItemIndex):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [all(c < min_coverage * n for _, n, c, _ in index.match(t.as_py() or "")) for t in batch.column(at)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        return run
-
-    for index in _blocks(benchmark, min_tile):
-        docs = docs.mapInArrow(keep(index), docs.schema)
-    return docs
+    cols = docs.columns
+    key, flag = spare(cols, "key"), spare(cols, "flag")
+    keyed = docs.withColumn(key, F.when(F.col("text").isNotNull(), row_key(F.col("doc_id"), F.col("text"))))
+    found = _leaks(keyed.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "text"), benchmark, min_tile, min_coverage)
+    leaked = found.select(F.col("key").alias(key)).distinct()
+    marked = flag_among(keyed, key, leaked, flag)
+    clean = marked.where(F.col(flag)).join(leaked, key, "left_anti")
+    return marked.where(~F.col(flag)).select(*cols).unionByName(clean.select(*cols))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
