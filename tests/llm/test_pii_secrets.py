@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from docindex.llm import pii, secrets
 
@@ -119,3 +120,39 @@ def test_rounds_go_on_while_something_is_found(spark):
             rows += [(i, None, [f"p{level}{j}a", f"p{level}{j}b"]) for i in [*(f"i{level}-{n}" for n in range(5)), f"i{level + 1}-{j}"]]
     found = {r["instance"] for r in pii.bootstrap(spark.createDataFrame(rows, "instance string, kind string, patterns array<string>")).collect()}
     assert found == {f"i{level}-{n}" for level in range(1, 6) for n in range(5)}
+
+
+def test_planted_contexts(spark):
+    """Identifiers that no expression takes, in the words around known ones: recall and precision for each kind."""
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = lambda ok: next(c for c in iter(lambda: "4" + digits(15), None) if luhn(c) == ok)
+    octets = lambda top: ".".join(str(rng.randrange(1, top)) for _ in range(4))
+    around = {"email": "please write to mailbox {} before noon", "ip": "the server answers at node {} since then", "card": "payment by visa {} was accepted", "phone": "ring my mobile {} after work"}
+    known = {"email": lambda: f"u{digits(6)}@h{digits(3)}.org", "ip": lambda: octets(255), "card": lambda: card(True), "phone": lambda: f"+{digits(11)}"}
+    unseen = {"email": lambda: f"u{digits(6)}@localhost", "ip": lambda: f"9{digits(2)}.300.{digits(2)}.{digits(3)}", "card": lambda: card(False), "phone": lambda: f"555-{digits(4)}-{digits(3)}"}
+    rows, truth = [], {}
+    for kind in around:
+        for _ in range(50):
+            rows.append((len(rows), around[kind].format(known[kind]())))
+        for _ in range(10):
+            truth[len(rows)] = kind
+            rows.append((len(rows), around[kind].format(unseen[kind]())))
+        for _ in range(10):  # the same things in other words
+            rows.append((len(rows), f"chapter {unseen[kind]()} lists part {digits(7)} of {rng.choice(['maps', 'ships', 'bread'])}"))
+    got = {r["doc_id"]: [a["kind"] for a in r["added"]] for r in pii.find_pii(documents(spark, rows)).collect()}
+    for kind in around:
+        right = sum(kind in got[i] for i, k in truth.items() if k == kind)
+        said = sum(k == kind for kinds in got.values() for k in kinds)
+        assert right >= 9 and said - right <= 1, (kind, right, said)
+
+
+def test_redaction_leaves_other_columns(spark):
+    names = ["_spans", "_kept", "secret_hex", "row", "secret_key_", "Secret_Access", "flag"]
+    docs = documents(spark, [(1, "AKIAABCDEFGHIJKLMN"), (2, None)]).withColumns({n: F.lit(n) for n in names})
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == 2
+    for r in out.collect():
+        assert all(r[n] == n for n in names) and r["text"] in ("[SECRET]", None)
+    found = secrets.find_secrets(docs)
+    assert len({c.lower() for c in found.columns}) == len(found.columns) and found.schema["secret_hex"].dataType.typeName() == "array"

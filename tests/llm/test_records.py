@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 import struct
+import time
 import zlib
 from pathlib import Path
 
@@ -34,6 +35,7 @@ def test_encoder_is_the_tokenizer(tokenizer):
     rng = random.Random(6)
     texts = ["".join(chr(rng.choice([rng.randrange(1, 256), rng.randrange(32, 127)])) for _ in range(60)) for _ in range(400)]
     texts += [chr(c) + "a" + chr(c) for c in range(1, 256)] + ["it's 'S we'll I'D x''s", "Straße ÀÉÎ ß µ", "日本 😀 İı é", "", "a1b22 ½²", "\x85\xa0x\x1c\x1fy"]
+    texts += ["a <|endoftext|> b", "<|StartOfText|>x<|ENDOFTEXT|>", "<|endoftext", "é<|endoftext|>日"]
     for t in texts:
         assert encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
@@ -60,6 +62,10 @@ def test_packing(spark, tmp_path, tokenizer):
         assert at <= 2048
     assert len(full) <= -(-sum(w[3] for w in want) // 2048) + 2
     assert packing.pack_documents(documents(spark, []), path).count() == 0
+    named = spark.createDataFrame([("x", "alpha be"), (None, None)], "doc_id string, text string")
+    assert sorted(str(r["doc_id"]) for r in packing.pack_documents(named, path).collect()) == ["None", "x"]
+    pieces = spark.createDataFrame([(1, 0, 5, 7, "b", 1, 2, 3, 4)], "doc_id long, piece int, length long, ids_crc32 long, base string, parts int, rank int, slot int, row int")
+    assert packing.pack(pieces).collect()[0].asDict() == {"doc_id": 1, "piece": 0, "length": 5, "ids_crc32": 7, "base": "b", "parts": 1, "rank": 2, "slot": 3, "row": 4, "sequence_id": 0, "offset": 0}
 
 
 def best_fit(lengths, capacity):
@@ -147,6 +153,15 @@ def test_rare_insults_in_a_large_sample(spark):
     assert caught == len(insults) and sum(v >= toxicity.THRESHOLD for k, v in scores.items() if k >= 1000) <= 10
 
 
+def test_scores_beside_columns_of_that_name(spark):
+    docs = documents(spark, [(1, "x"), (2, None)]).withColumn("Score", F.lit("mine")).withColumn("sentences", F.lit(1))
+    model = toxicity.Model({}, -30.0)
+    out = toxicity.score_toxicity(docs, model)
+    assert out.columns == [*(c for c in docs.columns if c not in ("Score", "sentences")), "score", "sentences"] and out.agg(F.max("score")).first()[0] < 1e-9
+    out = toxicity.score_toxicity(docs, model, score_col="p", sentences_col="where")
+    assert {r["Score"] for r in out.collect()} == {"mine"} and out.columns[-2:] == ["p", "where"]
+
+
 # Media --------------------------------------------------------------------------
 
 
@@ -185,6 +200,7 @@ def test_media_query(spark, tmp_path):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert r["media_bytes"] == len(payload) + 44 and r["media_sha256"] == hashlib.sha256(media.wav(payload)).hexdigest() and r["type"] == "audio/wav"
     assert got[904]["feature"] == got[905]["feature"]
+    assert {r["declared_ok"] for i, r in got.items() if i % 3 == 0} == {True} and {r["declared_ok"] for i, r in got.items() if i % 3} == {False}
 
 
 def test_media_of_any_kind(spark):
@@ -194,6 +210,27 @@ def test_media_of_any_kind(spark):
     assert got[2]["type"] is None and got[2]["media_bytes"] is None and got[3]["type"] is None
 
 
+def test_carving(spark):
+    inside = {"image/png": png(), "image/gif": GIF, "image/jpeg": JPEG, "application/pdf": PDF, "application/gzip": gzip.compress(b"abc")}
+    rows = [(n, bytearray(media.wav(b"\x80" * 50 + blob + b"\x80" * n)), kind, "mine") for n, (kind, blob) in enumerate(inside.items())]
+    rows += [(9, bytearray(media.wav(b"plain")), "", "mine"), (10, None, "", "mine"), (11, bytearray(b"junk" + GIF), "image/gif", "mine")]
+    df = spark.createDataFrame(rows, "id int, media binary, holds string, carved string")
+    got = {r["id"]: r for r in media.carve_media(df).collect()}
+    assert {*got} == {0, 1, 2, 3, 4, 11}
+    for r in got.values():
+        assert r["carved_type"] == r["holds"] and bytes(r["carved"]) == inside[r["holds"]] and r["carved_start"] == (4 if r["id"] == 11 else 94)
+    clash = df.withColumns({"declared": F.lit("audio/wav"), "type": F.lit(1), "Feature": F.lit(2)})
+    assert {r["type"] for r in media.sniff_media(clash).collect()} == {"audio/wav", None}
+
+
+def test_validators_take_linear_time():
+    find = media.automaton()
+    for blob in (b"%PDF-1." * 200_000, b"\x1f\x8b\x08" * 200_000, b"\x89PNG\r\n\x1a\n" * 100_000, (b"\x89PNG\r\n\x1a\n" + b"\x00\x01\x00\x00IHDR") * 50_000, b"RIFF" * 200_000, b"GIF89a" * 100_000):
+        began = time.process_time()
+        assert media.sniff(blob, find) == []
+        assert time.process_time() - began < 10
+
+
 # Chats --------------------------------------------------------------------------
 
 
@@ -212,10 +249,22 @@ def test_preferences(spark):
     assert [r["rejected"][s["start"] : s["end"]] for s in r["rejected_mask"]] == ["bad<|end|>"]
     assert got[2, 0]["n_common"] == 1 and got[2, 0]["chosen"] == ""
     assert got[3, 0]["chosen"] == "<|user|>\n<|end|>\n" and got[3, 0]["n_rejected"] == 0
-    assert got[4, 2]["chosen"] == "<|assistant|>\nb<|end|>\n" and got[4, 0]["prompt"] != ""
+    assert got[4, 0]["chosen"] == "<|assistant|>\nb<|end|>\n" and got[4, 0]["prompt"] == "<|user|>\na<|end|>\n"
+    assert {*got} == {(n, 0) for n in (1, 2, 3, 4)}
     assert chat.format_preferences(chosen.limit(0), rejected.limit(0)).count() == 0
 
 
+def test_long_conversations(spark, monkeypatch):
+    said = [(n, "user" if n % 2 == 0 else "assistant", f"turn {n}") for n in range(2500)]
+    chosen, rejected = turns(spark, [(7, *s) for s in said]), turns(spark, [(7, *s) for s in said[:-1]] + [(7, 2499, "assistant", "no")])
+    (r,) = chat.format_preferences(chosen, rejected).collect()
+    assert (r["part"], r["n_common"], r["n_chosen"], r["n_rejected"]) == (0, 2499, 1, 1)
+    assert r["prompt"] == "".join(f"<|{w}|>\n{t}<|end|>\n" for _, w, t in said[:-1])
+    monkeypatch.setattr(chat, "PART_CHARS", 60_000)  # too long for a row: later turns go on in another
+    parts = sorted(chat.format_preferences(chosen, rejected).collect(), key=lambda r: r["part"])
+    assert len(parts) > 1 and "".join(p["prompt"] for p in parts) == r["prompt"] and "".join(p["chosen"] for p in parts) == r["chosen"]
+
+
 # WARC ---------------------------------------------------------------------------
 
 
@@ -245,6 +294,9 @@ def test_warc_edges(spark):
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
     got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["html"]) for r in warc.read_archives(spark, path).collect()), key=str)
     assert got == [(5, "response", None, "same"), (5, "response", None, "same"), (9, "revisit", 5, None), (None, "response", None, "other"), (None, "revisit", 5, None)]
+    records = [h for part in Path(path).glob("part-*.gz") for h, _ in warc.parse_archive(gzip.decompress(part.read_bytes()))]
+    ids = {h["warc-record-id"] for h in records if h["warc-type"] == "response"}
+    assert all(h["warc-refers-to"] in ids for h in records if h["warc-type"] == "revisit")
     path = new_path(spark, "test-warc")
     small = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     warc.write_archives(small, path, min_bytes=3)
