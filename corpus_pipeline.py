@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docindex.llm import decontam, ngram_join, packing, secrets, toxicity
-from docindex.llm.common import load, new_path
+from docindex.llm.common import load, new_path, spare
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents that score as toxic. The model is fitted on the
     labelled ones among ``docs``."""
     model = toxicity.fit(docs.select("doc_id", "text"), load(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    score, sentences = spare(docs.columns, "score"), spare(docs.columns, "sentences")
+    return toxicity.score_toxicity(docs, model, "text", score, sentences).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
