@@ -1,10 +1,11 @@
-"""Text functions over columns, all built from Spark's own functions.
+"""Text functions over columns, built from Spark's own functions but for byte-pair counts.
 
 ``strip`` and friends follow Unicode white space; offsets and lengths count code points.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +53,24 @@ def count_tokens(c: Column | str) -> Column:
     return F.size(F.regexp_extract_all(_col(c), F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f]"), F.lit(0)))
 
 
+def count_bpe_tokens(c: Column | str, ranks_path: str) -> Column:
+    """Tokens of a byte-level BPE vocabulary, whose ranks lie in a file that all workers
+    have; null for null. Unlike ``count_tokens`` these counts don't add up over joined texts, so
+    give ``chunk_documents_with`` a ``BpeCounter``."""
+    from ..helpers.bpe import BpeCounter
+
+    count = BpeCounter(ranks_path)
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        known = texts.notna()
+        out = pd.Series(pd.NA, index=texts.index, dtype="Int32")
+        out[known] = count.many(texts[known].tolist())
+        return out
+
+    return run(_col(c))
+
+
 def extract_symbol(title: Column | str, content: Column | str) -> Column:
     """The first word (dots included) of the title, else the name in the first
     signature found in the content, else empty."""

@@ -239,6 +239,14 @@ def c1_count_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return load_table(spark, sf, "documents").select("doc_id", t.count_tokens("text").alias("tokens"))
 
 
+@query()
+def c1_count_bpe_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a byte-pair vocabulary."""
+    import public_tokenizers
+
+    return load_table(spark, sf, "documents").select("doc_id", t.count_bpe_tokens("text", public_tokenizers.path("byte_bpe_50k.tiktoken")).alias("tokens"))
+
+
 _HEADING = r"regexp_extract(part, '^#{1,6}\s+(.+)', 1)"
 _SECTIONS = rf"""
 marked AS (SELECT source_file, string_split(regexp_replace(content, '(?m)^(#{{1,6}}\s+.+)$', chr(1) || '\1', 'g'), chr(1)) AS parts FROM ({d.MD_MULTI})),

@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docindex.functions import text as t
+from docindex.helpers.bpe import BpeCounter
 from docindex.operators import chunking
 
 
@@ -112,3 +113,20 @@ def test_text_functions(spark):
 )
 def test_symbols(spark, title, content, want):
     assert value(one(spark, t=title, c=content), t.extract_symbol("t", "c")) == want
+
+
+def test_byte_pair_counts(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    texts = ["Hello world, hello!", "", None, "日本 <|endoftext|> é", "x" * 500 + "\n\n y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = {r["n"]: r["k"] for r in df.select("n", t.count_bpe_tokens("t", path).alias("k")).collect()}
+    want = {n: None if t is None else len(plain.encode(t, add_special_tokens=False).ids) for n, t in enumerate(texts)}
+    assert got == want
+    docs = spark.createDataFrame([("a.md", "A", "# A\n\n" + "\n\n".join("many words in a row " * 20 for _ in range(30)))], "source_file string, title string, content string")
+    chunks = chunking.chunk_documents_with(docs, BpeCounter(path), 300, 20).collect()
+    assert len(chunks) > 5 and all(c["tokens"] <= 300 and c["tokens"] == len(plain.encode(c["content"], add_special_tokens=False).ids) for c in chunks)
