@@ -64,9 +64,7 @@ def count_bpe_tokens(c: Column | str, ranks_path: str) -> Column:
     @F.pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:
         known = texts.notna()
-        out = pd.Series(pd.NA, index=texts.index, dtype="Int32")
-        out[known] = count.many(texts[known].tolist())
-        return out
+        return pd.Series(count.many(texts[known].tolist()), index=texts.index[known], dtype="Int32").reindex(texts.index)
 
     return run(_col(c))
 
