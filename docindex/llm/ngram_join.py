@@ -6,13 +6,14 @@ segments, than the sets differ in elements, and linked sets of n and m shingles
 differ in at most (n + m) / 7. So of the segments that a document has filled,
 all but that many are the same in a document linked with it: any d + 1 of them, taken in
 an order that all documents share, meet. These segments are the join keys, in a
-name space per size band. Whoever meets is compared by a short dense sketch
-(Hamming distance), and what passes by the sets themselves.
+name space per size band. Whoever meets is compared by a dense sketch of one to two bits
+for each shingle (Hamming distance), and what passes by the sets themselves.
 
 Equal sets are one class throughout. In a bucket of many classes each is paired
-with the bucket's first; once components are known, buckets that still hold
-several are compared in blocks, so that no link between components is lost and
-no group is expanded into all its pairs.
+with the bucket's first. Once components are known, buckets that still hold several are
+compared in blocks: whoever is not of a bucket's largest component with the classes of that component,
+once for all buckets, and with the others like it; where many are close, a tree of the closest
+pairs first. So no link between components is lost and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -22,22 +23,30 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop, load, materialize
+from .common import ROW_BITS, drop, flag_among, join_by_key, load, materialize, spare
 from .graph import components
 
 WORDS = 5
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
-#: Bits of the dense sketch; it tells sets of up to about as many elements apart.
-BITS = 8192
-#: Keys seen so often among 2 million go last in the shared order, as do at most
-#: MOST_COMMON in all. This only decides which keys are taken first.
-COMMON, MOST_COMMON = 4, 100_000
-#: Members of a bucket that are compared in one block.
-BLOCK = 512
+#: Keys seen so often go last in the shared order. Of keys only those are counted that some
+#: task sees twice among so many, which finds all but those of up to about the root of six times the number of
+#: tasks. This only decides which keys are taken first.
+COMMON, COUNTED = 6, 4_000_000
+#: Bits of the map of common keys; two keys that share one are both taken late.
+COMMON_BITS = 26
+#: Members of a bucket that are compared in one block, and pairs for each of them that
+#: a block may give before it gives a tree of the closest ones only.
+BLOCK, EACH = 2048, 8
+#: Classes of a common key that one task takes.
+SALTED = 50_000
+#: Keys that are dealt to several tasks at most, the most common ones.
+MOST_SALTED = 10_000
 
 _U = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], _U)
@@ -127,10 +136,44 @@ def class_ids(s: np.ndarray) -> tuple[int, int]:
 
 
 def dense_sketch(s: np.ndarray) -> bytes:
-    flips = np.bincount((s % _U(BITS)).astype(np.int64), minlength=BITS) & 1
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    flips = np.bincount((s & _U(bits - 1)).astype(np.intp), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
 
+class Sketches:
+    """Dense sketches of several lengths; a longer one is folded to be compared with a shorter."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.length = np.array([len(b) for b in blobs], np.int64)
+        self.at = np.zeros(len(blobs), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for k in np.unique(self.length).tolist():
+            own = np.flatnonzero(self.length == k)
+            self.at[own] = np.arange(len(own))
+            self.rows[k] = np.frombuffer(b"".join([blobs[i] for i in own]), _U).reshape(-1, k // 8)
+
+    def apart(self, other: Sketches, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the sketches x differ from the other's sketches y."""
+        out = np.zeros(len(x), np.int64)
+        lx, ly = self.length[x], other.length[y]
+        for i in self.rows:
+            for j in other.rows:
+                some = np.flatnonzero((lx == i) & (ly == j))
+                for part in np.split(some, range(_AT_ONCE, len(some), _AT_ONCE)) if len(some) else []:
+                    s, t = self.rows[i][self.at[x[part]]], other.rows[j][other.at[y[part]]]
+                    while s.shape[1] > t.shape[1]:
+                        s = s[:, : s.shape[1] // 2] ^ s[:, s.shape[1] // 2 :]
+                    while t.shape[1] > s.shape[1]:
+                        t = t[:, : t.shape[1] // 2] ^ t[:, t.shape[1] // 2 :]
+                    out[part] = np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64)
+        return out
+
+
+#: Pairs of sketches that are compared at once, and pairs of places that are looked at.
+_AT_ONCE, _CELLS = 8192, 1 << 19
+
+
 def max_difference(n: int, larger: int) -> int:
     """The most elements in which a set of n can differ from one linked with it
     that has at most ``larger`` elements."""
@@ -144,27 +187,15 @@ def segments(s: np.ndarray, band: int) -> np.ndarray:
     return np.bitwise_xor.reduceat(s, np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])))
 
 
-class Members:
-    """A set of hashes to look others up in; most are told apart by a table of their top bits."""
-
-    BITS = 22
-
-    def __init__(self, values: np.ndarray):
-        self.values = np.sort(values)
-        self.top = np.zeros(1 << self.BITS, bool)
-        self.top[self.values >> _U(64 - self.BITS)] = True
-
-    def has(self, x: np.ndarray) -> np.ndarray:
-        out = self.top[x >> _U(64 - self.BITS)]
-        if out.any():
-            some = x[out]
-            out[out] = self.values[np.minimum(np.searchsorted(self.values, some), len(self.values) - 1)] == some
-        return out
+def is_common(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which segments the map of bits marks, by their top bits: 1 or 0."""
+    at = own >> _U(64 - COMMON_BITS)
+    return common[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & np.uint8(1)
 
 
-def join_keys(s: np.ndarray, common: Members) -> np.ndarray:
-    """Keys of a set of hashes; sets of sizes 16^k to 16^(k+1) - 1 meet in band k,
-    and those near its lower end also in the band below."""
+def join_keys(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set of hashes, and the segments that they stand for; sets of sizes 16^k to
+    16^(k+1) - 1 meet in band k, and those near its lower end also in the band below."""
     n = len(s)
     band = (n.bit_length() - 1) // 4
     out = []
@@ -175,12 +206,12 @@ def join_keys(s: np.ndarray, common: Members) -> np.ndarray:
         own = segments(s, k)
         keys = _mix(own ^ _U(0x632BE59BD9B4E019 * (k + 1) % 2**64)) >> _U(1)
         take = max_difference(n, top) + 1
-        late = common.has(own)
-        if late.any():
-            cold, hot = keys[~late], keys[late]
-            keys = cold if len(cold) >= take else np.concatenate([cold, np.partition(hot, min(take - len(cold), len(hot)) - 1)[: take - len(cold)]])
-        out.append(np.partition(keys, take - 1)[:take] if len(keys) > take else keys)
-    return np.concatenate(out)
+        if len(keys) > take:
+            order = keys | is_common(own, common).astype(_U) << _U(63)  # common ones last
+            first = np.argpartition(order, take - 1)[:take]
+            keys, own = keys[first], own[first]
+        out.append((keys, own))
+    return np.concatenate([k for k, _ in out]), np.concatenate([o for _, o in out])
 
 
 def _arrow(names: list[str], *cols: np.ndarray) -> pa.RecordBatch:
@@ -194,7 +225,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def common() -> pa.RecordBatch:
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        keys, n = keys[n >= COMMON], n[n >= COMMON]
+        keys, n = keys[n > 1], n[n > 1]
         none = pa.nulls(len(keys), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), none, pa.array(keys.view(np.int64)), none, pa.array(n.astype(np.int64)), pa.nulls(len(keys), pa.binary())], names)
 
@@ -209,7 +240,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(a)
                 held.append(segments(s, (len(s).bit_length() - 1) // 4))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > COUNTED:
                     yield common()
                     held, size = [], 0
         cols = zip(*rows, strict=True) if rows else [[]] * 6
@@ -218,156 +249,234 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield common()
 
 
-def _emit(common: np.ndarray):
+def _emit(common: Broadcast, salts: dict[int, int], doubtful: set[int]):
+    """Keys of each class, with 0 or, for keys so common that a task shouldn't have all
+    of them, one of several salts from 1 on."""
+    hot = np.array(sorted(salts), _U)
+    most = np.array([salts[int(h)] for h in hot], np.int64)
+
+    def rows(keys: list[np.ndarray], own: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        cls = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
+        key, own = (np.concatenate([np.empty(0, _U), *x]) for x in (keys, own))
+        salt = np.zeros(len(key), np.int32)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+            some = np.flatnonzero(hot[at] == own)
+            salt[some] = 1 + cls[some] % most[at[some]]
+        return _arrow(["key", "salt", "cls"], key.view(np.int64), salt, cls)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, seen, members = Shingler(), set(), Members(common)
+        shingles, seen, known = Shingler(), set(), common.value
+        keys, own, owners, held = [], [], [], 0
         for batch in batches:
-            keys, owners = [np.empty(0, _U)], [np.empty(0, np.int64)]
             for text in batch.column(0):
                 s = shingles(text.as_py())
-                if not len(s) or (a := class_ids(s)[0]) in seen:
+                if not len(s):
+                    continue
+                a, b = class_ids(s)
+                a = b if a in doubtful else a
+                if a in seen:
                     continue
                 if len(seen) < 2_000_000:
                     seen.add(a)
-                keys.append(join_keys(s, members))
-                owners.append(np.full(len(keys[-1]), a, np.int64))
-            yield _arrow(["key", "cls"], np.concatenate(keys).view(np.int64), np.concatenate(owners))
+                for x, v in zip((keys, own), join_keys(s, known), strict=True):
+                    x.append(v)
+                owners.append(a)
+                held += len(keys[-1])
+                if held > _ROWS:
+                    yield rows(keys, own, owners)
+                    keys, own, owners, held = [], [], [], 0
+        yield rows(keys, own, owners)
 
     return run
 
 
+#: Rows of keys that go out at once, or those of a text.
+_ROWS = 200_000
+
+
+class _New:
+    """Which pairs are new, as far as a table of fixed size remembers."""
+
+    def __init__(self, bits: int = 18):
+        self.table = np.zeros((1 << bits, 2), np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = np.stack([a, b], axis=1)
+        slot = ((a.view(_U) * _FACTORS[0] ^ b.view(_U) * _FACTORS[1]) >> _U(40)).astype(np.intp) % len(self.table)
+        new = (self.table[slot] != both).any(axis=1)
+        self.table[slot] = both
+        return new
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, cls) by key and class: pairs of a bucket's first class with each
-    other one (tag 0: a, b), and the rows of buckets of three or more (tag 1: key, cls).
+    """From (key, salt, cls) in that order: pairs of a bucket's first class with each
+    other one (tag 0: a, b), the rows of buckets of three or more (tag 1: key, cls), and of
+    salted buckets, which are parts of one, all rows and the first class (tag 2: key, cls).
     Of a bucket that goes on in the next batch only the first and the last row are held."""
     names = ["tag", "a", "b"]
-    head: tuple[int, int] | None = None  # key and first class of the last bucket so far
+    is_new = _New()
+    head: tuple[int, int, int] | None = None  # key, salt and first class of the last bucket so far
     before, members = -1, 0  # its last class, and how many it has had
     second = -1
     for batch in batches:
-        key, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        key, salt, cls = (batch.column(k).to_numpy() for k in range(3))
         if not len(key):
             continue
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-        if head and head[0] == key[0] and before == cls[0]:
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (cls[1:] != cls[:-1])])
+        if head and head[:2] == (key[0], salt[0]) and before == cls[0]:
             new[0] = False
-        key, cls = key[new], cls[new]
+        key, salt, cls = key[new], salt[new], cls[new]
         if not len(key):
             continue
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
         sizes = np.diff(np.append(starts, len(key)))
         first = np.repeat(cls[starts], sizes)
         had = np.zeros(len(starts), np.int64)
-        joined = head is not None and head[0] == key[0]
+        joined = head is not None and head[:2] == (key[0], salt[0])
         if joined:
-            first[: sizes[0]], had[0] = head[1], members
+            first[: sizes[0]], had[0] = head[2], members
         other = first != cls
-        total = np.repeat(had + sizes, sizes)
-        big = total >= 3
-        pairs = [(first[other], cls[other])]
-        rows = [(key[big], cls[big])]
-        if joined and had[0] < 3 <= had[0] + sizes[0]:  # earlier rows of a bucket that only now has three
-            early = [head[1]] + ([second] if members == 2 else [])
-            rows.append((np.full(len(early), key[0]), np.array(early, np.int64)))
-        yield _arrow(names, np.repeat(np.array([0, 1], np.int32), [sum(len(p[0]) for p in pairs), sum(len(r[0]) for r in rows)]), np.concatenate([x[0] for x in pairs + rows]), np.concatenate([x[1] for x in pairs + rows]))
+        other[other] = is_new(first[other], cls[other])
+        big = (np.repeat(had + sizes, sizes) >= 3) | (salt > 0)
+        heads = (salt > 0) & (first == cls)
+        out = [(0, first[other], cls[other]), (1, key[big], cls[big]), (2, key[heads], cls[heads])]
+        if joined and not salt[0] and had[0] < 3 <= had[0] + sizes[0]:  # earlier rows of a bucket that only now has three
+            early = [head[2]] + ([second] if members == 2 else [])
+            out.append((1, np.full(len(early), key[0]), np.array(early, np.int64)))
+        yield _arrow(names, np.repeat(np.array([o[0] for o in out], np.int32), [len(o[1]) for o in out]), np.concatenate([o[1] for o in out]), np.concatenate([o[2] for o in out]))
         n_last = int(sizes[-1])
         if joined and len(starts) == 1:
             if members == 1:
                 second = int(cls[0])
             members += n_last
         else:
-            head, members = (int(key[-1]), int(cls[starts[-1]])), n_last
+            head, members = (int(key[-1]), int(salt[-1]), int(cls[starts[-1]])), n_last
             second = int(cls[starts[-1] + 1]) if n_last > 1 else -1
         before = int(cls[-1])
 
 
-def _near(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether dense sketches (rows of 64-bit words) of sets of these sizes allow a
-    link, and how far apart they are for their sizes."""
+def _near(apart: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether dense sketches that differ in so many bits allow a link of sets of
+    these sizes, and how far apart they are for their sizes."""
     lo, hi = np.minimum(nx, ny), np.maximum(nx, ny)
-    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
     return (100 * lo >= PERCENT * hi) & (apart * (100 + PERCENT) <= (nx + ny) * (100 - PERCENT)), (apart + hi - lo) / (nx + ny)
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), _U).reshape(-1, BITS // 64)
-
-
 def _sketch_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, x, y, na, nb, sketch, sketch) the pairs (a, b, x, y, far) that sketches allow."""
     for batch in batches:
-        a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
-        ok, far = _near(_words(batch.column(4)), _words(batch.column(5)), na, nb) if len(a) else (np.empty(0, bool), np.empty(0))
-        yield _arrow(["a", "b", "far"], a[ok], b[ok], far[ok])
-
-
-def _across(best: bool):
-    """Pairs of classes of different components in a block of a bucket, from rows
-    (key, i, j, own, cls, root, n, sketch) by block (key, i, j). Rows of the
-    block i come as own; they meet each other if i = j, else those of block j.
-    With ``best`` the closest pair of each two components, else all that sketches allow."""
-    names = ["a", "b", "x", "y", "far"]
-
-    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        a, b, x, y, na, nb = (batch.column(k).to_numpy() for k in range(6))
+        one, two = (Sketches(batch.column(k).to_pylist()) for k in (6, 7))
+        each = np.arange(len(a))
+        ok, far = _near(one.apart(two, each, each), na, nb)
+        yield _arrow(["a", "b", "x", "y", "far"], a[ok], b[ok], x[ok], y[ok], far[ok])
+
+
+def _tree(x: np.ndarray, y: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the pairs of nodes (x, y) make a forest, closest first."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (j := root.setdefault(i, i)) != i:
+            root[i] = i = root[j]
+        return i
+
+    keep = []
+    for k in np.lexsort((y, x, far)).tolist():
+        i, j = find(int(x[k])), find(int(y[k]))
+        if i != j:
+            root[i] = j
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _compare(own: np.ndarray, same: bool, root: np.ndarray, n: np.ndarray, sketches: Sketches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places (x, y, far) in a block whose classes are of different components and
+    may be linked. Within one part (``same``) all meet, else those of the two parts."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    place = np.arange(len(root))
+    step = max(1, _CELLS // max(1, len(root)))
+    for at in range(0, len(root), step):
+        some = slice(at, at + step)
+        able = (root[some, None] != root) & (100 * np.minimum(n[some, None], n) >= PERCENT * np.maximum(n[some, None], n))
+        able &= (place[some, None] < place) if same else (own[some, None] > own)
+        x, y = np.nonzero(able)
+        x += at
+        ok, far = _near(sketches.apart(sketches, x, y), n[x], n[y])
+        out.append((x[ok], y[ok], far[ok]))
+    x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
+    return x, y, far
+
+
+def _across(last: bool):
+    """Pairs of classes of different components (again -1: a, b) from rows (kind, key, i, j, own, cls,
+    root, n, sketch) by block (kind, key, i, j). All rows of a block with i = j meet each other,
+    else those that are its own the others. A block with very many pairs gives
+    a tree of the closest ones, and a row that says so (its kind as again, its key as a), unless it is the ``last`` time."""
+    n_ids = 4
+
+    def blocks(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        key, i, j, own, cls, root, n = (t.column(k).to_numpy() for k in range(7))
-        sketch = _words(t.column(7).combine_chunks())
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        sizes = np.diff(np.append(starts, len(key)))
-        at = np.repeat(np.arange(len(starts)), sizes)
-        out = []
-        for step in range(1, int(sizes.max())):
-            x = np.flatnonzero(at[step:] == at[:-step])
-            y = x + step
-            differ = (root[x] != root[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
-            differ &= 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
-            x, y = x[differ], y[differ]
-            if len(x):
-                ok, far = _near(sketch[x], sketch[y], n[x], n[y])
-                x, y = x[ok], y[ok]
-                swap = root[x] > root[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                out.append((cls[x], cls[y], root[x], root[y], far[ok]))
-        if not out:
-            return None
-        a, b, x, y, far = (np.concatenate(c) for c in zip(*out, strict=True))
-        order = np.lexsort((b, a, far, y, x) if best else (far, b, a))
-        first, second = (x[order], y[order]) if best else (a[order], b[order])
-        new = np.ones(len(order), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        keep = order[new]
-        return _arrow(names, a[keep], b[keep], x[keep], y[keep], far[keep])
+        ids = [t.column(k).to_numpy() for k in range(n_ids)]
+        own, cls, root, n = (t.column(k).to_numpy() for k in range(n_ids, n_ids + 4))
+        blobs = t.column(n_ids + 4).to_pylist()
+        new = np.any([c[1:] != c[:-1] for c in ids], axis=0)
+        starts = np.flatnonzero(np.concatenate([[True], new])).tolist()
+        tags, left, right = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(starts, [*starts[1:], len(cls)], strict=True):
+            part = slice(s, e)
+            x, y, far = _compare(own[part], ids[2][s] == ids[3][s], root[part], n[part], Sketches(blobs[s:e]))
+            again = not last and len(x) > EACH * (e - s)
+            if again:
+                keep = _tree(root[part][x], root[part][y], far)
+                x, y = x[keep], y[keep]
+            a, b = cls[part][x], cls[part][y]
+            tags += [np.full(len(x), -1, np.int32), np.full(int(again), ids[0][s], np.int32)]
+            left += [np.minimum(a, b), np.full(int(again), ids[1][s], np.int64)]
+            right += [np.maximum(a, b), np.zeros(int(again), np.int64)]
+        return _arrow(["again", "a", "b"], np.concatenate(tags), np.concatenate(left), np.concatenate(right))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             if not len(batch):
                 continue
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            key, i, j = (t.column(k).to_numpy() for k in range(3))
-            cut = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+            ids = [batch.column(k).to_numpy() for k in range(n_ids)]
+            cut = np.flatnonzero(np.any([c != c[-1] for c in ids], axis=0))
             cut = int(cut[-1]) + 1 if len(cut) else 0
-            rest = t.slice(cut)
-            if cut and (got := compare(t.slice(0, cut))) is not None:
-                yield got
-        if rest is not None and len(rest) and (got := compare(rest)) is not None:
-            yield got
+            if held and any(held[-1].column(k)[0].as_py() != ids[k][0] for k in range(n_ids)):
+                yield blocks(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield blocks(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield blocks(pa.Table.from_batches(held))
 
     return run
 
 
-def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compressed texts whose class is the one that their id stands for, once in each task."""
-    import zstandard
+def _of_class(doubtful: set[int]):
+    """Compressed texts (cls, n, text) of (cls, n, text) whose class is the one that their id stands for, once in each task."""
 
-    shingles, seen, pack = Shingler(), set(), zstandard.ZstdCompressor(3).compress
-    for batch in batches:
-        rows = []
-        for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if cls not in seen and class_ids(shingles(text))[0] == cls:
-                seen.add(cls)
-                rows.append((cls, pack(text.encode())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["cls", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        shingles, seen, pack = Shingler(), set(), zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            rows = []
+            for cls, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = text.as_py() or ""
+                a, b = class_ids(shingles(text))
+                if cls not in seen and cls == (b if a in doubtful else a):
+                    seen.add(cls)
+                    rows.append((cls, n, pack(text.encode())))
+            cols = [*zip(*rows, strict=True)] if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["cls", "n", "text"])
+
+    return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +498,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _arrow(["a", "b"], batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep])
 
 
-PAIR = "a long, b long"
+def _classes(survey: DataFrame) -> tuple[DataFrame, DataFrame, set[int]]:
+    """The rows with their class, the classes (cls, doc_id, n, n_rows, sketch), and those first digests
+    that different sets share: among a thousand million sets hardly one, so the driver
+    holds them. Sets with such a digest go by their second one."""
+    rows = survey.where("tag = 0").select("doc_id", F.col("a").alias("cls"), "b", "n", "sketch")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        found = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("n_rows"), F.min("b").alias("lo"), F.max("b").alias("hi"), F.max("sketch").alias("sketch"))
+        return materialize(found, "classes")
+
+    classes = grouped(rows)
+    doubtful = {r[0] for r in classes.where("lo <> hi").select("cls").collect()}
+    if doubtful:
+        drop(classes)
+        rows = rows.withColumn("cls", F.when(F.col("cls").isin(*doubtful), F.col("b")).otherwise(F.col("cls")))
+        classes = grouped(rows)
+    return rows, classes, doubtful
 
 
 def link_components(docs: DataFrame) -> DataFrame:
@@ -398,75 +523,142 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     Rows without words (null, empty or blank text) are linked with nothing and
     are their own component. A row with a null doc_id is in the component of rows of the same
-    shingles that have one, else in none (null). Repeated rows give repeated rows."""
+    shingles that have one, else in none (null). Repeated rows give repeated rows; rows
+    with one doc_id and different texts are one document, linked with what any of them is linked with."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     survey = materialize(docs.mapInArrow(_survey, "tag int, doc_id long, a long, b long, n long, sketch binary"), "survey")
-    rows = survey.where("tag = 0").select("doc_id", F.col("a").alias("cls"), "b", "n")
-    ordered = survey.where("tag = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(MOST_COMMON)
-    common = np.sort(np.array([r["a"] for r in ordered.select("a").collect()], np.int64).view(_U))
-
-    keys = docs.select("text").mapInArrow(_emit(common), "key long, cls long").repartition("key").sortWithinPartitions("key", "cls")
-    met = materialize(keys.mapInArrow(_meet, "tag int, a long, b long"), "met")
-    same = F.when(F.min("b") == F.max("b"), F.min("n")).otherwise(F.raise_error(F.lit("two sets have one digest")))
-    classes = materialize(survey.where("tag = 0 and n > 0").groupBy(F.col("a").alias("cls")).agg(same.cast("long").alias("n"), F.max("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")), "classes")
-
-    sizes = classes.select("cls", "n", "sketch")
-    a, b = (sizes.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    pool = met.where("tag = 0").select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
-    pool = materialize(pool.mapInArrow(_sketch_pairs, PAIR + ", far double"), "pool")
-    bucket = materialize(met.where("tag = 1").select(F.col("a").alias("key"), F.col("b").alias("cls")), "buckets")
-    need = pool.select(F.col("a").alias("cls")).unionByName(pool.select(F.col("b").alias("cls"))).unionByName(bucket.select("cls")).distinct()
-    who = classes.where("doc_id is not null").join(need, "cls", "left_semi").select("cls", "doc_id")
-    texts = materialize(docs.join(who, "doc_id").select("cls", "text").mapInArrow(_of_class, "cls long, text binary"), "texts")
+    rows, classes, doubtful = _classes(survey)
+    counted = materialize(survey.where("tag = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON), "counted")
+    place = F.shiftrightunsigned("a", 64 - COMMON_BITS)
+    bits = np.zeros((1 << COMMON_BITS) // 8, np.uint8)
+    row_bits = min(ROW_BITS, 1 << COMMON_BITS)
+    for row, part in counted.groupBy(F.floor(place / row_bits).alias("row")).agg(F.call_function("bitmap_construct_agg", place % row_bits).alias("bits")).collect():  # 8 MB at most
+        bits[row * row_bits // 8 : (row + 1) * row_bits // 8] = np.frombuffer(part, np.uint8)[: row_bits // 8]
+    common = docs.sparkSession.sparkContext.broadcast(bits)
+    salts = {r["a"] % 2**64: -(-r["n"] // SALTED) for r in counted.where(F.col("n") > SALTED).orderBy(F.desc("n"), "a").limit(MOST_SALTED).collect()}
+
+    keys = docs.select("text").mapInArrow(_emit(common, salts, doubtful), "key long, salt int, cls long")
+    met = materialize(keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "cls").mapInArrow(_meet, "tag int, a long, b long"), "met")
+    known = classes.where("doc_id is not null")
+    info = known.select("cls", F.col("doc_id").alias("node"), "n", "sketch")
+
+    pairs = met.where("tag = 0").select("a", "b")
+    if salts:  # the first classes of the parts of a bucket meet, too
+        heads = met.where("tag = 2").select(F.col("a").alias("key"), F.col("b").alias("cls"))
+        one = heads.groupBy("key").agg(F.min("cls").alias("one"))
+        pairs = pairs.unionByName(heads.join(one, "key").where("cls <> one").select(F.col("one").alias("a"), F.col("cls").alias("b")))
+    pairs = materialize(pairs.distinct(), "pairs")
+    often = pairs.groupBy("a").agg(F.count("*").alias("often"))
+    a = info.select(F.col("cls").alias("a"), F.col("node").alias("x"), F.col("n").alias("na"), F.col("sketch").alias("sa")).join(often, "a")
+    b = info.select(F.col("cls").alias("b"), F.col("node").alias("y"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    pool = join_by_key(pairs, a, "a", "often").join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "x", "y", "na", "nb", "sa", "sb")
+    pool = materialize(pool.mapInArrow(_sketch_pairs, "a long, b long, x long, y long, far double"), "pool")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of classes that are linked."""
-        some = materialize(pairs.select("a", "b"), "pairs")
-        a, b = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        both = some.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(_verify, PAIR).distinct(), "links")  # few rows
+        """Those of the pairs (a, b) of classes that are linked, as pairs of their documents."""
+        both = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+        need = materialize(both.groupBy("cls").agg(F.count("*").alias("n")).join(info.select("cls", "node"), "cls"), "need")
+        able = flag_among(docs, "doc_id", need.select(F.col("node").alias("doc_id")), "able").where("able")
+        texts = able.join(need.withColumnRenamed("node", "doc_id"), "doc_id").select("cls", "n", "text").mapInArrow(_of_class(doubtful), "cls long, n long, text binary")
+        texts = materialize(texts.dropDuplicates(["cls"]), "texts")
+        for c in "ab":
+            pairs = join_by_key(pairs, texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"), F.col("n").alias(f"n_{c}")), c, f"n_{c}")
+        linked = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct()
+        for c, node in (("a", "x"), ("b", "y")):
+            linked = linked.join(need.select(F.col("cls").alias(c), F.col("node").alias(node)), c)
+        out = materialize(linked.select("x", "y"), "links")
+        drop(need, texts)
+        return out
 
     def rooted(df: DataFrame, roots: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
     def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
         """The roots after more links; only components that these join are worked on."""
-        joins = rooted(rooted(links, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        joins = materialize(joins, "joins")
+        joins = materialize(rooted(rooted(links, roots, "x", "rx"), roots, "y", "ry").where("rx <> ry").select(F.col("rx").alias("a"), F.col("ry").alias("b")).distinct(), "joins")
         if joins.isEmpty():
             return roots
         moved = materialize(components(joins), "moved")
         old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        return materialize(old.unionByName(moved.join(roots.select("node"), "node", "left_anti")), "roots")
+        out = materialize(old.unionByName(moved.join(roots.select("node"), "node", "left_anti")), "roots")
+        drop(joins, moved)
+        return out
 
     # The closest pair of each class first; then what is still apart.
     closest = materialize(pool.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b"), "closest")
-    roots = materialize(components(verified(closest)), "roots")
-    apart = rooted(rooted(pool.join(closest, ["a", "b"], "left_anti"), roots, "a", "ra"), roots, "b", "rb").where("ra <> rb")
+    roots = materialize(components(verified(closest).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+    apart = rooted(rooted(pool.join(closest, ["a", "b"], "left_anti"), roots, "x", "rx"), roots, "y", "ry").where("rx <> ry")
+    apart = materialize(apart.select("a", "b"), "apart")
     roots = merged(roots, verified(apart))
-    # Buckets that hold several components: the closest pair of each two, while that joins any; then all pairs.
-    for best in (True, True, False):
-        members = rooted(bucket, roots, "cls", "root")
-        mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-        dealt = members.join(mixed, "key").join(sizes, "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-        spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("own"), "cls", "root", "n", "sketch")
-        late = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(best), PAIR + ", x long, y long, far double")
-        if best:
-            late = late.groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
-        roots = merged(roots, verified(late.select("a", "b").distinct()))
-    drop(met, pool, bucket, texts, closest)
-    smallest = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("doc_id").alias("component_id"))
-    of_class = classes.select("cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")).join(smallest, "root").select("cls", "component_id")
-    found = rows.where("n > 0").join(of_class, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    tested = closest.select("a", "b").unionByName(apart)
+
+    # Buckets that hold several components, one of those with the same members.
+    rows_of = met.where("tag = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"))
+    sets = rows_of.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("h"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("g"))
+    canon = sets.groupBy("h", "g", "m").agg(F.min("key").alias("key")).select("key", "m")
+    bucket = materialize(join_by_key(rows_of, materialize(canon, "canon"), "key", "m").drop("m").join(info.select("cls", "node"), "cls"), "buckets")
+    # Two classes that meet in a bucket after the same one have met there, in the end in the first one that both have.
+    before = F.lag("key").over(W.partitionBy("cls").orderBy("key"))
+    bucket = materialize(bucket.withColumn("before", before), "buckets")
+    drop(met, pool, pairs, counted)
+    shape = ("kind", "key", "i", "j", "own", "cls", "root")
+    for last in (False, False, True):
+        members = materialize(rooted(bucket, roots, "node", "root"), "members")
+        sizes = members.groupBy("key", "root").agg(F.count("*").alias("m"))
+        mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("m", -F.col("root"))).alias("most"), F.sum("m").alias("m"), F.count("*").alias("roots")).where("roots > 1")
+        held = materialize(join_by_key(members, materialize(mixed, "mixed"), "key", "m").select("key", "cls", "root", "most", "before"), "held")
+        # Who isn't of a bucket's largest component meets that component's classes, once however many buckets say so,
+        few = held.where("root <> most")
+        large = held.where("root = most").select("cls", "root").distinct()
+        guests = few.select("cls", "root", "most").distinct()
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK)
+        counts = large.groupBy("root").agg(F.count("*").alias("m")).join(guests.groupBy(F.col("most").alias("root")).agg(F.count("*").alias("g")), "root")
+        counts = materialize(counts, "counts")
+        along = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        # Parts i of the component and parts j of its guests; -1 - j, so that they are never the same.
+        dealt = join_by_key(large, counts, "root", "m").withColumns({"i": F.pmod(F.xxhash64("cls"), blocks("m")), "parts": blocks("g")}).withColumn("j", along("parts"))
+        dealt = dealt.select(F.lit(0).alias("kind"), F.col("root").alias("key"), "i", (-1 - F.col("j")).alias("j"), F.lit(0).alias("own"), "cls", "root")
+        guests = join_by_key(guests, counts.withColumnRenamed("root", "most"), "most", "g").withColumns({"j": F.pmod(F.xxhash64("cls"), blocks("g")), "parts": blocks("m")}).withColumn("i", along("parts"))
+        guests = guests.select(F.lit(0).alias("kind"), F.col("most").alias("key"), "i", (-1 - F.col("j")).alias("j"), F.lit(1).alias("own"), "cls", "root")
+        # and the others of its bucket.
+        several = few.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("before").alias("later"), F.min("before").alias("first"), F.max("before").alias("last"))
+        several = several.where("lo <> hi and (later < m or first <> last)").select("key", "m")
+        parts = join_by_key(few.select("key", "cls", "root"), materialize(several, "several"), "key", "m").withColumn("blocks", blocks("m")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+        parts = parts.withColumn("other", along("blocks")).select(F.lit(1).alias("kind"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("own"), "cls", "root")
+        spread = dealt.select(*shape).unionByName(guests.select(*shape)).unionByName(parts.select(*shape)).join(info.select("cls", "n", "sketch"), "cls").select(*shape, "n", "sketch")
+        met_again = spread.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j").mapInArrow(_across(last), "again int, a long, b long")
+        late = materialize(met_again, "late")
+        fresh = materialize(late.where("again < 0").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            roots = merged(roots, verified(fresh))
+            tested = tested.unionByName(fresh)
+        again = late.where("again >= 0").select(F.col("again").alias("kind"), F.col("a").alias("key")).distinct()
+        if again.isEmpty():
+            break
+        # Only buckets whose blocks gave too many pairs come again.
+        some = held.join(again.where("kind = 0").select(F.col("key").alias("most")), "most", "left_semi").select("key").unionByName(again.where("kind = 1").select("key")).distinct()
+        bucket = materialize(bucket.join(materialize(some, "some"), "key", "left_semi"), "buckets")
+        drop(members, held)
+    of_class = known.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cls", "n_rows", F.coalesce("root", "doc_id").alias("component_id"))
+    of_class = of_class.unionByName(classes.where("doc_id is null").select("cls", "n_rows", F.col("doc_id").alias("component_id")))
+    found = join_by_key(rows.where("n > 0").select("doc_id", "cls", "n"), of_class, "cls", "n_rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id; of repeated
-    rows with one id one stays. Documents with a null doc_id stay."""
-    kept = link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows with one id the first by text and then by what else they hold stays. Documents with a null doc_id stay."""
+    found = link_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("root"))
+    odd = materialize(found.where("n > 1 or root <> doc_id"), "odd")  # all others stay as they are
+    cols = docs.columns
+    flag = spare(cols, "bound")
+    marked = flag_among(docs, "doc_id", odd.select("doc_id"), flag)
+    free = marked.where(F.col("doc_id").isNull() | ~F.col(flag)).select(*cols)
+    bound = marked.where(F.col("doc_id").isNotNull() & F.col(flag)).select(*cols)
+    alone = bound.join(odd.select("doc_id"), "doc_id", "left_anti")
+    row = F.struct(*cols)
+    first = bound.join(odd.where("root = doc_id").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select("row.*")
+    return free.unionByName(alone.select(*cols)).unionByName(first)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
