@@ -1,292 +1,298 @@
 """Repeated passages by content-defined chunking.
 
-A gear rolling hash over the last 32 bytes decides where chunks end, so chunk
-borders move with the text and are the same again a few dozen bytes after an insertion.
-Chunks with one digest are one chunk; the first occurrence (smallest doc_id, then
-smallest position) is the original and the others are repeats.
-
-Chunks need not fit into a short passage, so passages are found from anchors: pieces
-of ANCHOR bytes that end where the rolling hash is the least of NEAR in a row. Of any
-ANCHOR + NEAR - 1 equal bytes both sides get the same anchor. From there on the texts
-of a document and its source are compared to both sides, and words are counted.
+A gear rolling hash over the last 16 bytes is the least among its neighbours where a
+chunk ends, so chunk borders move with the text and are the same again a few dozen
+bytes after an insertion. Two chunks in a row make a unit; units with one digest are one
+unit, whose first occurrence (smallest doc_id, then smallest position) is the original,
+the others are repeats. Repeats that overlap make a passage, so the order of its chunks
+was there before, too.
+
+A passage ends in the midst of chunks. Each unit therefore carries two bits of
+the hash of each of the 31 words before and after it: as many words as agree with those of
+the original belong to the passage. No text is moved.
+
+Documents with equal texts are one document; the others are repeats as a whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_by_key, load, materialize
+from .common import flag_among, join_by_key, load, materialize, spare
 
-#: Bytes: window of the rolling hash, least and most in a chunk, and mean distance of borders.
-WINDOW, LEAST, MOST, MEAN = 32, 12, 512, 16
-#: Code points that chunks in a row have to cover to count as a repeated passage.
-MIN_PASSAGE = 100
-#: Words of a passage; so many have at least twice as many bytes, less one.
+#: Bytes: neighbours on either side among which a border has the least hash, and most in a chunk.
+NEAR, MOST = 10, 512
+#: Words of a passage.
 MIN_WORDS = 51
-#: Bytes of an anchor and hashes to choose from: together no more than such words have.
-#: NEAR is less than ANCHOR, so the anchors of a long text leave no gap.
-ANCHOR, NEAR = 52, 50
-#: Bytes compared on either side of a run of anchors; beyond those lies another anchor.
-SIDE = 128
-
-_ALONE = "\u0e00-\u0eff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"  # letters of scripts without spaces
-_WORDS = re.compile(rf"[{_ALONE}]|[^\s{_ALONE}]+")
-_INSIDE = re.compile(rf"[^\W{_ALONE}]")
+#: Words beside a unit that it knows two bits of.
+BESIDE = 31
 
 _U = np.uint64
-_GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, _U)
+_RANDOM = np.random.Generator(np.random.PCG64(7))
+_GEAR = _RANDOM.integers(0, 2**16, 256, np.uint16)
+#: Two digests: values of the bytes and an odd base each.
+_VALUES = _RANDOM.integers(0, 2**64, (2, 256), _U)
+_BASES = (0xD1342543DE82EF95, 0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-def _rolling(b: np.ndarray, window: int) -> np.ndarray:
+def _rolling(b: np.ndarray) -> np.ndarray:
+    """The gear hash at each byte: 16 bits, so bytes further back are shifted out."""
     h = _GEAR[b]
     width = 1
-    while width < window:  # a window of twice the width from two of this width
-        h[width:] += h[:-width] << _U(width) if len(h) > width else _U(0)
+    while width < 16:  # a window of twice the width from two of this width
+        if len(h) > width:
+            h[width:] += h[:-width] << np.uint16(width)
         width *= 2
     return h
 
 
-def borders(raw: bytes) -> list[int]:
-    """Ends of the chunks of a UTF-8 text, in bytes, never inside a character."""
-    b = np.frombuffer(raw, np.uint8)
+def borders(b: np.ndarray) -> np.ndarray:
+    """Where chunks of a text start or end, in bytes, both ends of the text included."""
+    n = len(b)
+    if not n:
+        return np.zeros(1, np.int64)
+    h = _rolling(b)
+    edge = np.full(NEAR, 2**16 - 1, np.uint16)
+    padded = np.concatenate([edge, h, edge])
+    least, w = padded, 1
+    while 2 * w <= NEAR:
+        least, w = np.minimum(least[:-w], least[w:]), 2 * w
+    if w < NEAR:
+        least = np.minimum(least[: len(least) - (NEAR - w)], least[NEAR - w :])
+    # least[i] is that of padded[i : i + NEAR]
+    at = np.flatnonzero((h < least[:n]) & (h <= least[NEAR + 1 : NEAR + 1 + n])) + 1
+    at = np.concatenate([[0], at[(at >= NEAR) & (at < n)], [n]])
+    gap = np.diff(at)
+    if gap.max() > MOST:
+        at = np.concatenate([np.arange(a, e, MOST) if e - a > MOST else [a] for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] + [[n]]).astype(np.int64)
+    return at
+
+
+class Prefixes:
+    """Hashes of parts of a text from prefix sums of byte values times powers of an odd base."""
+
+    def __init__(self, which: int):
+        self.value, self.base = _VALUES[which], _BASES[which]
+        self.power = self.inverse = np.ones(1, _U)
+
+    def __call__(self, b: np.ndarray):
+        if len(b) >= len(self.power):
+            n = 1 << len(b).bit_length()
+            with np.errstate(over="ignore"):
+                self.power, self.inverse = (np.concatenate([[_U(1)], np.cumprod(np.full(n, x, _U))]) for x in (self.base, pow(self.base, -1, 2**64)))
+        total = np.zeros(len(b) + 1, _U)
+        np.cumsum(self.value[b] * self.power[: len(b)], out=total[1:])
+        return lambda start, end: _mix((total[end] - total[start]) * self.inverse[start] + (end - start).astype(_U))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
+def words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end, in bytes: runs without ASCII white space; letters of scripts
+    that use no spaces (Thai, Lao, and those from U+3000 on) are words of their own."""
     if not len(b):
-        return []
-    h = _rolling(b, WINDOW)
-    starts = np.concatenate([(b[1:] & 0xC0) != 0x80, [True]])
-    ends = np.flatnonzero((h < _U(2**64 // MEAN)) & starts) + 1
-    out, last = [], 0
-    for end in [*ends.tolist(), len(b)]:
-        while end - last > MOST:
-            cut = last + MOST
-            while b[cut] & 0xC0 == 0x80:
-                cut -= 1
-            out.append(cut)
-            last = cut
-        if end - last >= LEAST or end == len(b) > last:
-            out.append(end)
-            last = end
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = np.concatenate([[True], _BLANK[b], [True]])
+    starts, ends = blank[:-1] & ~blank[1:], ~blank[:-1] & blank[1:]
+    if b.max() >= 0xE0:
+        first = (b & 0xC0) != 0x80
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(b)), 0))
+        second = b[np.minimum(lead + 1, len(b) - 1)]
+        wide = (b[lead] >= 0xE3) | (b[lead] == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+        alone = np.concatenate([[False], wide, [False]])
+        new = np.concatenate([first, [True]]) & ~blank[1:]
+        starts |= new & alone[1:]  # such a letter starts a word, and so does what follows it
+        starts |= new & alone[:-1] & ~blank[:-1]
+        ends |= starts & ~blank[:-1]
+    return np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+def _beside(code: np.ndarray, step: int) -> np.ndarray:
+    """For each word two bits of it and of the 30 words before (step -1) or after it, the nearest lowest; 0 is no word."""
+    out = np.zeros(len(code), np.int64)
+    for k in range(min(BESIDE, len(code))):
+        part = slice(k, None) if step < 0 else slice(None, len(code) - k)
+        out[part] |= (code[: len(code) - k] if step < 0 else code[k:]) << (2 * k)
     return out
 
 
-CHUNKS = "key long, check long, doc_id long, start int, end int"
+UNITS = "key long, check long, doc_id long, start long, end long, first long, last long, before long, after long"
+_NAMES = [x.split()[0] for x in UNITS.split(", ")]
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """The chunks of ``docs`` (doc_id, text): two halves of a 128-bit digest and where
-    the chunk lies, in code points. Null texts and null ids have none."""
+def _units(digests: list[Prefixes], raw: bytes, keys_only: bool = False) -> list[np.ndarray] | None:
+    """Of each two chunks in a row: two digests, where they are (bytes), their first and last word and what
+    lies beside these; or the first digest alone."""
+    b = np.frombuffer(raw, np.uint8)
+    at = borders(b)
+    if len(at) < 3:
+        at = at[[0, -1]]
+        at = np.array([at[0], at[-1], at[-1]])
+    start, end = at[:-2], at[2:]
+    one = digests[0](b)
+    if keys_only:
+        return [one(start, end).view(np.int64)]
+    begins, ends = words(b)
+    if not len(begins):
+        return None
+    two = digests[1](b)
+    code = (one(begins, ends) >> _U(40)).astype(np.int64) % 3 + 1
+    first = np.minimum(np.searchsorted(ends, start, "right"), len(begins) - 1)
+    last = np.maximum(np.searchsorted(begins, end, "left") - 1, 0)
+    return [one(start, end).view(np.int64), two(start, end).view(np.int64), start, end, first, last, _beside(code, -1)[first], _beside(code, 1)[last]]
+
+
+#: Rows of units that go out at once, or those of a text.
+_ROWS = 100_000
+
+
+def units(docs: DataFrame, keys_only: bool = False) -> DataFrame:
+    """The units of ``docs`` (doc_id, text): two halves of a 128-bit digest, where the unit lies in
+    code points, its first and last word (numbers from 0) and two bits of each of 31 words at
+    both ends; or ``key`` alone, the first half. Null texts and ids have none, nor have texts without words. Of equal
+    texts in a task those with larger ids may be left out."""
     import xxhash
 
+    names = _NAMES[:1] if keys_only else _NAMES
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, seen = [Prefixes(0), Prefixes(1)], {}
+        cols: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in names]
+        held = 0
         for batch in batches:
-            digests, owner, start, end = [], [], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_py().encode()
-                ends = borders(raw)
-                digests += [xxhash.xxh3_128_digest(raw[a:e]) for a, e in zip([0, *ends], ends, strict=False)]
-                points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]).astype(np.int32)
-                at = points[np.array([0, *ends])]
-                start.append(at[:-1])
-                end.append(at[1:])
-                owner += [doc] * len(ends)
-            both = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(owner, pa.int64()), pa.array(np.concatenate(start)), pa.array(np.concatenate(end))], ["key", "check", "doc_id", "start", "end"])
-
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, CHUNKS)
-
-
-def find_repeats(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
-    """Passages of ``docs`` that occurred before: doc_id, start, end, n_chunks, and
-    source_doc_id, where the first of its chunks was found first.
-
-    A passage is a run of repeated chunks of at least ``min_passage`` code points; it
-    may be a few dozen bytes shorter at both ends than what really repeats. Rows with
-    one doc_id count as one document, and a document may repeat itself."""
-    all_chunks = chunks(docs)
-    firsts = all_chunks.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "check")).alias("first")).where("n > 1")
-    firsts = materialize(firsts, "firsts")
-    again = join_by_key(all_chunks, firsts, "key", "n").where("check = first.check and not (doc_id = first.doc_id and start = first.start)")
-    again = again.select("doc_id", "start", "end", F.col("first.doc_id").alias("source_doc_id")).distinct()
-    order = W.partitionBy("doc_id").orderBy("start")
-    new = F.coalesce((F.lag("end").over(order) < F.col("start")).cast("int"), F.lit(1))
-    runs = again.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").cast("int").alias("n_chunks"), F.min_by("source_doc_id", "start").alias("source_doc_id"))
-    return found.where(F.col("end") - F.col("start") >= min_passage).drop("run")
-
-
-def _sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
-    """``pick`` over each ``width`` neighbours of ``a``."""
-    out, w = a, 1
-    while 2 * w <= width:
-        out, w = pick(out[:-w], out[w:]), 2 * w
-    return pick(out[: len(out) - (width - w)], out[width - w :]) if w < width else out
-
-
-def anchors(raw: bytes) -> np.ndarray:
-    """Where the anchors of a text start, in bytes."""
-    if len(raw) < ANCHOR + NEAR - 1:
-        return np.empty(0, np.int64)
-    h = _rolling(np.frombuffer(raw, np.uint8), WINDOW)[ANCHOR - 1 :]
-    least = _sliding(h, NEAR, np.minimum)
-    edge = np.zeros(NEAR - 1, _U)
-    chosen = _sliding(np.concatenate([edge, least, edge]), NEAR, np.maximum) == h
-    # Equal neighbours are runs of one character; some of each run do.
-    at = np.arange(len(h))
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    last = np.concatenate([new[1:], [True]])
-    return np.flatnonzero(chosen & (last | ((at - np.maximum.accumulate(np.where(new, at, 0))) % NEAR == 0)))
-
-
-def _digest(raw: bytes, at: int) -> tuple[int, int]:
-    import xxhash
-
-    got = xxhash.xxh3_128_digest(raw[at : at + ANCHOR])
-    return int.from_bytes(got[:8], "big", signed=True), int.from_bytes(got[8:], "big", signed=True)
-
-
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                text = text.as_py()
+                raw = text.encode()
+                known = xxhash.xxh3_128_digest(raw)
+                if seen.get(known, doc + 1) <= doc:  # the document with the smallest id is always looked at
+                    continue
+                if len(seen) < 1_000_000:
+                    seen[known] = doc
+                if (own := _units(digests, raw, keys_only)) is None:
+                    continue
+                if not keys_only:
+                    key, check, start, end, *rest = own
+                    if len(raw) != len(text):
+                        points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+                        start, end = points[start], points[end]
+                    own = [key, check, np.full(len(key), doc, np.int64), start, end, *rest]
+                for c, v in zip(cols, own, strict=True):
+                    c.append(v)
+                held += len(own[0])
+                if held > _ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
+                    cols, held = [[np.empty(0, np.int64)] for _ in names], 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
+
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "key long" if keys_only else UNITS)
+
+
+#: The lower bit of each pair.
+_ODD = sum(1 << 2 * k for k in range(BESIDE))
+
+
+def _agreeing(mine: Column, other: Column) -> Column:
+    """How many words beside two units agree, from the nearest on."""
+    none = F.bitwise_not(mine.bitwiseOR(F.shiftright(mine, 1))).bitwiseAND(F.lit(_ODD))  # where there is no word
+    odd = mine.bitwiseXOR(other).bitwiseOR(none)
+    return F.when(odd == 0, F.lit(BESIDE)).otherwise((F.round(F.log2(odd.bitwiseAND(-odd))).cast("int") / 2).cast("int"))
+
+
+def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Passages of at least ``min_words`` words of ``docs`` (doc_id, text) that occurred before:
+
+    doc_id, start, end (code points, end exclusive: the whole chunks in it), first_word,
+    n_words (the passage itself, its first word counted from 0), n_units and source_doc_id,
+    where the first of its units was found first. Of documents with equal texts all but the one with the
+    smallest doc_id are a passage each. Rows with one doc_id count as one document, and a
+    document may repeat itself. Null ids and texts have none.
+
+    Words are runs without ASCII white space; letters of scripts without spaces count as words."""
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    whole = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").cast("long").alias("size"))
+    same = whole.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("source_doc_id")).where("n > 1")
+    copies = join_by_key(whole, materialize(same, "same"), "digest", "n").where("doc_id <> source_doc_id")
+    copies = materialize(copies.select("doc_id", "source_doc_id", "size").distinct(), "copies")
+
+    again = materialize(units(docs, keys_only=True).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    some = materialize(flag_among(units(docs), "key", again, "able").where("able").drop("able"), "units")
+    place = ("doc_id", "start", "first", "last", "before", "after")
+    firsts = some.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("o")).where("n > 1")
+    firsts = materialize(firsts.withColumn("both", F.struct("key", "check")).select("both", "n", "o"), "firsts")
+    hits = join_by_key(some.withColumn("both", F.struct("key", "check")), firsts, "both", "n").where("not (doc_id = o.doc_id and start = o.start)")
+    order = W.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    runs = hits.withColumn("new", F.coalesce((reach <= F.col("start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.size(F.collect_set("start")).alias("n_units"),
+        F.min_by(F.struct("first", "before", "o"), F.struct("start", "end", "o")).alias("a"), F.max_by(F.struct("last", "after", "o"), F.struct("end", "start", "o")).alias("z"),
+    )
+    left = F.least(_agreeing(F.col("a.before"), F.col("a.o.before")), F.col("a.first") + 1)
+    right = _agreeing(F.col("z.after"), F.col("z.o.after"))
+    runs = runs.withColumn("first_word", F.col("a.first") - left + 1).withColumn("n_words", F.col("z.last") + right - F.col("first_word"))
+    found = runs.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "first_word", "n_words", "n_units", F.col("a.o.doc_id").alias("source_doc_id"))
+    found = found.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_py().encode()
-                rows += [(*_digest(raw, at), doc, at) for at in anchors(raw).tolist()]
-            cols = [*zip(*rows, strict=True)] if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], ["key", "check", "doc_id", "at"])
-
-    return docs.mapInArrow(find, "key long, check long, doc_id long, at int")
-
-
-def _sides(docs: DataFrame, points: DataFrame) -> DataFrame:
-    """The bytes beside ``points`` (src, side, at, key, n), where anchors of sources are: before those of side 0, after the others."""
+            n = [len(words(np.frombuffer(t.as_py().encode(), np.uint8))[0]) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_words"])
+
+    sources = copies.select(F.col("source_doc_id").alias("doc_id")).distinct()
+    able = flag_among(docs, "doc_id", sources, "able").where("able").select("doc_id", "text")
+    lengths = able.join(sources, "doc_id").mapInArrow(count, "doc_id long, n_words long").groupBy("doc_id").agg(F.max("n_words").alias("n_words")).withColumnRenamed("doc_id", "source_doc_id")
+    many = copies.groupBy("source_doc_id").agg(F.count("*").alias("n")).join(lengths, "source_doc_id")
+    full = join_by_key(copies, many, "source_doc_id", "n").where(F.col("n_words") >= min_words)
+    full = full.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"), F.lit(0).cast("long").alias("first_word"), "n_words", F.lit(0).alias("n_units"), "source_doc_id")
+    return found.unionByName(full)
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without the words of their repeated passages and the white space after these;
+    rows without any stay as they are. Other columns stay."""
+    spans = find_passages(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
+    cols = docs.columns
+    name = spare(cols, "spans")
+    spans = materialize(spans.withColumnRenamed("spans", name), "spans")
+    flag = spare([*cols, name], "able")
+    marked = flag_among(docs, "doc_id", spans.select("doc_id"), flag)
+    able = marked.where(flag).select(*cols).join(spans, "doc_id", "left")
+    text, own = cols.index("text"), len(cols)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                raw = text.as_py().encode()
-                for p in wanted.as_py():
-                    if _digest(raw, p["at"])[0] == p["key"]:  # another text of this id otherwise
-                        end = p["at"] + ANCHOR
-                        rows.append((p["point"], p["n"], raw[end : end + SIDE] if p["side"] else raw[max(0, p["at"] - SIDE) : p["at"]]))
-            cols = [*zip(*rows, strict=True)] if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["point", "n", "piece"])
-
-    wanted = points.groupBy(F.col("src").alias("doc_id")).agg(F.collect_list(F.struct("point", "side", "at", "key", "n")).alias("wanted"))
-    return docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(cut, "point string, n long, piece binary").dropDuplicates(["point"])
-
-
-def _passages(raw: bytes, runs: list[dict]) -> list[list[int]]:
-    """Runs of anchors, extended and united: [start, end, anchors, source, most bytes of anchors in a row]."""
-    out: list[list[int]] = []
-    for r in runs:
-        start, end = r["first"], r["last"] + ANCHOR
-        if _digest(raw, start)[0] != r["key"] or _digest(raw, r["last"])[0] != r["last_key"]:
-            continue
-        before, after = r["before"] or b"", r["after"] or b""
-        a, b = start, end
-        while a and start - a < len(before) and raw[a - 1] == before[len(before) - 1 - (start - a)]:
-            a -= 1
-        while b < len(raw) and b - end < len(after) and raw[b] == after[b - end]:
-            b += 1
-        out.append([a, b, r["n"], r["src"], start, end])
-    out.sort()
-    united: list[list[int]] = []
-    for a, b, n, src, start, end in out:
-        if united and a <= united[-1][1]:
-            u = united[-1]
-            u[1], u[2] = max(u[1], b), u[2] + n
-            u[5:] = [u[5], max(u[6], end)] if start <= u[6] else [start, end]
-            u[4] = max(u[4], u[6] - u[5])
-        else:
-            united.append([a, b, n, src, end - start, start, end])
-    return [u[:5] for u in united]
-
-
-def _whole_words(text: str, a: int, b: int) -> tuple[int, int]:
-    """The span without blanks and parts of words at its ends."""
-    x, y = a, b
-    if x and _INSIDE.match(text[x - 1]):
-        while x < y and _INSIDE.match(text[x]):
-            x += 1
-    if y < len(text) and _INSIDE.match(text[y]):
-        while x < y and _INSIDE.match(text[y - 1]):
-            y -= 1
-    while x < y and text[x].isspace():
-        x += 1
-    while x < y and text[y - 1].isspace():
-        y -= 1
-    return x, y
-
-
-def find_passages(docs: DataFrame, min_passage: int = MIN_PASSAGE, min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages of ``docs`` that occurred before, in whole words: doc_id, start, end,
-    n_chunks (anchors in it) and source_doc_id, where the first of its anchors was found first.
-
-    A passage has at least ``min_words`` words, or anchors in a row cover ``min_passage``
-    code points of it. Each anchor is compared with its first occurrence only. Rows
-    with one doc_id count as one document, and a document may repeat itself."""
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    rows = _anchor_rows(docs)
-    firsts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "check")).alias("first")).where("n > 1")
-    firsts = materialize(firsts, "firsts")
-    hits = join_by_key(rows, firsts, "key", "n").where("check = first.check and not (doc_id = first.doc_id and at = first.at)")
-    hits = hits.select("doc_id", "at", "key", F.col("first.doc_id").alias("src"), (F.col("at") - F.col("first.at")).alias("shift")).distinct()
-    order = W.partitionBy("doc_id", "src", "shift").orderBy("at")
-    new = F.coalesce((F.lag("at").over(order) + ANCHOR < F.col("at")).cast("int"), F.lit(1))
-    runs = hits.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc_id", "src", "shift", "run")
-    runs = runs.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").cast("int").alias("n"), F.min_by("key", "at").alias("key"), F.max_by("key", "at").alias("last_key"))
-    point = lambda side, at, key: F.concat_ws(":", F.lit(side), "src", F.col(at) - F.col("shift"), key)
-    runs = materialize(runs.withColumns({"left": point(0, "first", "key"), "right": point(1, "last", "last_key")}), "runs")
-    asked = lambda side, at, key, name: runs.select("src", F.lit(side).alias("side"), (F.col(at) - F.col("shift")).alias("at"), F.col(key).alias("key"), F.col(name).alias("point"))
-    points = asked(0, "first", "key", "left").unionByName(asked(1, "last", "last_key", "right")).groupBy("src", "side", "at", "key", "point").agg(F.count("*").alias("n"))
-    sides = materialize(_sides(docs, points), "sides")
-    for name, piece in (("left", "before"), ("right", "after")):
-        side = sides.where(F.col("point").startswith("0:" if name == "left" else "1:")).withColumnRenamed("point", name)
-        runs = join_by_key(runs.withColumnRenamed("n", "n_anchors"), side, name, "n").drop("n").withColumnsRenamed({"piece": piece, "n_anchors": "n"})
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "n", "src", "key", "last_key", "before", "after")).alias("runs"))
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for doc, value, its in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                text = value.as_py()
-                raw = text.encode()
-                points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-                for a, b, n, src, row in _passages(raw, its.as_py()):
-                    while a < b and raw[a] & 0xC0 == 0x80:
-                        a += 1
-                    while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
-                        b -= 1
-                    whole = int(points[a]), int(points[b])
-                    x, y = _whole_words(text, *whole)
-                    long = row >= min_passage and whole[1] - whole[0] >= min_passage
-                    if long and x == y:
-                        x, y = whole
-                    if long or sum(1 for _ in _WORDS.finditer(text, x, y)) >= min_words:
-                        found.append((doc, x, y, n, src))
-            cols = [*zip(*found, strict=True)] if found else [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "end", "n_chunks", "source_doc_id"])
-
-    return docs.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(extend, "doc_id long, start int, end int, n_chunks int, source_doc_id long").distinct()
-
-
-def remove_repeats(docs: DataFrame, min_passage: int = MIN_PASSAGE) -> DataFrame:
-    """``docs`` without their repeated passages; rows without any stay as they are."""
-    spans = find_passages(docs, min_passage).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(spans, "doc_id", "left")
-    starts = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text")))
-    kept = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    text = F.array_join(F.transform(kept, lambda k: F.substring(F.col("text"), k["a"] + 1, k["b"] - k["a"])), "")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+            out = []
+            for value, its in zip(batch.column(text), batch.column(own), strict=True):
+                t = value.as_py()
+                if t is not None and its.as_py():
+                    raw = t.encode()
+                    begins, _ = words(np.frombuffer(raw, np.uint8))
+                    stops = [*begins.tolist(), len(raw)]
+                    kept, at = [], 0
+                    for s in its.as_py():
+                        a, e = (stops[min(s["first_word"] + k, len(begins))] for k in (0, s["n_words"]))
+                        kept.append(raw[at : max(at, a)])
+                        at = max(at, e)
+                    t = b"".join([*kept, raw[at:]]).decode()
+                out.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == text else c for k, c in enumerate(batch.columns[:own])], cols)
+
+    changed = able.select(*cols, name).mapInArrow(cut, docs.select(*cols).schema)
+    return marked.where(~F.col(flag)).select(*cols).unionByName(changed)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

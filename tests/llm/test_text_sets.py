@@ -1,10 +1,12 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docindex.llm import decontam, ngram_join, substring
 from docindex.llm.graph import components
@@ -71,6 +73,35 @@ def test_join_with_large_groups(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(documents(spark, rows)).collect()} == brute_components(rows)
 
 
+def test_join_of_salted_buckets_and_blocks(spark, monkeypatch):
+    """Common keys in parts, buckets in several blocks, blocks with more pairs than they may give."""
+    rng = random.Random(19)
+    base = ["b%d" % n for n in range(150)]
+    rows = []
+    for n in range(150):  # copies with edits all over: some are linked with a few others only
+        t = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            t[rng.randrange(len(t))] = "w%d" % rng.randrange(10**6)
+        rows.append((n, " ".join(t)))
+    rows += [(500 + n, " ".join("c%d" % rng.randrange(10**6) for _ in range(80))) for n in range(40)]
+    for name, value in (("SALTED", 7), ("BLOCK", 32), ("EACH", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(documents(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_join_of_sets_with_one_digest(spark, monkeypatch):
+    """Sets whose first digests agree by chance are told apart by the second ones."""
+    real = ngram_join.class_ids
+    monkeypatch.setattr(ngram_join, "class_ids", lambda s: (real(s)[0] % 5, real(s)[1]))
+    rows = corpus(3, 40)
+    docs = documents(spark, rows).select("doc_id", "text")
+    survey = docs.sparkSession.createDataFrame([(0, i, *ngram_join.class_ids(s), len(s), b"") for i, t in rows for s in [ngram_join.Shingler()(t)]], "tag int, doc_id long, a long, b long, n long, sketch binary")
+    own, classes, doubtful = ngram_join._classes(survey)
+    assert doubtful == set(range(5)) and classes.where("lo <> hi").count() == 0
+    assert own.select("cls", "n").distinct().count() >= classes.count() == len({frozenset(shingles(t)) for _, t in rows})
+
+
 def test_join_repeats_nulls_and_nothing(spark):
     rows = [(2, "a b c d e f"), (1, "A B C D E F"), (2, "a b c d e f"), (None, "a b c d e f"), (None, None)]
     got = sorted(ngram_join.link_components(documents(spark, rows)).collect(), key=str)
@@ -88,11 +119,17 @@ def test_linked_sets_share_a_key(a, b):
     x, y = (np.unique(pool[np.array(v)]) for v in (a, b))
     both = len(np.intersect1d(x, y))
     if 100 * both >= 75 * (len(x) + len(y) - both):
-        none = np.empty(0, np.uint64)
-        for common in map(ngram_join.Members, (none, pool[:20])):
-            assert {*ngram_join.join_keys(x, common).tolist()} & {*ngram_join.join_keys(y, common).tolist()}
-        sketches = [np.frombuffer(ngram_join.dense_sketch(v), np.uint64).reshape(1, -1) for v in (x, y)]
-        assert ngram_join._near(*sketches, np.array([len(x)]), np.array([len(y)]))[0][0]
+        none = np.zeros((1 << ngram_join.COMMON_BITS) // 8, np.uint8)
+        some = none.copy()
+        for own in pool[:20].tolist():
+            place = own >> 64 - ngram_join.COMMON_BITS
+            some[place >> 3] |= 1 << (place & 7)
+        assert ngram_join.is_common(pool, some).tolist() == [1] * 20 + [0] * 21
+        for common in (none, some):
+            assert {*ngram_join.join_keys(x, common)[0].tolist()} & {*ngram_join.join_keys(y, common)[0].tolist()}
+        one, two = (ngram_join.Sketches([ngram_join.dense_sketch(v)]) for v in (x, y))
+        zero = np.zeros(1, np.int64)
+        assert ngram_join._near(one.apart(two, zero, zero), np.array([len(x)]), np.array([len(y)]))[0][0]
 
 
 def test_components(spark):
@@ -145,8 +182,10 @@ def test_tiling_against_brute_force():
         if rng.random() < 0.5:
             cut = rng.randrange(len(item))
             doc[3:3] = item[cut:] + ["h"] + item[:cut]
-        got = decontam.ItemIndex([(1, " ".join(item))], 3).match(" ".join(doc))
-        assert sum(g[2] for g in got) == brute_tiles(doc, item, min(3, len(item)))
+        words = decontam._Words()
+        got = decontam.tile(decontam._ids(" ".join(doc), words), decontam._ids(" ".join(item), words), 3)
+        assert sum(t[2] for t in got) == brute_tiles(doc, item, min(3, len(item)))
+        assert all(doc[i : i + n] == item[j : j + n] for i, j, n in got)
 
 
 def test_leaks(spark, tmp_path):
@@ -161,34 +200,89 @@ def test_leaks(spark, tmp_path):
     assert decontam.find_leaks(docs.limit(0), items).count() == 0 and decontam.find_leaks(docs, items.limit(0)).count() == 0
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
-    items = spark.createDataFrame([(n, f"t{n} u{n} v{n} w{n} x{n} y{n}") for n in range(12)], "item_id long, text string")
-    docs = documents(spark, [(n, f"see t{n} u{n} v{n} w{n} x{n} y{n}") for n in range(12)])
-    whole = sorted((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect())
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 60)
-    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()) == whole == [(n, n) for n in range(12)]
+def test_tiling_of_repetitive_texts():
+    words = decontam._Words()
+    doc, item = decontam._ids("again " * 20_000, words), decontam._ids("again " * 15_000, words)
+    assert decontam.tile(doc, item, 5) == [(0, 0, 15_000)]
+    assert decontam.tile(item, doc, 5) == [(0, 0, 15_000)]
+    mixed = decontam._ids("again and " * 9_000 + "again " * 2_000, words)
+    assert sum(t[2] for t in decontam.tile(mixed, item, 5)) == 2_000
+
+
+def test_many_items_share_a_seed(spark, monkeypatch):
+    items = spark.createDataFrame([(f"i{n}", f"so what is the answer to t{n} u{n} v{n} w{n} x{n} y{n}") for n in range(12)] + [("i1", "so what is the answer to")], "item_id string, text string")
+    rows = [(n, f"see what is the answer to t{n} u{n} v{n} w{n} x{n} y{n}") for n in range(12)] * 2 + [(None, "So what is the answer to you"), (None, None)]
+    docs = documents(spark, rows)
+    want = sorted([(str(n), f"i{n}") for n in range(12)] * 2 + [("None", f"i{n}") for n in [*range(12), 1]] + [(str(n), "i1") for n in range(12) if n != 1] * 2 + [("1", "i1")] * 2)
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in decontam.find_leaks(docs, items).collect()) == want
+    monkeypatch.setattr(decontam, "MAP_BITS", 1 << 15)  # the map lets almost everything pass
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in decontam.find_leaks(docs, items).collect()) == want
+    assert [r["text"] for r in decontam.drop_leaks(docs, items).collect()] == [None]
 
 
 # Substrings ---------------------------------------------------------------------
 
 
+def as_bytes(text):
+    return np.frombuffer(text.encode(), np.uint8)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(max_size=400), st.text(max_size=200))
 def test_borders(head, tail):
-    text = head * 3 + tail
-    raw = text.encode()
-    ends = substring.borders(raw)
-    assert not raw or ends[-1] == len(raw)
-    assert ends == sorted({*ends})
-    assert "".join(raw[a:e].decode() for a, e in zip([0, *ends], ends, strict=False)) == text
+    b = as_bytes(head * 3 + tail)
+    at = substring.borders(b).tolist()
+    assert at == sorted({*at}) and at[0] == 0 and at[-1] == len(b)
+    assert all(e - a <= substring.MOST for a, e in zip(at, at[1:], strict=False))
 
 
 def test_borders_follow_the_text():
     rng = random.Random(1)
-    body = " ".join("w%d" % rng.randrange(9999) for _ in range(400)).encode()
-    cut = lambda raw: {raw[a:e] for a, e in zip([0, *substring.borders(raw)], substring.borders(raw), strict=False)}
-    plain, shifted = cut(body), cut(b"inserted words " + body)
-    assert len(plain - shifted) <= 4
+    body = " ".join("w%d" % rng.randrange(9999) for _ in range(400))
+    cut = lambda t: {t[a:e] for at in [substring.borders(as_bytes(t)).tolist()] for a, e in zip(at, at[1:], strict=False)}
+    plain, shifted = cut(body), cut("inserted words " + body)
+    assert len(plain) > 40 and len(plain - shifted) <= 4
+    assert len(cut("x" * 5000)) <= 4
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab \n\té—日本ก😀", max_size=40))
+def test_words(text):
+    raw = text.encode()
+    found = [raw[a:e].decode() for a, e in zip(*substring.words(as_bytes(text)), strict=True)]
+    assert found == re.findall(r"[日本ก😀]|[^ \n\t日本ก😀]+", text)
+
+
+def longest_common(a, b):
+    """Words of the longest run that two lists share, by the textbook table."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, *row)
+    return best
+
+
+def test_passages_against_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    say = lambda n: ["w%d" % rng.randrange(99_999) for _ in range(n)]
+    pool = [say(n) for n in (30, 40, 44, 55, 60, 75, 120)]
+    rows = []
+    for n in range(60):
+        parts = [say(rng.randrange(1, 40))]
+        for passage in rng.sample(pool, rng.randrange(3)):
+            parts += [passage, say(rng.randrange(1, 30))]
+        rows.append((n, sum(parts, [])))
+    got = defaultdict(list)
+    for r in substring.op3_substring_dedup(spark, saved(tmp_path, documents(spark, [(i, " ".join(w)) for i, w in rows]))).collect():
+        got[r["doc_id"]].append(r)
+    for i, own in rows:
+        most = max((longest_common(own, other) for j, other in rows if j < i), default=0)
+        assert bool(got[i]) == (most >= 51), (i, most)
+        for r in got[i]:
+            piece, source = own[r["first_word"] : r["first_word"] + r["n_words"]], dict(rows)[r["source_doc_id"]]
+            assert r["source_doc_id"] < i and longest_common(piece, source) >= min(30, len(piece) - 12)
+            whole = " ".join(own)
+            assert whole[r["start"] : r["end"]] in whole and r["end"] - r["start"] > 100
 
 
 def test_repeats(spark, tmp_path):
@@ -196,59 +290,32 @@ def test_repeats(spark, tmp_path):
     say = lambda n: " ".join("w%d" % rng.randrange(99_999) for _ in range(n))
     shared = say(60)
     rows = [(1, say(50) + " " + shared + " " + say(30)), (2, say(7) + " " + shared), (3, say(200)), (4, shared + " é " + say(10)), (5, say(3)), (6, shared[:60])]
-    rows += EDGES[:4] + EDGES[5:6]
+    rows += EDGES[:6] + [(910, EDGES[6][1] + EDGES[5][1])] + [(n, EDGES[7][1]) for n in (930, 920, 940, 920)] + [(None, shared)]
     got = substring.op3_substring_dedup(spark, saved(tmp_path, documents(spark, rows))).collect()
+    assert {(r["doc_id"], r["source_doc_id"]) for r in got} == {(2, 1), (4, 1), (920, 920), (930, 920), (940, 920)}  # 920 repeats itself
+    assert all(r["n_words"] == 30_000 and r["end"] == 150_000 for r in got if r["doc_id"] > 920)
+    docs = documents(spark, rows).withColumn("spans", F.lit(1)).withColumn("able", F.lit(2))
+    out = substring.remove_repeats(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    kept = {r["doc_id"]: r["text"] for r in out.collect()}
     texts = dict(rows)
-    assert {r["doc_id"] for r in got} == {2, 4} and {r["source_doc_id"] for r in got} == {1}
-    for r in got:
-        piece = texts[r["doc_id"]][r["start"] : r["end"]]
-        assert piece in shared and len(piece) > len(shared) - 200
-    kept = {r["doc_id"]: r["text"] for r in substring.remove_repeats(documents(spark, rows)).collect()}
-    assert kept[1] == texts[1] and kept[3] == texts[3] and kept[901] is None
-    assert len(kept[2]) < len(texts[2]) and kept[2].startswith(texts[2][:20])
-    assert substring.find_repeats(documents(spark, [])).count() == 0
-
-
-def test_digests_find_the_same_as_brute_force(spark):
-    rng = random.Random(12)
-    pool = [" ".join("v%d" % rng.randrange(9999) for _ in range(60)) for _ in range(6)]
-    rows = [(n, " ".join(rng.choice(pool) for _ in range(3))) for n in range(20)]
-    first: dict[bytes, tuple] = {}
-    again = defaultdict(int)
-    for i, text in rows:
-        raw = text.encode()
-        ends = substring.borders(raw)
-        for a, e in zip([0, *ends], ends, strict=False):
-            if first.setdefault(raw[a:e], (i, a)) != (i, a):
-                again[i] += e - a
-    got = defaultdict(int)
-    for r in substring.find_repeats(documents(spark, rows), min_passage=1).collect():
-        got[r["doc_id"]] += r["end"] - r["start"]
-    assert got == again
-
-
-@pytest.mark.parametrize("letters", [(1, 1), (1, 3), (2, 4), (3, 8)])
-def test_passages_of_51_words(spark, letters):
+    assert all(kept[i] == texts[i] for i in (1, 3, 5, 6, 901, 902, 903, 904, 905, 906, 910)) and kept[940] == "" and texts[920].startswith(kept[920])
+    assert len(kept[2].split()) < 8 and kept[4].endswith(texts[4][-20:])
+    assert substring.find_passages(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(("letters", "least"), [((1, 2), 59), ((1, 3), 60), ((2, 4), 60), ((3, 8), 60)])
+def test_passages_of_51_words(spark, letters, least):
     rng = random.Random(5)
     say = lambda n, a, b: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b))) for _ in range(n))
     rows, planted = [], {}
     for n in range(60):
         passage = say(51, *letters)
         for i in (n, 1000 + n):
-            head = say(rng.randrange(1, 30), 4, 9) + " "
-            rows.append((i, f"{head}{passage} {say(20, 4, 9)}"))
-            planted[i] = (len(head), len(head) + len(passage))
-    got = {r["doc_id"]: (r["start"], r["end"], r["source_doc_id"]) for r in substring.find_passages(documents(spark, rows)).collect()}
-    assert got == {1000 + n: (*planted[1000 + n], n) for n in range(60)}
-    kept = {r["doc_id"]: r["text"] for r in substring.remove_repeats(documents(spark, rows)).collect()}
-    assert all(len(kept[i]) == len(t) - (i >= 1000) * (planted[i][1] - planted[i][0]) for i, t in rows)
-
-
-def test_equal_texts_share_an_anchor():
-    rng = random.Random(6)
-    least = 2 * substring.MIN_WORDS - 1
-    for n in range(300):
-        same = bytes(rng.choice(b"ab ") for _ in range(least)) if n % 2 else b"x" * rng.randrange(least) + b"y" * least
-        cut = lambda raw: {raw[a : a + substring.ANCHOR] for a in substring.anchors(raw).tolist()}
-        noise = lambda: bytes(rng.choice(b"ab xy") for _ in range(rng.randrange(90)))
-        assert cut(noise() + same + noise()) & cut(noise() + same + noise())
+            head = rng.randrange(1, 30)
+            rows.append((i, f"{say(head, 4, 9)} {passage} {say(20, 4, 9)}"))
+            planted[i] = head
+    got = {r["doc_id"]: r for r in substring.find_passages(documents(spark, rows)).collect()}
+    assert len(got) >= least and {*got} <= {*range(1000, 1060)}
+    for i, r in got.items():
+        assert r["source_doc_id"] == i - 1000 and r["first_word"] <= planted[i] and r["first_word"] + r["n_words"] >= planted[i] + 51 and r["n_words"] < 70
