@@ -64,26 +64,30 @@ def pack_parts(section: Column, max_tokens: int, counter: Counter = count_tokens
 
     parts = F.flatten(F.zip_with(F.split(section, fence, -1), F.regexp_extract_all(section, F.lit(fence), F.lit(0)), around))
     counted = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), counter(p["text"]).alias("n"), p["fenced"].alias("fenced")))
-    kind = "array<struct<content:string,tokens:int>>"
     chunk = lambda text, n: F.struct(text.alias("content"), n.alias("tokens"))
+    none = F.array().cast("array<struct<content:string,tokens:int>>")
 
-    def attach(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = p["fenced"] & (F.size(done) > 0) & (last["tokens"] + p["n"] <= max_tokens)
-        joined = chunk(F.concat(last["content"], F.lit("\n"), p["text"]), last["tokens"] + p["n"])
-        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(chunk(p["text"], p["n"]))))
+    def fits(last: Column, p: Column) -> Column:
+        return last["tokens"] + p["tokens"] <= max_tokens
 
-    def attach_or_start(done: Column, p: Column) -> Column:
-        return F.when(F.size(done) == 0, F.array(chunk(p["text"], p["n"]))).otherwise(attach(done, p))
+    single = F.transform(counted, lambda p: F.struct(p["text"].alias("content"), p["n"].alias("tokens"), p["fenced"].alias("fenced")))
+    attached = _joined(
+        single, none, lambda last, p: p["fenced"] & fits(last, p),
+        lambda last, p: chunk(F.concat(last["content"], F.lit("\n"), p["content"]), last["tokens"] + p["tokens"]), lambda p: chunk(p["content"], p["tokens"]),
+    )
+    return _joined(attached, none, fits, lambda last, p: chunk(F.concat(last["content"], F.lit("\n\n"), p["content"]), last["tokens"] + p["tokens"]))
 
-    def fill(done: Column, p: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = chunk(F.concat(last["content"], F.lit("\n\n"), p["content"]), last["tokens"] + p["tokens"])
-        more = F.when(last["tokens"] + p["tokens"] <= max_tokens, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(p)))
-        return F.when(F.size(done) == 0, F.array(p)).otherwise(more)
 
-    attached = F.aggregate(counted, F.array().cast(kind), attach_or_start)
-    return F.aggregate(attached, F.array().cast(kind), fill)
+def _joined(items: Column, none: Column, fits: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column], one: Callable[[Column], Column] = lambda p: p) -> Column:
+    """Items in order, each joined to the last result while it fits, else the next one. ``none`` is an
+    empty array of results. The open result is held apart, so that only closed ones are copied when another closes."""
+    zero = F.struct(none.alias("done"), F.get(none, F.lit(0)).alias("last"))
+
+    def step(s: Column, p: Column) -> Column:
+        state = lambda done, last: F.struct(done.alias("done"), last.alias("last"))
+        return F.when(s["last"].isNull(), state(s["done"], one(p))).when(fits(s["last"], p), state(s["done"], join(s["last"], p))).otherwise(state(F.concat(s["done"], F.array(s["last"])), one(p)))
+
+    return F.aggregate(items, zero, step, lambda s: F.when(s["last"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["last"]))))
 
 
 def split_large_section(df: DataFrame, max_tokens: int, counter: Counter = count_tokens) -> DataFrame:
@@ -99,13 +103,10 @@ def merge_small(chunks: Column, min_tokens: int, max_tokens: int) -> Column:
     takes in its successor while both fit together, and keeps its own other
     fields. The last is never merged backwards."""
 
-    def step(done: Column, c: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = last.withField("content", F.concat(last["content"], F.lit("\n\n"), c["content"])).withField("tokens", last["tokens"] + c["tokens"])
-        fits = (last["tokens"] < min_tokens) & (last["tokens"] + c["tokens"] <= max_tokens)
-        return F.when(F.size(done) == 0, F.array(c)).when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(c)))
+    def join(last: Column, c: Column) -> Column:
+        return last.withField("content", F.concat(last["content"], F.lit("\n\n"), c["content"])).withField("tokens", last["tokens"] + c["tokens"])
 
-    return F.aggregate(chunks, F.slice(chunks, 1, 0), step)
+    return _joined(chunks, F.slice(chunks, 1, 0), lambda last, c: (last["tokens"] < min_tokens) & (last["tokens"] + c["tokens"] <= max_tokens), join)
 
 
 def merge_small_chunks(df: DataFrame, min_tokens: int, max_tokens: int, key: str = "source_file") -> DataFrame:
