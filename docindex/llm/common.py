@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 
 from ..session import drop, load_table, materialize, new_path, shared_dir  # noqa: F401
 
+#: Rows of text per Arrow batch of the queries.
+TEXT_BATCH = 2000
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the given tables."""
+    """One of the given tables, for the queries and the pipeline; operators take any table. Where the session has
+    no bound of its own on the rows of an Arrow batch, it gets one: with Spark's 10,000 texts a batch
+    two Python workers and their buffers took an executor of 3 GB beyond its memory."""
+    bound = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(bound) == "10000":  # Spark's own value
+        spark.conf.set(bound, str(TEXT_BATCH))
     return load_table(spark, sf_dir, table)
 
 
@@ -46,7 +55,7 @@ def join_by_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, how: s
     return out.unionByName(marked.where("_hot is null").drop("_hot").join(by_key, key, how))
 
 
-#: Bits of the map that ``maybe_among`` broadcasts, at most 4 MB, and of one of its rows (Spark's own size).
+#: Bits of the map that ``flag_among`` broadcasts, at most 4 MB, and of one of its rows (Spark's own size).
 MAP_BITS, ROW_BITS = 1 << 25, 1 << 15
 
 

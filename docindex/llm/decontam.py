@@ -30,7 +30,7 @@ MIN_TILE, MIN_COVERAGE = 5, 0.5
 class _Words(dict):
     """Hashes of words, kept for those seen lately."""
 
-    KEPT = 500_000
+    KEPT = 200_000
 
     def __missing__(self, word: str) -> int:
         import xxhash
