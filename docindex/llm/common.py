@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..session import drop, load_table, materialize, new_path, shared_dir  # noqa: F401
 
 #: Rows of text per Arrow batch of the queries.
-TEXT_BATCH = 2000
+TEXT_BATCH = 1000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

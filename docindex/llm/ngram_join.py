@@ -37,7 +37,7 @@ PERCENT = 75
 #: Keys seen so often go last in the shared order. Of keys only those are counted that some
 #: task sees twice among so many, which finds all but those of up to about the root of six times the number of
 #: tasks. This only decides which keys are taken first.
-COMMON, COUNTED = 6, 4_000_000
+COMMON, COUNTED = 6, 2_000_000
 #: Bits of the map of common keys; two keys that share one are both taken late.
 COMMON_BITS = 26
 #: Members of a bucket that are compared in one block, and pairs for each of them that
