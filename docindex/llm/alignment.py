@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,13 @@ from .common import load, materialize, spare
 #: Steps of the merge path in a piece.
 PIECE = 1 << 16
 #: Characters of text that are aligned at once; a longer text is by itself.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 #: Distinct words held by a task, and the longest of them.
-KEPT, LONGEST = 400_000, 64
+KEPT, LONGEST = 250_000, 64
+
+# How A's file says that texts are cut before merging, and the expression that this stands for.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def merge_path(a: np.ndarray, b: np.ndarray, piece: int = PIECE) -> list[tuple[int, int]]:
@@ -90,64 +95,78 @@ class TwoTokenizers:
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
-        self.bytes_a, self.bytes_b = self._bytes_a(), self._bytes_b()
+        self.b = SentencePieceProcessor(model_file=b_path)
+        self.encode_a = self._open_a(a_path)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
-        pieces = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()))
         by_word = not any(re.search("[^▁]▁", p) for p in pieces)
         self.words = re.compile(r"(?<=\S) (?=\S)").split if by_word else lambda text: [text]
-        self.ids: dict[str, tuple[bytes, bytes]] = {}
+        #: Words to their ids, as bytes; and the words whose bytes a tokenizer doesn't give back.
+        self.kept: tuple[dict[str, bytes], dict[str, bytes], set[str]] = {}, {}, set()
+
+    def _open_a(self, path: str):
+        """Texts to ids. If each merge makes the next token, merging by the rank of what is made is the same, which a faster
+        library does; for other vocabularies, or texts cut in another way, the file's own tokenizer encodes."""
+        import json
 
-    def _bytes_a(self) -> list[bytes]:
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        own = Tokenizer.from_file(path)
+        own.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
         # Printable bytes are written as their own characters, the others as those from 256 on.
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
         byte = {chr(n if n in printable else next(others)): n for n in range(256)}
-        table = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            table[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        return table
-
-    def _bytes_b(self) -> list[bytes]:
+        self.bytes_a = [b""] * own.get_vocab_size()
+        for token, i in own.get_vocab().items():
+            self.bytes_a[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in said["model"]["merges"]]
+        vocabulary = said["model"]["vocab"]
+        if all(vocabulary[t] == 256 + n for n, t in enumerate(merges)) and said["pre_tokenizer"] == PRE_TOKENIZER and not said["normalizer"]:
+            import tiktoken
+
+            ranks = {self.bytes_a[i]: i for i in range(256 + len(merges))}
+            return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda text: own.encode(text, add_special_tokens=False).ids
+
+    def _add(self, words: list[str], kept: tuple[dict, dict, set]) -> None:
+        for word, right in zip(words, self.b.encode(words, num_threads=1), strict=True):
+            left = self.encode_a(" " + word)
+            kept[0][word], kept[1][word] = array("I", left).tobytes(), array("I", right).tobytes()
+            whole = b" " + word.encode()
+            if b"".join([self.bytes_b[i] for i in right]) != whole or b"".join([self.bytes_a[i] for i in left]) != whole:
+                kept[2].add(word)
+
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids under A, with a space before it, and under B; none if the text is
+        empty or either's bytes are others than those of the text with the space."""
+        cut = [self.words(t) if t else [] for t in texts]
+        every = {w for words in cut for w in words}
+        kept = self.kept
+        new = [w for w in every if w not in kept[0]]
+        if len(kept[0]) + len(new) > KEPT:
+            self.kept = kept = {}, {}, set()
+            new = [*every]
+        if new:
+            self._add(new, kept)
         out = []
-        for i in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(i)
-            out.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        for words, text in zip(cut, texts, strict=True):
+            a, b = (np.frombuffer(b"".join(map(k.__getitem__, words)), np.uint32).astype(np.int64) for k in kept[:2])
+            if kept[2] and not kept[2].isdisjoint(words):
+                whole = b" " + text.encode()
+                if any(b"".join(map(table.__getitem__, ids.tolist())) != whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+                    a = b = a[:0]
+            out.append((a, b))
+        for word in [w for w in new if len(w) > LONGEST]:
+            for k in kept[:2]:
+                k.pop(word)
         return out
 
-    def encode(self, words: list[str]) -> list[tuple[bytes, bytes]]:
-        """For each word, with a space before it, its ids under A and B, as 32-bit numbers."""
-        new = [*dict.fromkeys(w for w in words if w not in self.ids)]
-        if len(self.ids) + len(new) > KEPT:
-            self.ids.clear()
-            new = [*dict.fromkeys(words)]
-        if new:
-            left = self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)
-            right = self.b.encode(new, num_threads=1)
-            made = {w: (np.array(x.ids, "<u4").tobytes(), np.array(y, "<u4").tobytes()) for w, x, y in zip(new, left, right, strict=True)}
-            long = {w: made.pop(w) for w in new if len(w) > LONGEST}
-            self.ids |= made
-            if long:
-                return [long.get(w) or self.ids[w] for w in words]
-        return [self.ids[w] for w in words]
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids under A of the text with a space before it, and under B of the text; none if the text is
-        empty or either's bytes are others than those of the text with the space."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not text:
-            return none
-        pairs = self.encode(self.words(text))
-        a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in zip(*pairs, strict=True))
-        whole = b" " + text.encode()
-        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:
-            return none
-        return a, b
-
 
 def _group_texts(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, docs_a: np.ndarray, docs_b: np.ndarray, n_docs: int) -> list[str]:
     """For each document ``a1,a2|b1;a3|b2,b3``, from ids, the groups that they are in (counted over all documents)
@@ -203,7 +222,7 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, text: str = "text")
 
 
 def _aligned(batch: pa.RecordBatch, encode: TwoTokenizers, names: list[str]) -> pa.RecordBatch:
-    ids = [encode(t.as_py() or "") for t in batch.column(0)]
+    ids = encode([t or "" for t in batch.column(0).to_pylist()])
     n_a, n_b = (np.array([len(x[k]) for x in ids], np.int64) for k in (0, 1))
     a, b = (np.concatenate([x[k] for x in ids]) if ids else np.zeros(0, np.int64) for k in (0, 1))
     # One merge for all texts of the batch: each ends where tokens of both end.

@@ -109,8 +109,8 @@ def test_columns_of_any_name_and_empty_tables(spark):
 def test_small_batches_and_a_small_memory(spark, monkeypatch):
     rows = [(i, f"some words {i} and others {i % 3} " * (i % 5)) for i in range(40)]
     tok = alignment.TwoTokenizers(A, B)
-    want = [tuple(x.tolist() for x in tok(t)) for _, t in rows]
+    want = [tuple(x.tolist() for x in p) for p in tok([t for _, t in rows])]
     monkeypatch.setattr(alignment, "KEPT", 5)
     monkeypatch.setattr(alignment, "LONGEST", 4)
     tok = alignment.TwoTokenizers(A, B)
-    assert [tuple(x.tolist() for x in tok(t)) for _, t in rows] == want
+    assert [tuple(x.tolist() for x in p) for p in tok([t for _, t in rows])] == want
