@@ -54,8 +54,8 @@ def count_tokens(c: Column | str) -> Column:
 
 
 def count_bpe_tokens(c: Column | str, ranks_path: str) -> Column:
-    """Tokens of a byte-level BPE vocabulary, whose ranks lie in a file that all workers
-    have; null for null. Unlike ``count_tokens`` these counts don't add up over joined texts, so
+    """Tokens of a byte-level BPE vocabulary, whose ranks lie in a file of the driver's, which is sent to
+    workers; null for null. Unlike ``count_tokens`` these counts don't add up over joined texts, so
     give ``chunk_documents_with`` a ``BpeCounter``."""
     from ..helpers.bpe import BpeCounter
 

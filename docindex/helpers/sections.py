@@ -1,7 +1,7 @@
-"""Chunking of one document with any token counter, joined texts counted anew.
+"""Chunking of one document with any token counter.
 
 The rules are those of the column version in ``operators.chunking``; that one needs counts
-that add up, this one doesn't.
+that add up, here the counter says what a joined text has.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator
 import regex
 
 from ..functions.text import SYMBOL_PATTERNS
+from .bpe import AnyCounter, BpeCounter, Counted
 
-Count = Callable[[str], int]
+Counter = AnyCounter | BpeCounter
 _HEADING = regex.compile(r"^#{1,6}\s+(.+)$", regex.M)
 _FENCE = regex.compile(r"```.*?```", regex.S)
 _TITLE_SYMBOL = regex.compile(r"[\p{L}\p{N}_.]+")
@@ -46,39 +47,43 @@ def _parts(text: str) -> Iterator[tuple[str, bool]]:
             at = m.end()
 
 
-def pack(text: str, most: int, count: Count) -> list[str]:
+def pack(text: str, most: int, counter: Counter) -> list[Counted]:
     """A large section in pieces of at most ``most`` tokens, but for single larger parts."""
-    parts: list[str] = []
+    parts: list[Counted] = []
     for part, fenced in _parts(text):
-        if fenced and parts and count(f"{parts[-1]}\n{part}") <= most:
-            parts[-1] += f"\n{part}"
+        one = counter.measure(part)
+        if fenced and parts and (both := counter.join(parts[-1], "\n", one)).tokens <= most:
+            parts[-1] = counter.measure(both.text)
         else:
-            parts.append(part)
-    out: list[str] = []
+            parts.append(one)
+    out: list[Counted] = []
     for part in parts:
-        if out and count(f"{out[-1]}\n\n{part}") <= most:
-            out[-1] += f"\n\n{part}"
+        if out and (both := counter.join(out[-1], "\n\n", part)).tokens <= most:
+            out[-1] = both
         else:
             out.append(part)
     return out
 
 
-def chunk(text: str, most: int, least: int, count: Count) -> list[dict]:
-    """Chunks (content, tokens, section_title, symbol) of a document."""
+def chunk(text: str, most: int, least: int, count: Callable[[str], int]) -> list[dict]:
+    """Chunks (content, tokens, section_title, symbol) of a document. A ``count`` with ``measure`` and
+    ``join``, such as ``BpeCounter``, counts every part once."""
+    counter = count if hasattr(count, "join") else AnyCounter(count)
     pieces = []
     for title, section in sections(text.replace("\u0001", "")):
-        name, n = symbol(title, section), count(section)
-        if n > most:
-            pieces += [(p, title, name) for p in pack(section, most, count)]
-        elif n >= least or name:
-            pieces.append((section, title, name))
+        name, one = symbol(title, section), counter.measure(section)
+        if one.tokens > most:
+            pieces += [(p, title, name) for p in pack(section, most, counter)]
+        elif one.tokens >= least or name:
+            pieces.append((one, title, name))
     out: list[dict] = []
-    for content, title, name in pieces:
+    for one, title, name in pieces:
         if out and out[-1]["tokens"] < least:
-            joined = f"{out[-1]['content']}\n\n{content}"
-            if (n := count(joined)) <= most:
-                out[-1] |= {"content": joined, "tokens": n}
+            # Chunks below the budget only; what is put behind has to be measured whole.
+            both = counter.join(out[-1]["counted"], "\n\n", one if one.ends or not one.text else counter.measure(one.text))
+            if both.tokens <= most:
+                out[-1] |= {"counted": both, "tokens": both.tokens}
                 continue
-        if content:
-            out.append({"content": content, "tokens": count(content), "section_title": title, "symbol": name})
-    return out
+        if one.text:
+            out.append({"counted": one, "tokens": one.tokens, "section_title": title, "symbol": name})
+    return [{"content": c["counted"].text, "tokens": c["tokens"], "section_title": c["section_title"], "symbol": c["symbol"]} for c in out]

@@ -147,8 +147,8 @@ def chunk_documents(df: DataFrame, max_tokens: int = 800, min_tokens: int = 50,
 
 
 def chunk_documents_with(df: DataFrame, count: Callable[[str], int], max_tokens: int = 800, min_tokens: int = 50) -> DataFrame:
-    """``chunk_documents`` with a counter of strings, such as a BPE encoder's length,
-    whose counts need not add up. Runs in Python, a document at a time."""
+    """``chunk_documents`` with a counter of strings, whose counts need not add up. A ``BpeCounter`` cuts and counts each part
+    once and corrects the sums at the seams; any other function counts joined texts anew. Runs in Python, a document at a time."""
     from collections.abc import Iterator
 
     import pandas as pd

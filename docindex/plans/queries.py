@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import text as t
+from ..helpers.bpe import BpeCounter
 from ..operators import chunking, code, embed, html, prompts, search
 from ..operators import index as idx
 from ..session import load_table, new_path
@@ -350,6 +351,15 @@ def c9_chunk_documents_with(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_documents_with(d.md_docs(spark, sf), lambda s: len(pieces.findall(s))).select("source_file", "chunk_no", "tokens", _md5("content"), "symbol", "section_title", "chapter")
 
 
+@query()
+def c9_chunk_bpe_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """With a budget of byte-pair tokens."""
+    import public_tokenizers
+
+    counter = BpeCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return chunking.chunk_documents_with(d.md_docs(spark, sf), counter).select("source_file", "chunk_no", "tokens", _md5("content"), "symbol", "section_title", "chapter")
+
+
 # Code -------------------------------------------------------------------------
 
 _LINES = "lines AS (SELECT project, relative_path, string_split(content, chr(10)) AS ls, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM f)"

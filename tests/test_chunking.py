@@ -130,3 +130,52 @@ def test_byte_pair_counts(spark):
     docs = spark.createDataFrame([("a.md", "A", "# A\n\n" + "\n\n".join("many words in a row " * 20 for _ in range(30)))], "source_file string, title string, content string")
     chunks = chunking.chunk_documents_with(docs, BpeCounter(path), 300, 20).collect()
     assert len(chunks) > 5 and all(c["tokens"] <= 300 and c["tokens"] == len(plain.encode(c["content"], add_special_tokens=False).ids) for c in chunks)
+
+
+CL100K_LIKE = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
+_PIECES = st.lists(st.sampled_from(["a", "B", " ", "  ", "\n", "\t", "'s", "'", "12", "345", ".", "!?", "é", "日", "😀", "\r\n", "\x1c", "\x85", "word", "```"]), max_size=8).map("".join)
+
+
+@pytest.mark.parametrize("pattern", [None, CL100K_LIKE])
+def test_counts_of_joined_texts_add_up(pattern):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    counter = BpeCounter(path, pattern) if pattern else BpeCounter(path)
+
+    @settings(max_examples=1500, deadline=None)
+    @given(st.lists(_PIECES, min_size=1, max_size=5), st.lists(st.sampled_from(["\n", "\n\n", "", " "]), min_size=4, max_size=4))
+    def run(texts, between):
+        now = counter.measure(texts[0])
+        assert now.tokens == counter(texts[0])
+        for gap, text in zip(between, texts[1:], strict=False):
+            now = counter.join(now, gap, counter.measure(text))
+            assert now.tokens == counter(now.text)
+
+    run()
+
+
+def test_byte_pair_chunks_as_if_counted_anew(spark):
+    import random
+    import time
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    counter = BpeCounter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(2)
+    word = lambda: rng.choice(["alpha", "Beta", "x1", "naïve", "foo()", "a.b", "!", "12345", "It's", "日本語"])
+    para = lambda: " ".join(word() for _ in range(rng.randrange(1, 40)))
+    texts = []
+    for _ in range(30):
+        parts = [rng.choice([para, para, para, lambda: f"# {para()[:30]}", lambda: f"```\n{para()}\n\n{para()}\n```"])() for _ in range(rng.randrange(1, 40))]
+        texts.append(rng.choice(["", " "]) + "\n\n".join(parts) + rng.choice(["", " \n"]))
+    df = spark.createDataFrame([(f"d/{n}.md", "t", x) for n, x in enumerate(texts)], "source_file string, title string, content string")
+    plain = lambda s: counter(s)  # noqa: E731  # has no join
+    for most, least in ((10, 4), (60, 20), (800, 50)):
+        got = sorted(map(tuple, chunking.chunk_documents_with(df, counter, most, least).collect()))
+        assert got == sorted(map(tuple, chunking.chunk_documents_with(df, plain, most, least).collect()))
+
+    from docindex.helpers.sections import chunk
+
+    long = "\n\n".join(para() for _ in range(100_000 // 100))
+    began = time.process_time()
+    assert len(chunk(long, 10**9, 0, counter)) == 1 and len(chunk(long, 800, 50, counter)) > 20
+    assert time.process_time() - began < 3
