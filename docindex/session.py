@@ -64,8 +64,48 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder wherever Spark can reach it; PySpark has no call of its own for that."""
+    at, system = _system(spark, path)
+    system.delete(at, True)
+
+
+def _system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder, by name; nothing if there is no such folder."""
+    at, system = _system(spark, folder)
+    return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    at, system = _system(spark, path)
+    stream = system.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_file_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small text file that appears whole or not at all; False if there is one of that name already."""
+    at, system = _system(spark, path)
+    made, _ = _system(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    stream = system.create(made)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    rename = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(made, at, rename)  # fails where the target exists
+        return True
+    except Exception as e:
+        system.delete(made, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
 
 
 def drop(*tables: DataFrame) -> None:

@@ -156,3 +156,70 @@ def test_normalize(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<float>")
     got = [r[0] for r in df.select(search.l2_normalize("v")).collect()]
     assert math.isclose(got[0][0], 0.6, abs_tol=1e-6) and got[1] == [0.0, 0.0]
+
+
+def test_versions(spark, small, monkeypatch):
+    path, small = new_path(spark, "test-index"), small.withColumn("source_key", F.col("chunk_id"))
+    idx.write_index(small, path)
+    state = lambda v=None: sorted(r["chunk_id"] for r in idx.load_index(spark, path, v).collect())
+    bound = idx.load_index(spark, path)  # a reader that stays with its version
+    first = idx.current_version(spark, path)
+    more = small.where("chunk_id = 'a'").withColumn("chunk_id", F.lit("z"))
+
+    def lost(*args):
+        raise OSError("lost")
+
+    # A write that stops between its files and its version leaves the old version whole.
+    for mode in ("append", "upsert", "overwrite", "replace"):
+        with monkeypatch.context() as m:
+            m.setattr(idx, "write_file_once", lost)
+            with pytest.raises(OSError, match="lost"):
+                idx.append_to_index(more, path, mode)
+        assert idx.current_version(spark, path) == first and state() == ["a", "b", "c"]
+    idx.append_to_index(more, path, "append")
+    idx.append_to_index(small.where("chunk_id = 'b'"), path, "upsert")
+    assert state() == ["a", "b", "c", "z"] and state(first.number) == ["a", "b", "c"]
+    assert sorted(r["chunk_id"] for r in bound.collect()) == ["a", "b", "c"]
+    idx.clear_index(spark, path)
+    assert state() == [] and idx.load_index(spark, path).columns == small.columns
+    idx.vacuum_index(spark, path, 2)
+    assert [v for v in range(1, 6) if v in idx._numbers(spark, path)] == [3, 4] and state(3) == ["a", "b", "c", "z"]
+    with pytest.raises(idx.NoIndexError):
+        idx.load_index(spark, path, 1)
+    idx.vacuum_index(spark, path, 1)
+    assert state() == []
+    idx.append_to_index(more, path)
+    assert state() == ["z"]
+    with pytest.raises(ValueError, match="other"):
+        idx.append_to_index(more.withColumn("other", F.lit(1)), path)
+
+
+def test_two_writers(spark, small, monkeypatch):
+    path = new_path(spark, "test-index")
+    idx.write_index(small, path)
+    real, other = idx._write, []
+
+    def slow(df, at):
+        out = real(df, at)
+        if not other:  # someone else names a version first
+            other.append(1)
+            idx.append_to_index(small.where("chunk_id = 'c'").withColumn("chunk_id", F.lit("y")), path)
+        return out
+
+    monkeypatch.setattr(idx, "_write", slow)
+    idx.append_to_index(small.where("chunk_id = 'a'").withColumn("chunk_id", F.lit("x")), path)
+    assert sorted(r["chunk_id"] for r in idx.load_index(spark, path).collect()) == ["a", "b", "c", "x", "y"]
+    other.clear()
+    with pytest.raises(idx.ChangedError):
+        idx.append_to_index(small.where("chunk_id = 'a'"), path, "upsert")
+
+
+def test_marks(spark, small):
+    path = new_path(spark, "test-index")
+    idx.write_index(small, path, {"s": 0})
+    more = small.where("chunk_id = 'a'").withColumn("chunk_id", F.lit("x"))
+    for n in (0, 1, 1, 0):
+        idx.append_to_index(more, path, mark=("s", n))
+    assert idx.read_manifest(spark, path).first()["count"] == 4
+    idx.append_to_index(more.limit(0), path, mark=("s", 2))
+    assert idx.current_version(spark, path).marks == {"s": 2}

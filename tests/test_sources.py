@@ -1,13 +1,15 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from docindex import sources
 from docindex.operators.chunking import CHUNK_COLUMNS
 from docindex.operators.embed import hashing_embedder
+from docindex.operators import index as idx
 from docindex.operators.index import load_index
 from docindex.session import new_path
-from docindex.streaming import ingest_pages
+from docindex.streaming import ingest_pages, store_pages
 
 
 def test_pages_and_projects(spark, tmp_path):
@@ -59,3 +61,35 @@ def test_stream(spark, tmp_path):
         assert sorted((r["source_file"], r["symbol"]) for r in load_index(spark, out).collect()) == [("u1", "Alpha"), ("u3", "Beta")][: 2 - n]
         if not n:  # the same again, and a page that has become empty
             spark.createDataFrame([("u1", "<h1>Alpha</h1><p>one two</p>"), ("u3", "")], "path string, html string").write.parquet(str(tmp_path / "in/b"))
+
+
+def test_stream_of_changes(spark, tmp_path, monkeypatch):
+    """Tombstones, a batch that fails half-way, and a checkpoint that is lost."""
+    shape = "path string, html string, gone boolean, seen int"
+    out, state = str(tmp_path / "index"), str(tmp_path / "state")
+    put = lambda name, *rows: spark.createDataFrame(list(rows), shape).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run(checkpoint=state):
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in/*"))
+        ingest_pages(stream, out, checkpoint, hashing_embedder(8), gone=F.col("gone"), order=F.col("seen")).awaitTermination()
+
+    now = lambda: sorted((r["source_file"], r["symbol"]) for r in load_index(spark, out).collect())
+    put("a", ("u1", "<h1>Alpha</h1>", False, 1), ("u2", "<h1>Beta</h1>", None, 1), ("u3", "<h1>Old</h1>", False, 1), ("u3", "<h1>New</h1>", False, 2))
+    run()
+    assert now() == [("u1", "Alpha"), ("u2", "Beta"), ("u3", "New")]
+    put("b", ("u1", None, True, 3), ("u4", "<h1>Delta</h1>", False, 3), ("u5", "<h1>Gone</h1>", False, 3), ("u5", None, True, 4))
+    with monkeypatch.context() as m:  # the files of the batch are written, its version isn't
+        m.setattr(idx, "write_file_once", lambda *a: 1 / 0)
+        with pytest.raises(Exception, match="ZeroDivisionError"):
+            run()
+    assert now() == [("u1", "Alpha"), ("u2", "Beta"), ("u3", "New")]
+    run()
+    assert now() == [("u2", "Beta"), ("u3", "New"), ("u4", "Delta")]
+    done = idx.current_version(spark, out)
+    run()  # nothing new
+    batch = spark.createDataFrame([("u9", "<h1>Late</h1>", False, 9)], shape)
+    for number in (0, 1):  # batches that the index has already
+        store_pages(batch, number, out, hashing_embedder(8), state)
+    assert idx.current_version(spark, out) == done
+    store_pages(batch, 2, out, hashing_embedder(8), state)
+    assert ("u9", "Late") in now()
