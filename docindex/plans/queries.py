@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import text as t
 from ..helpers.bpe import BpeCounter
-from ..operators import chunking, code, embed, html, prompts, search
+from ..operators import chunking, code, embed, html, layout, prompts, search
 from ..operators import index as idx
 from ..session import load_table, new_path
 from . import derived as d
@@ -628,6 +628,13 @@ def v2_search(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(search.search(d.vector_queries(spark, sf), d.vector_index(spark, sf), 10))
 
 
+@query(ORACLE_SQL["v2_search"])
+def v2_search_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over vectors laid out by centroids, of which far ones are skipped."""
+    index = d.vector_index(spark, sf)
+    return _ranked(layout.nearest_in(d.vector_queries(spark, sf), layout.lay_out(index.select("chunk_id", "vector"), 32), 10))
+
+
 @query(_EXACT.format("label IN (1, 4, 6) AND source_type = 'chm'") + " SELECT query_id, chunk_id, round(sim, 5) AS score, rank FROM r WHERE rank <= 10")
 def v3_filtered_search(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(search.search(d.vector_queries(spark, sf), d.vector_index(spark, sf), 10, {"label": [1, 4, 6], "source_type": "chm"}))
