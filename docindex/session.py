@@ -79,6 +79,12 @@ def names_in(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
 
 
+def folders_in(spark: SparkSession, folder: str) -> list[str]:
+    """The paths of the folders that lie in a folder."""
+    at, system = _system(spark, folder)
+    return [f.getPath().toString() for f in system.listStatus(at) if f.isDirectory()]
+
+
 def read_file(spark: SparkSession, path: str) -> str:
     """A small text file."""
     at, system = _system(spark, path)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+from itertools import chain
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import CHUNK_COLUMNS
+from ..session import folders_in
 
 # Suffixes of pages and of source files that are read, directories that are not
 # entered, and encodings in the order in which they are tried.
@@ -28,8 +33,31 @@ def html_files(df: DataFrame, path_col: str = "path", exts: tuple[str, ...] = HT
 
 def _files(spark: SparkSession, path: str, exts: tuple[str, ...]) -> DataFrame:
     """The files below ``path`` with these suffixes, in any case; no others are opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _any_of(exts)).load(path)
+
+
+def _any_of(exts: tuple[str, ...]) -> str:
+    """A pattern for names with one of these suffixes in any case."""
     glob = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in exts)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{glob}}}").load(path)
+    return f"*{{{glob}}}"
+
+
+def _entered(spark: SparkSession, root: str, skip: tuple[str, ...]) -> list[str]:
+    """``root`` and the folders below it, level by level; those with a name in ``skip`` and all that lies in them are not
+    looked into. The list has folders only: Spark lists their files, in parallel where there are many."""
+    out, level = [], [root.rstrip("/") or "/"]
+    with ThreadPoolExecutor(16) as pool:
+        while level:
+            out += level
+            below = chain.from_iterable(pool.map(lambda folder: folders_in(spark, folder), level))
+            level = [f for f in below if f.rsplit("/", 1)[1] not in skip]
+    return out
+
+
+def _project_files(spark: SparkSession, root: str, skip: tuple[str, ...]) -> DataFrame:
+    """The source files of the folders that a scan enters."""
+    plain = [re.sub(r"([\\*?\[\]{}])", r"\\\1", f) for f in _entered(spark, root, skip)]  # names are no patterns
+    return spark.read.format("binaryFile").option("pathGlobFilter", _any_of(CODE_SUFFIXES)).load(plain)
 
 
 def read_html_pages(spark: SparkSession, path: str, exts: tuple[str, ...] = HTML_SUFFIXES) -> DataFrame:
@@ -76,16 +104,14 @@ def project_files(df: DataFrame, skip_dirs: tuple[str, ...] = ()) -> DataFrame:
 def _relative(path: Column, root: str) -> Column:
     """``path`` below ``root``; both may or may not name a scheme."""
     plain = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
-    import re
-
     base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", root).rstrip("/")
     return F.substring(plain, len(base) + 2, 1_000_000)
 
 
 def scan_project(spark: SparkSession, directory: str, project: str | None = None, skip_dirs: tuple[str, ...] = ()) -> DataFrame:
     """(project, relative_path, ext, content) of a project's source files; the
-    project is called like its directory if no name is given."""
-    named = _files(spark, directory, CODE_SUFFIXES).select(F.lit(project or directory.rstrip("/").rsplit("/", 1)[-1]).alias("project"), _relative(F.col("path"), directory).alias("relative_path"), "content")
+    project is called like its directory if no name is given. Skipped directories are never entered, so what they hold costs nothing."""
+    named = _project_files(spark, directory, (*SKIP_DIRS, *skip_dirs)).select(F.lit(project or directory.rstrip("/").rsplit("/", 1)[-1]).alias("project"), _relative(F.col("path"), directory).alias("relative_path"), "content")
     kept = project_files(named, skip_dirs)
     return kept.select("project", "relative_path", "ext", decode_text(F.col("content"), HTML_ENCODINGS).alias("content"))
 

@@ -25,6 +25,20 @@ def test_pages_and_projects(spark, tmp_path):
     assert sources.scan_project(spark, str(tmp_path / "p"), skip_dirs=("src",)).count() == 1
 
 
+def test_skipped_directories_are_not_entered(spark, tmp_path, monkeypatch):
+    names = ["m.cpp", "a/b/c/n.h", "a/[x]{1}*/o.cpp", "a/x.txt", "build/deep/p.cpp", "a/.git/q.h", "a/own/r.h", "a/Build/s.H", "node_modules/t/u.cpp"]
+    for name in names:
+        (tmp_path / "p" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "p" / name).write_text(name)
+    real, listed = sources.folders_in, []
+    monkeypatch.setattr(sources, "folders_in", lambda s, f: listed.append(f.rsplit("/p", 1)[1].strip("/")) or real(s, f))
+    got = sources.scan_project(spark, str(tmp_path / "p"), skip_dirs=("own",))
+    kept = {"m.cpp", "a/b/c/n.h", "a/[x]{1}*/o.cpp", "a/Build/s.H"}
+    assert {r["relative_path"]: r["content"] for r in got.collect()} == {n: n for n in kept}
+    assert sorted(listed) == ["", "a", "a/Build", "a/[x]{1}*", "a/b", "a/b/c"]
+    assert len(got.inputFiles()) == len(kept)
+
+
 def test_decoding(spark):
     raw = ["é\r\nx\ry".encode(), "﻿a".encode(), "中文".encode("gbk"), None, b""]
     df = spark.createDataFrame([(n, bytearray(r) if r is not None else None) for n, r in enumerate(raw)], "n int, raw binary")
