@@ -170,9 +170,37 @@ def title_of(root: Node) -> str:
     return h1.text(strip=True) if h1 is not None else ""
 
 
+def _all_rows(table: Node) -> list[list[str]]:
+    """Cell texts of all rows below, those of nested tables too, from one walk: rows hold stretches of the cells below, cells
+    stretches of the pieces of text below, so each cell's text is made once."""
+    pieces, cells, rows = [], [], []
+    at = 0
+    todo: list = table.children[::-1]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Text):
+            if x.kind == "text" and (piece := x.value.strip()):
+                pieces.append(piece)
+                at += len(piece)
+        elif isinstance(x, Node):
+            if x.tag in ("tr", "td", "th"):
+                span = [at, at] if x.tag != "tr" else [len(cells), len(cells)]
+                (rows if x.tag == "tr" else cells).append(span)
+                todo.append((x.tag, span))
+            todo.extend(reversed(x.children))
+        else:  # what is below it has been passed
+            tag, span = x
+            span[1] = len(cells) if tag == "tr" else at
+    whole = "".join(pieces)
+    texts = [whole[a:b].replace("|", "\\|") for a, b in cells]
+    return [texts[a:b] for a, b in rows if b > a]
+
+
 def table_rows(table: Node, nested: bool) -> list[list[str]]:
     """Cell texts by row. Nested tables' rows and cells count again for each
     table around them if ``nested``; else they stay in their own cell's text."""
+    if nested:
+        return _all_rows(table)
 
     def own(node: Node, tags: tuple[str, ...], stop: str) -> list[Node]:
         out, todo = [], node.children[::-1]
@@ -185,8 +213,7 @@ def table_rows(table: Node, nested: bool) -> list[list[str]]:
                     todo.extend(reversed(x.children))
         return out
 
-    rows = table.find_all("tr") if nested else own(table, ("tr",), "table")
-    cells = ([c.text(strip=True).replace("|", "\\|") for c in (r.find_all("th", "td") if nested else own(r, ("th", "td"), "table"))] for r in rows)
+    cells = ([c.text(strip=True).replace("|", "\\|") for c in own(r, ("th", "td"), "table")] for r in own(table, ("tr",), "table"))
     return [c for c in cells if c]
 
 

@@ -32,6 +32,32 @@ def _children(widget: ET.Element) -> Iterator[tuple[ET.Element, int | None, int
             yield inner, _number(item.get("row")), _number(item.get("column"))
 
 
+def _own(widget: ET.Element) -> list[tuple[ET.Element, int | None, int | None]]:
+    """Of ``_children`` those that no widget further in has: what lies in a widget that is listed itself is not looked
+    into, so that a whole file's elements are passed once. Items come by layout, outer layouts first."""
+    out = [(child, None, None) for child in widget.findall("widget")]
+    layouts: list[ET.Element] = []
+    todo = [c for c in reversed(widget) if c.tag != "widget"]
+    while todo:
+        x = todo.pop()
+        if x.tag == "layout":
+            layouts.append(x)
+            for item in reversed(x):
+                if item.tag == "item":
+                    first = item.find("widget")
+                    todo.extend(c for c in reversed(item) if c is not first)
+                else:
+                    todo.append(item)
+        else:
+            todo.extend(reversed(x))
+    for layout in layouts:
+        for item in layout.findall("item"):
+            inner = item.find("widget")
+            if inner is not None:
+                out.append((inner, _number(item.get("row")), _number(item.get("column"))))
+    return out
+
+
 def parse(xml: str, dedupe: bool = True) -> dict | None:
     """{class_name, version, widgets, connections}; None for bad XML or without a
     root widget. A widget in nested layouts is reached in several ways; ``dedupe``
@@ -44,16 +70,13 @@ def parse(xml: str, dedupe: bool = True) -> dict | None:
     if top is None:
         return None
     widgets: list[dict] = []
-    seen: set[int] = set()
+    children = _own if dedupe else _children
     todo: list[tuple] = [(top, None, None, None, 0)]
     while todo:
         widget, row, column, parent, depth = todo.pop()
-        if dedupe and id(widget) in seen:
-            continue
-        seen.add(id(widget))
         number = len(widgets)
         widgets.append({"node_no": number, "parent_no": parent, "depth": depth, "object_name": widget.get("name", ""), "class_name": widget.get("class", ""), "row": row, "column": column, "properties": _properties(widget)})
-        todo.extend((w, r, c, number, depth + 1) for w, r, c in reversed([*_children(widget)]))
+        todo.extend((w, r, c, number, depth + 1) for w, r, c in reversed([*children(widget)]))
     connections = []
     for c in root.iter("connection"):
         one = {k: c.findtext(k) or "" for k in ("sender", "signal", "receiver", "slot")}

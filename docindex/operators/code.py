@@ -257,14 +257,20 @@ def ui_connections(df: DataFrame) -> DataFrame:
     return _rows(parse_ui(df), F.col("ui.connections"))
 
 
-def ui_structure_chunks(df: DataFrame, dedupe: bool = True) -> DataFrame:
-    """The widget tree and connections of a file as text: FILE, symbol, content."""
-    path, project = F.col("relative_path"), F.col("project")
+def _structure_text() -> Column:
     links = F.transform("ui.connections", lambda c: F.concat(F.lit("\n  "), c["sender"], F.lit("."), c["signal"], F.lit(" -> "), c["receiver"], F.lit("."), c["slot"]))
     tail = F.when(F.size("ui.connections") > 0, F.concat(F.lit("\n\n信号槽连接:"), F.array_join(links, ""))).otherwise(F.lit(""))
-    text = F.concat(F.lit("Qt UI 文件: "), path, F.lit("\n工程: "), project, F.lit("\n类名: "), F.col("ui.class_name"), F.lit("\n\n控件层级结构:\n"), F.col("ui.tree"), tail)
+    return F.concat(F.lit("Qt UI 文件: "), F.col("relative_path"), F.lit("\n工程: "), F.col("project"), F.lit("\n类名: "), F.col("ui.class_name"), F.lit("\n\n控件层级结构:\n"), F.col("ui.tree"), tail)
+
+
+def _structure_symbol() -> Column:
+    return F.coalesce(F.nullif("ui.class_name", F.lit("")), stem(F.col("relative_path")))
+
+
+def ui_structure_chunks(df: DataFrame, dedupe: bool = True) -> DataFrame:
+    """The widget tree and connections of a file as text: FILE, symbol, content."""
     good = parse_ui(df, dedupe).where("ui.class_name is not null")
-    return good.select(*FILE, F.coalesce(F.nullif("ui.class_name", F.lit("")), stem(path)).alias("symbol"), text.alias("content"))
+    return good.select(*FILE, _structure_symbol().alias("symbol"), _structure_text().alias("content"))
 
 
 _PLAIN_WIDGETS = ["QWidget", "QFrame", "QGroupBox"]  # fixed values
@@ -330,8 +336,10 @@ def chunk_code(df: DataFrame, context_lines: int = 5, max_chunk_size: int = 2000
         .otherwise(F.array().cast(kind))
     )
     texts = parsed.where(ext != ".ui").select(*FILE, made.alias("_k"))
-    structure = ui_structure_chunks(files).select(*FILE, F.lit(-1).alias("pos"), "symbol", "content")
-    widgets = structure.unionByName(ui_widget_chunks(files).select(*FILE, "pos", "symbol", "content"))
-    widgets = widgets.select(*FILE, (F.col("pos") + 1).alias("chunk_no"), "symbol", "content", F.lit("ui_structure").alias("chunk_type"), F.lit("qt_ui").alias("language"), null.alias("class_name"), F.lit(None).cast("int").alias("line_number"))
+    # A widget file is parsed once: its structure, then its widgets.
+    ui = parse_ui(files).withColumn("_w", F.transform(_important(F.col("ui.widgets"), 10), lambda w: F.struct(w["object_name"].alias("symbol"), _widget_text(path, w["object_name"], w["class_name"], w["properties"]).alias("content"))))
+    first = F.when(F.col("ui.class_name").isNotNull(), F.array(F.struct(_structure_symbol().alias("symbol"), _structure_text().alias("content"))))
+    ui = ui.where("ui.class_name is not null").select(*FILE, F.posexplode(F.concat(first, F.col("_w"))).alias("chunk_no", "_k"))
+    widgets = ui.select(*FILE, "chunk_no", "_k.symbol", "_k.content", F.lit("ui_structure").alias("chunk_type"), F.lit("qt_ui").alias("language"), null.alias("class_name"), F.lit(None).cast("int").alias("line_number"))
     rows = texts.select(*FILE, F.posexplode("_k").alias("chunk_no", "_k")).select(*FILE, "chunk_no", "_k.*")
     return rows.unionByName(widgets)

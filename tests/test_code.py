@@ -104,3 +104,92 @@ def test_large_files(spark):
     assert code.cpp_functions(df).count() == 50_000
     assert code.cpp_declarations(df).count() == 80_000 and code.header_fallback(df).count() == 0
     assert code.ui_widgets(df).count() == 50_001
+
+
+_TOKENS = ["int ", "f", "A::f", "*x", "&", "(", ")", "(int a)", "{", "}", ";", "\n", "\n\n", "  ", "\t", "class ", "struct S", " : B", "template <class T>", "template<", ">", "<", ",", "const", " override", " noexcept", "static ", "virtual\n", "__declspec(x)", "__declspec", "'", '"', "\\", "//don't", "if (x) {", "void g() {\n}\n", "int h(int a);\n", "= 0"]
+
+
+def test_the_scan_finds_what_the_expressions_find():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    def plain_brace(text, start):
+        depth, quote = 0, ""
+        for at in range(start, len(text)):
+            c = text[at]
+            if c in "\"'" and text[at - 1 : at] != "\\":
+                quote = c if not quote else "" if quote == c else quote
+            elif c in "{}" and not quote:
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    return at
+        return -1
+
+    @settings(max_examples=2000, deadline=None)
+    @given(st.lists(st.sampled_from(_TOKENS), max_size=40).map("".join))
+    def run(text):
+        for mine, pattern in ((cpp._functions, cpp.FUNCTION), (cpp._declarations, cpp.DECLARATION), (cpp._classes, cpp.CLASS)):
+            assert [m.span() for m in mine(text)] == [m.span() for m in pattern.finditer(text)]
+        braces = cpp.Braces(text)
+        assert all(braces.closing(i) == plain_brace(text, i) for i, c in enumerate(text) if c == "{")
+
+    run()
+
+
+def test_linear_time():
+    import time
+
+    shapes = {
+        "words": "some words here\n" * 100_000,
+        "words, then a call": "some words here\n" * 100_000 + "x (y);\n",
+        "templates": "template <class T>\n" * 50_000,
+        "open templates": "template <class T, \n" * 50_000 + ">",
+        "open calls": "int f (\n" * 50_000 + ")",
+        "modifiers": "static\n" * 50_000 + "__declspec(x) ;",
+        "bases": "class A : b\n" * 50_000,
+        "nested classes": "class A {\n" * 2000 + "}" * 2000,
+        "nested blocks": "void f() {\n" * 20_000 + "}\n" * 20_000,
+    }
+    for name, text in shapes.items():
+        began = time.process_time()
+        cpp.definitions(text)
+        cpp.declarations(text)
+        assert time.process_time() - began < 5, name
+
+
+def test_nested_layouts():
+    import random
+    import time
+    from xml.etree import ElementTree as ET
+
+    def listed_once(xml):
+        """Everything that is listed, in order, the first time that it is."""
+        top, out, seen = ET.fromstring(xml).find("widget"), [], set()
+
+        def go(widget, parent, depth):
+            if id(widget) in seen:
+                return
+            seen.add(id(widget))
+            number = len(out)
+            out.append((widget.get("name"), parent, depth))
+            for w, *_ in [*qt_ui._children(widget)]:
+                go(w, number, depth + 1)
+
+        go(top, None, 0)
+        return out
+
+    rng = random.Random(1)
+
+    def grow(depth):
+        kind = rng.choice(["widget", "layout", "item", "other"]) if depth else "widget"
+        inside = "".join(grow(depth + 1) for _ in range(rng.randrange(4))) if depth < 6 else ""
+        return f'<{kind} name="n{rng.randrange(10**9)}">{inside}</{kind}>'
+
+    for _ in range(300):
+        xml = f"<ui>{grow(0)}</ui>"
+        assert [(w["object_name"], w["parent_no"], w["depth"]) for w in qt_ui.parse(xml)["widgets"]] == listed_once(xml)
+    deep = "<ui><widget>" + "<layout><item>" * 5000 + '<widget name="in"/>' + "</item></layout>" * 5000 + "</widget></ui>"
+    wide = "<ui>" + '<widget name="w"><layout><item>' * 2000 + "</item></layout></widget>" * 2000 + "</ui>"
+    began = time.process_time()
+    assert len(qt_ui.parse(deep)["widgets"]) == 2 and len(qt_ui.parse(wide)["widgets"]) == 2000
+    assert time.process_time() - began < 2

@@ -61,3 +61,28 @@ def test_operator(spark):
     assert [r["source_file"] for r in good.collect()] == ["a"]
     assert {r["source_file"] for r in bad.collect()} == {"b", "c"}
     assert html.clean_html(df.limit(0)).count() == 0
+
+
+def test_deeply_nested_tables():
+    import random
+    import time
+
+    def plain(table):
+        rows = ([c.text(strip=True).replace("|", "\\|") for c in r.find_all("th", "td")] for r in table.find_all("tr"))
+        return [r for r in rows if r]
+
+    rng = random.Random(4)
+
+    def grow(depth):
+        rows = "".join("<tr>" + "".join(rng.choice(["<td>", "<th>"]) + rng.choice(["a|b", " x ", "", "<b>c</b>d", "<script>s</script>", "<!-- c -->", grow(depth + 1) if depth < 4 else "e"]) for _ in range(rng.randrange(3))) for _ in range(rng.randrange(3)))
+        return f"<table>{rows}</table>"
+
+    from docindex.helpers.html_tree import table_rows
+
+    for _ in range(200):
+        table = parse(grow(0)).children[0]
+        assert table_rows(table, True) == plain(table)
+    deep = parse("<table><tr><td>" * 2000 + "x" + "</td></tr></table>" * 2000)
+    began = time.process_time()
+    text = to_markdown(deep)[0]
+    assert time.process_time() - began < 2 and text.count("\n") > 2000
