@@ -58,7 +58,9 @@ def count_bpe_tokens(c: Column | str, ranks_path: str) -> Column:
     workers; null for null. Unlike ``count_tokens`` these counts don't add up over joined texts, so
     give ``chunk_documents_with`` a ``BpeCounter``."""
     from ..helpers.bpe import BpeCounter
+    from ..session import attach_active
 
+    attach_active()
     count = BpeCounter(ranks_path)
 
     @F.pandas_udf("int")

@@ -154,6 +154,9 @@ def chunk_documents_with(df: DataFrame, count: Callable[[str], int], max_tokens:
     import pandas as pd
 
     from ..helpers.sections import chunk
+    from ..session import attach
+
+    attach(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["source_file", "title", "chunk_no", "content", "tokens", "section_title", "symbol"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WORD, content_hash, is_blank, strip, truncate
 from ..helpers import cpp, qt_ui
+from ..session import attach, attach_active
 
 HEADERS, SOURCES = (".h", ".hpp"), (".cpp", ".cc", ".cxx")
 FILE = ["project", "relative_path", "ext"]
@@ -18,6 +19,8 @@ _UI = "class_name string, version string, widgets array<struct<node_no:int,paren
 
 
 def _parsed(content: Column, parse) -> Column:
+    attach_active()
+
     @F.pandas_udf(_SYMBOL)
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([parse(t) if t is not None else [] for t in texts], dtype=object)
@@ -236,6 +239,7 @@ def script_chunks(df: DataFrame, min_commands: int = 1) -> DataFrame:
 
 def parse_ui(df: DataFrame, dedupe: bool = True) -> DataFrame:
     """Add ``ui`` to widget files (struct; null class_name where the file is no good)."""
+    attach(df.sparkSession)
 
     @F.pandas_udf(_UI)
     def run(texts: pd.Series) -> pd.DataFrame:

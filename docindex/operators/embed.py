@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import clean_embed_text
+from ..joins import join_by_key, spare
+from ..session import attach, names_in, new_path
 
 #: From texts to an array with a row of floats for each.
 EmbedFn = Callable[[list[str]], np.ndarray]
@@ -47,14 +50,8 @@ def _attempt(embed: EmbedFn, texts: list[str], retries: int, backoff: float) ->
     return got
 
 
-def embed_chunks(df: DataFrame, embed_fn: EmbedFn, batch_size: int = 100, max_retries: int = 3, backoff: float = 1.0, text_col: str = "content", max_chars: int = 15_000) -> DataFrame:
-    """Add ``vector`` to each row, from the cleaned text of ``text_col``; rows stay in
-    their order and place. Null texts are embedded as empty ones. A batch that fails
-    is tried again after 1, 2, … times ``backoff`` seconds, and fails the task after
-    ``max_retries``."""
-    rows = df.withColumn("_text", F.coalesce(clean_embed_text(text_col, max_chars), F.lit("")))
-    schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))])
-    names = [*df.columns, "vector"]
+def _embedder(embed_fn: EmbedFn, batch_size: int, max_retries: int, backoff: float, names: list[str]):
+    """The last column's texts in the place of a ``vector``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +61,49 @@ def embed_chunks(df: DataFrame, embed_fn: EmbedFn, batch_size: int = 100, max_re
                 flat = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * vectors.shape[1], pa.array(vectors.ravel(), pa.float32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], flat], names)
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+_VECTOR = T.StructField("vector", T.ArrayType(T.FloatType()))
+
+
+def embed_chunks(df: DataFrame, embed_fn: EmbedFn, batch_size: int = 100, max_retries: int = 3, backoff: float = 1.0, text_col: str = "content", max_chars: int = 15_000) -> DataFrame:
+    """Add ``vector`` to each row, from the cleaned text of ``text_col``; rows stay in
+    their order and place. Null texts are embedded as empty ones; a column of that name gives way. A batch that fails
+    is tried again after 1, 2, … times ``backoff`` seconds, and fails the task after
+    ``max_retries``."""
+    attach(df.sparkSession)
+    kept = [f for f in df.schema.fields if f.name.lower() != "vector"]
+    text = spare(df.columns, "text_to_embed")
+    rows = df.select(*(F.col(f"`{f.name}`") for f in kept), F.coalesce(clean_embed_text(text_col, max_chars), F.lit("")).alias(text))
+    return rows.mapInArrow(_embedder(embed_fn, batch_size, max_retries, backoff, [*(f.name for f in kept), "vector"]), T.StructType([*kept, _VECTOR]))
+
+
+def embed_distinct(df: DataFrame, embed_fn: EmbedFn, store: str | None = None, batch_size: int = 100, max_retries: int = 3, backoff: float = 1.0, text_col: str = "content", max_chars: int = 15_000) -> DataFrame:
+    """``embed_chunks`` that gives each distinct cleaned text to ``embed_fn`` once.
+
+    Texts are told apart by a digest of 256 bits. Vectors are written before they are joined, so that no later step and no lost executor makes them anew; in the folder
+    ``store`` (one for each model) they stay for later calls, and only texts that it lacks are embedded. Rows move to
+    their vectors by the digest alone, those of very common texts not at all."""
+    spark = df.sparkSession
+    attach(spark)
+    kept = [c for c in df.columns if c.lower() != "vector"]
+    digest, row = (spare([*df.columns, "vector"], n) for n in ("text_digest", "embedded_row"))
+    text = F.coalesce(clean_embed_text(text_col, max_chars), F.lit(""))
+    keyed = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias(row), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias(digest))
+    texts = keyed.groupBy(digest).agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    folder = store.rstrip("/") if store else new_path(spark, "vectors")
+    kind = T.StructType([T.StructField(digest, T.BinaryType()), _VECTOR])
+    stored = T.StructType([T.StructField("digest", T.BinaryType()), _VECTOR])
+    have = [f"{folder}/{n}" for n in names_in(spark, folder) if n.startswith("part-") and "_SUCCESS" in names_in(spark, f"{folder}/{n}")]
+    known = spark.read.schema(stored).parquet(*have).withColumnRenamed("digest", digest) if have else spark.createDataFrame([], kind)
+    new = texts.join(known.select(digest), digest, "left_anti").select(digest, "text")
+    made = new.repartition(digest).mapInArrow(_embedder(embed_fn, batch_size, max_retries, backoff, [digest, "vector"]), kind)
+    at = f"{folder}/part-{uuid.uuid4().hex}"
+    made.withColumnRenamed(digest, "digest").write.parquet(at)
+    every = spark.read.schema(stored).parquet(*have, at).withColumnRenamed("digest", digest).dropDuplicates([digest])
+    counted = texts.select(digest, "n").join(every, digest)
+    return join_by_key(keyed.select(row, digest), counted, digest, "n").select(*(F.col(f"{row}.`{c}`") for c in kept), "vector")
 
 
 def embed_queries(df: DataFrame, embed_fn: EmbedFn, text_col: str = "question", **options) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 from ..helpers import html_tree
+from ..session import attach
 
 _CLEANED = "title string, content string, headings array<string>, error string"
 
@@ -20,6 +21,7 @@ def clean_html(df: DataFrame, html_col: str = "html", key_col: str = "path", kee
     A page that can't be parsed has its message in ``error`` and null content; a null
     page counts as empty. ``nested_tables=False`` writes a nested table's text once,
     in the cell that it is in, instead of once more for each table around it."""
+    attach(df.sparkSession)
 
     @F.pandas_udf(_CLEANED)
     def clean(pages: pd.Series) -> pd.DataFrame:

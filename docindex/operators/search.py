@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import materialize
+from ..session import attach, materialize
 
 #: Bytes of query vectors that one pass over the index broadcasts.
 BLOCK_BYTES = 64_000_000
@@ -127,6 +127,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     Queries (query_id, vector) of one dimension; vectors of the index have to agree.
     Fewer than k are found only if the index is smaller; null vectors are in no result."""
     spark = index.sparkSession
+    attach(spark)
     id_kind, query_kind = index.schema["chunk_id"].dataType, queries.schema["query_id"].dataType
     schema = f"query_id {query_kind.simpleString()}, chunk_id {id_kind.simpleString()}, score double"
     vectors = index.where("vector is not null").select("chunk_id", "vector")

@@ -596,6 +596,12 @@ def e2_embed_letters(spark: SparkSession, sf: str) -> DataFrame:
     return embed.embed_chunks(d.doc_chunks(spark, sf), _letters).select("chunk_id", _counts())
 
 
+@query(ORACLE_SQL["e2_embed_letters"])
+def e2_embed_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with each distinct text embedded once."""
+    return embed.embed_distinct(d.doc_chunks(spark, sf), _letters).select("chunk_id", _counts())
+
+
 @query(f"SELECT conv_id, turn, {_LETTERS} FROM (SELECT conv_id, turn, {_CLEAN.format('text')} AS c FROM conversations WHERE role = 'user')")
 def e4_embed_letters(spark: SparkSession, sf: str) -> DataFrame:
     questions = load_table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))

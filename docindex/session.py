@@ -30,6 +30,13 @@ def attach(spark: SparkSession) -> None:
     _attached.add(context.applicationId)
 
 
+def attach_active() -> None:
+    """The same for the running session, where only columns are at hand."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        attach(session)
+
+
 def load_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     attach(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import CHUNK_COLUMNS
-from ..session import folders_in
+from ..session import attach_active, folders_in
 
 # Suffixes of pages and of source files that are read, directories that are not
 # entered, and encodings in the order in which they are tried.
@@ -68,6 +68,7 @@ def read_html_pages(spark: SparkSession, path: str, exts: tuple[str, ...] = HTML
 def decode_text(content: Column, encodings: tuple[str, ...] = HTML_ENCODINGS) -> Column:
     """Bytes as text in the first encoding that fits, with line ends made plain and
     without a byte order mark; null if none fits or there are no bytes."""
+    attach_active()
 
     @F.pandas_udf("string")
     def decode(values: pd.Series) -> pd.Series:

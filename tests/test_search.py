@@ -223,3 +223,33 @@ def test_marks(spark, small):
     assert idx.read_manifest(spark, path).first()["count"] == 4
     idx.append_to_index(more.limit(0), path, mark=("s", 2))
     assert idx.current_version(spark, path).marks == {"s": 2}
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    store, calls = str(tmp_path / "vectors"), tmp_path / "calls"
+    calls.mkdir()
+
+    def counting(texts):
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text("\n".join(texts))
+        return np.array([[len(t), t.count("a")] for t in texts], np.float32).reshape(-1, 2)
+
+    def asked():
+        out = sorted(line for f in calls.iterdir() for line in f.read_text().split("\n"))
+        for f in calls.iterdir():
+            f.unlink()
+        return out
+
+    rows = [(n, ["a  b", "a b\n", "c", None, "", "long a " * 3][n % 6], 7) for n in range(3000)]
+    df = spark.createDataFrame(rows, "vector int, content string, text_digest int").repartition(5)
+    want = {"a  b": [3, 1], "a b\n": [3, 1], "c": [1, 0], None: [0, 0], "": [0, 0], "long a " * 3: [20, 3]}
+    got = embed.embed_distinct(df, counting, store).collect()
+    assert len(got) == 3000 and all(list(r["vector"]) == want[r["content"]] and r["text_digest"] == 7 for r in got)
+    assert asked() == sorted(["a b", "c", "", "long a long a long a"])
+    more = df.unionByName(spark.createDataFrame([(1, "new", 7)], df.schema))
+    assert embed.embed_distinct(more, counting, store).count() == 3001
+    assert asked() == ["new"]
+    assert embed.embed_distinct(more, counting, store).count() == 3001 and asked() == []
+    assert embed.embed_distinct(df.limit(0), counting).count() == 0
+    assert embed.embed_chunks(df.limit(3), counting).columns == ["content", "text_digest", "vector"]
