@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop, load_table, materialize, new_path, shared_dir  # noqa: F401
+from ..joins import MOST_HOT, join_by_key, spare  # noqa: F401
+from ..session import attach, drop, load_table, materialize, new_path, shared_dir  # noqa: F401
 
 #: Rows of text per Arrow batch of the queries.
 TEXT_BATCH = 1000
@@ -29,44 +30,10 @@ def row_key(*cols: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("", *parts)))
 
 
-#: At most so many keys can be hot, so the list of them may be broadcast.
-MOST_HOT = 1000
-
-
-def join_by_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
-    """Join ``rows`` with ``by_key``, which has one row per key and in ``count``
-    how many rows of ``rows`` have that key.
-
-    A key counts as hot if it has more than one in MOST_HOT of the rows that
-    ``count`` adds up to: fewer than MOST_HOT keys can, so these are broadcast
-    and their rows stay where they are. The others are shuffled; none of them
-    has more than that share of the rows. ``how`` is ``inner`` or ``left``."""
-    spark = rows.sparkSession
-    total = by_key.agg(F.sum(count)).first()[0] or 0
-    least = max(1000, total // MOST_HOT)
-    hot = [r[0] for r in by_key.where(F.col(count) > least).select(key).collect()]
-    if not hot:
-        return rows.join(by_key, key, how)
-    names = spark.createDataFrame([(k,) for k in hot], by_key.select(key).schema)
-    is_hot = F.broadcast(names.withColumn("_hot", F.lit(True)))
-    marked = rows.join(is_hot, key, "left")
-    few = F.broadcast(by_key.join(F.broadcast(names), key, "left_semi"))
-    out = marked.where("_hot").drop("_hot").join(few, key, how)
-    return out.unionByName(marked.where("_hot is null").drop("_hot").join(by_key, key, how))
-
-
 #: Bits of the map that ``flag_among`` broadcasts, at most 4 MB, and of one of its rows (Spark's own size).
 MAP_BITS, ROW_BITS = 1 << 25, 1 << 15
 
 
-def spare(columns: list[str], name: str) -> str:
-    """``name``, or something longer if ``columns`` has it (in any case)."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def flag_among(df: DataFrame, column: str, ids: DataFrame, flag: str) -> DataFrame:
     """Add ``flag``: true for every row of ``df`` whose ``column`` is among ``ids`` (one column of
     that name) and for few others; rows with the flag still have to be joined. It saves

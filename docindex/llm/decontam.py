@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAP_BITS, ROW_BITS, drop, flag_among, join_by_key, load, materialize, row_key, spare
+from .common import MAP_BITS, ROW_BITS, attach, drop, flag_among, join_by_key, load, materialize, row_key, spare
 
 _TOKENS = re.compile(r"\w+").findall
 _U = np.uint64
@@ -131,6 +131,7 @@ LEAKS = "key binary, item_id {0}, item_tokens long, covered_tokens long, coverag
 
 def _leaks(keyed: DataFrame, benchmark: DataFrame, min_tile: int, min_coverage: float) -> DataFrame:
     """Leaks into the distinct documents of ``keyed`` (key, text), a row for each key and item."""
+    attach(keyed.sparkSession)
     kind = benchmark.schema["item_id"].dataType.simpleString()
     items = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().withColumn("item", row_key(F.col("item_id"), F.col("text")))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize
+from .common import attach, load, materialize
 
 #: Payloads are padded with bytes 255 to a positive multiple of so many bytes.
 FRAME, RATE = 576, 8000
@@ -211,6 +211,7 @@ def sniff(blob: bytes, find) -> list[tuple[str, int, int]]:
 
 def store_texts(docs: DataFrame, declared: str | Column = "application/octet-stream") -> DataFrame:
     """doc_id, n_bytes, declared type and the media file of each text (null: empty)."""
+    attach(docs.sparkSession)
     said = F.lit(declared) if isinstance(declared, str) else declared
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +271,7 @@ def carve_media(df: DataFrame) -> DataFrame:
     """The media inside ``media`` (binary) as files of their own: a row for each, with ``carved_type``,
     ``carved_start``, ``carved_length`` and ``carved`` (the bytes); the blob itself, where it is a media file, isn't
     repeated. Other columns stay; any with these names give way, ``media`` is dropped."""
+    attach(df.sparkSession)
     new = ("carved_type", "carved_start", "carved_length", "carved")
     kept = [c for c in df.columns if c != "media" and c.lower() not in new]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), "carved_type string, carved_start long, carved_length long, carved binary"])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW_BITS, drop, flag_among, join_by_key, load, materialize, spare
+from .common import ROW_BITS, attach, drop, flag_among, join_by_key, load, materialize, spare
 from .graph import components
 
 WORDS = 5
@@ -525,6 +525,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     are their own component. A row with a null doc_id is in the component of rows of the same
     shingles that have one, else in none (null). Repeated rows give repeated rows; rows
     with one doc_id and different texts are one document, linked with what any of them is linked with."""
+    attach(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     survey = materialize(docs.mapInArrow(_survey, "tag int, doc_id long, a long, b long, n long, sketch binary"), "survey")
     rows, classes, doubtful = _classes(survey)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import load, materialize
+from .common import attach, load, materialize
 
 #: Rows that one task ranks at once.
 RANKED = 20_000
@@ -101,6 +101,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     longer document is cut, and only its last piece may be shorter. An empty
     text is one piece of one token; repeated rows give repeated pieces. Ids may be of any
     type, other columns are dropped."""
+    attach(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +167,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     ``length`` (1 to ``capacity``): sequences are filled without gaps from offset 0.
     Other columns stay; any named like the two new ones give way. Give it a table that doesn't change when read again; it is read three times."""
     spark = pieces.sparkSession
+    attach(spark)
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # a row per length
     runs = {n: np.array(r, np.int64).reshape(-1, 4) for n, r in plan_best_fit(counts, capacity).items()}
     share = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()] or [(0, 1)], "length long, parts long")

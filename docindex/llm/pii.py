@@ -72,7 +72,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     kind (null for candidates), patterns."""
     every = "|".join([*(f"(?:{PATTERNS[k]})" for k in ("email", "phone", "ip", "card")), f"(?:{OTHER})"])
     found = with_matches(docs.where(F.col("text").rlike("[0-9@]")).select("key", "text"), "seen", "text", every, context=True)
-    one = found.select("key", F.explode("seen").alias("s")).select("key", "s.*")
+    # From a plain explode Spark infers a filter on the array's size, which would run the whole chain above twice.
+    one = found.select("key", F.explode_outer("seen").alias("s")).where("s is not null").select("key", "s.*")
     kind = F.coalesce(*(F.when(F.col("value").rlike(f"^(?:{PATTERNS[k]})$") & is_valid(k, F.col("value")), F.lit(k)) for k in KINDS))
     word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
     left, left2, right = word("before", r"(\p{L}+)\P{L}*$"), word("before", r"(\p{L}+\P{L}+\p{L}+)\P{L}*$"), word("after", r"^\P{L}*(\p{L}+)")

@@ -12,24 +12,28 @@ from pyspark.sql import functions as F
 
 #: Sums run over blocks of so many matches, so that long texts stay near linear.
 BLOCK = 64
-#: Characters on either side of a match that its context is taken from.
-CONTEXT = 40
+#: Characters on either side of a match that its context is taken from. A word that lies across that border
+#: is left out, so no context has a part of a word.
+CONTEXT = 128
 
 
 def with_matches(df: DataFrame, name: str, text: str, pattern: str, context: bool = False) -> DataFrame:
     """Add ``name``: array of (start, end, value) of the pattern's leftmost
     non-overlapping matches in column ``text`` (no nulls); with ``context`` also the
-    ``before`` and ``after`` of each, up to CONTEXT characters."""
+    ``before`` and ``after`` of each, whole words of up to CONTEXT characters."""
     gaps, found, pieces, sums = (f"_{name}_{x}" for x in ("gaps", "found", "pieces", "sums"))
     cols = df.columns
     df = df.withColumns({gaps: F.split(text, pattern, -1), found: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))})
 
+    def whole(gap: Column, cut: Column, edge: str) -> Column:
+        return F.when(F.length(gap) > CONTEXT, F.regexp_replace(cut, edge, "")).otherwise(gap)
+
     def piece(gap: Column, value: Column) -> Column:
-        return F.struct(F.length(gap).alias("gap"), F.length(value).alias("length"), value.alias("value"), *([F.right(gap, F.lit(CONTEXT)).alias("before")] if context else []))
+        return F.struct(F.length(gap).alias("gap"), F.length(value).alias("length"), value.alias("value"), *([whole(gap, F.right(gap, F.lit(CONTEXT)), r"^\p{L}+").alias("before")] if context else []))
 
     made = F.slice(F.zip_with(gaps, found, piece), 1, F.size(found))
     if context:
-        after = F.transform(F.slice(F.col(gaps), 2, F.size(found)), lambda g: F.left(g, F.lit(CONTEXT)))
+        after = F.transform(F.slice(F.col(gaps), 2, F.size(found)), lambda g: whole(g, F.left(g, F.lit(CONTEXT)), r"\p{L}++$"))
         made = F.zip_with(made, after, lambda p, a: p.withField("after", a))
     df = df.withColumn(pieces, made)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda b: F.slice(F.col(pieces), b * BLOCK + 1, F.lit(BLOCK)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import attach, load
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+").findall
@@ -109,6 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 16_000, max_features
     the lowest hash of doc_id, and at most ``max_features`` features, those that are
     most typical of toxic documents; both bound what reaches
     the driver. Without labels of both classes the model scores every text 0."""
+    attach(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") == 1).alias("toxic")).persist()
@@ -179,6 +180,7 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_
     Null and empty texts have no sentence: score 0."""
     from pyspark.sql import types as T
 
+    attach(docs.sparkSession)
     docs = docs.select(*(c for c in docs.columns if c.lower() not in (score_col.lower(), sentences_col.lower())))
     schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(sentences_col, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])))])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_by_key, load, new_path
+from .common import attach, join_by_key, load, new_path
 
 #: The alphabet of Spark's conv() in base 32, and that of base32.
 _CONV, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -114,6 +114,7 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under ``path``. Digests and lengths of responses
     are those of the payload as read, of revisits those that their headers state."""
+    attach(spark)
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
