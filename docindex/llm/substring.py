@@ -8,8 +8,9 @@ the others are repeats. Repeats that overlap make a passage, so the order of its
 was there before, too.
 
 A passage ends in the midst of chunks. Each unit therefore carries two bits of
-the hash of each of the 31 words before and after it: as many words as agree with those of
-the original belong to the passage. No text is moved.
+the hash of each of the 31 words before and after it: no more words than agree with those of
+the original belong to the passage, or more than 31. Where that may make a passage long enough, the hashes of these words
+themselves are compared, of as many as it takes. Only documents with such places have their texts moved.
 
 Documents with equal texts are one document; the others are repeats as a whole.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import flag_among, join_by_key, load, materialize, spare
+from .common import attach, drop, flag_among, join_by_key, load, materialize, spare
 
 #: Bytes: neighbours on either side among which a border has the least hash, and most in a chunk.
 NEAR, MOST = 10, 512
@@ -212,6 +213,67 @@ def _agreeing(mine: Column, other: Column) -> Column:
     return F.when(odd == 0, F.lit(BESIDE)).otherwise((F.round(F.log2(odd.bitwiseAND(-odd))).cast("int") / 2).cast("int"))
 
 
+_LEFT, _RIGHT = 0, 1
+
+
+def _words_beside(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(at, hashes) for each of ``places`` (at: struct of doc_id, word, side; ask): the hashes of ``ask`` words from that one on,
+    to the left or right, fewer where the text ends. Places of a document are gathered in its row; it has two for each of its words at most."""
+    needs = places.groupBy("at").agg(F.max("ask").alias("ask")).groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("at.word", "at.side", "ask")).alias("asked"))
+    needs = materialize(needs, "asked")
+    able = flag_among(docs, "doc_id", needs.select("doc_id"), "able").where("able").select("doc_id", "text")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = Prefixes(0)
+        for batch in batches:
+            for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                b = np.frombuffer(text.as_py().encode(), np.uint8)
+                hashes = digest(b)(*words(b)).view(np.int64)
+                word, side, ask = (asked.values.field(k).to_numpy() for k in range(3))
+                # The parts of one text that are asked for, one after the other.
+                first = np.where(side == _LEFT, np.maximum(word - ask + 1, 0), np.clip(word, 0, len(hashes)))
+                size = np.maximum(np.where(side == _LEFT, np.minimum(word, len(hashes) - 1) + 1, np.minimum(word + ask, len(hashes))) - first, 0)
+                ends = np.cumsum(size)
+                within = np.arange(ends[-1]) - np.repeat(ends - size, size)
+                back = np.repeat(side == _LEFT, size)
+                flat = hashes[np.where(back, np.repeat(first + size - 1, size) - within, np.repeat(first, size) + within)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), doc)), pa.array(word), pa.array(side), lists], ["doc_id", "word", "side", "hashes"])
+
+    found = able.join(needs, "doc_id").select("doc_id", "text", "asked").mapInArrow(look, "doc_id long, word long, side int, hashes array<long>")
+    out = materialize(found.select(F.struct("doc_id", "word", "side").alias("at"), "hashes"), "beside")
+    drop(needs)
+    return out
+
+
+def _exact_ends(docs: DataFrame, sides: DataFrame) -> DataFrame:
+    """(run, side, total): of ``sides`` (run, mine and other: structs of doc_id, word, side; ask) how many words agree from these words on. ``ask`` words at most do,
+    unless it is BESIDE: then more are compared, eight times as many each time, while all agree. Rows with one doc_id count together: the longest agreement is taken."""
+    state, rounds = sides.withColumn("total", F.lit(0).cast("long")), []
+    while True:
+        places = state.select(F.col("mine").alias("at"), "ask").unionByName(state.select(F.col("other").alias("at"), "ask"))
+        beside = _words_beside(docs, places)
+        others = state.groupBy("other").agg(F.count("*").alias("n"))
+        others = others.join(beside.select(F.col("at").alias("other"), F.col("hashes").alias("theirs")), "other")
+        both = join_by_key(state.join(beside.select(F.col("at").alias("mine"), F.col("hashes").alias("ours")), "mine"), others, "other", "n")
+        same = F.zip_with(F.slice("ours", 1, F.col("ask")), F.slice("theirs", 1, F.col("ask")), lambda a, b: F.coalesce(a == b, F.lit(False)))
+        agree = F.when(F.array_contains(same, False), F.array_position(same, F.lit(False)).cast("long") - 1).otherwise(F.size(same).cast("long"))
+        got = both.withColumn("agree", agree).groupBy("run", "side", "mine", "other", "ask", "total").agg(F.max("agree").alias("agree"))
+        got = materialize(got.withColumn("total", F.col("total") + F.col("agree")), "agreed")
+        drop(beside)
+        rounds.append(got)
+        more = got.where((F.col("agree") == F.col("ask")) & (F.col("ask") >= BESIDE))
+        if more.isEmpty():
+            break
+        step = F.when(F.col("side") == _LEFT, -F.col("agree")).otherwise(F.col("agree"))
+        moved = lambda c: F.struct(F.col(f"{c}.doc_id").alias("doc_id"), (F.col(f"{c}.word") + step).alias("word"), F.col(f"{c}.side").alias("side"))
+        state = more.select("run", "side", moved("mine").alias("mine"), moved("other").alias("other"), (F.col("ask") * 8).alias("ask"), "total")
+    out = rounds[0]
+    for later in rounds[1:]:
+        out = out.unionByName(later)
+    return out.groupBy("run", "side").agg(F.max("total").alias("total"))
+
+
 def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Passages of at least ``min_words`` words of ``docs`` (doc_id, text) that occurred before:
 
@@ -222,6 +284,7 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     document may repeat itself. Null ids and texts have none.
 
     Words are runs without ASCII white space; letters of scripts without spaces count as words."""
+    attach(docs.sparkSession)
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
     whole = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").cast("long").alias("size"))
     same = whole.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("source_doc_id")).where("n > 1")
@@ -241,11 +304,24 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end"), F.size(F.collect_set("start")).alias("n_units"),
         F.min_by(F.struct("first", "before", "o"), F.struct("start", "end", "o")).alias("a"), F.max_by(F.struct("last", "after", "o"), F.struct("end", "start", "o")).alias("z"),
     )
+    runs = runs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     left = F.least(_agreeing(F.col("a.before"), F.col("a.o.before")), F.col("a.first") + 1)
     right = _agreeing(F.col("z.after"), F.col("z.o.after"))
-    runs = runs.withColumn("first_word", F.col("a.first") - left + 1).withColumn("n_words", F.col("z.last") + right - F.col("first_word"))
-    found = runs.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "first_word", "n_words", "n_units", F.col("a.o.doc_id").alias("source_doc_id"))
-    found = found.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    inner = F.greatest(F.col("z.last") - F.col("a.first") - 1, F.lit(0))
+    # One word may be all that lies between the ends; else the words at both ends and those between them.
+    guessed = F.when((left >= BESIDE) | (right >= BESIDE), F.lit(min_words)).otherwise(F.greatest(inner + left + right, left, right))
+    runs = runs.where(guessed >= min_words).select(F.struct("doc_id", "run").alias("run"), "start", "end", "n_units", "a", "z", left.alias("left"), right.alias("right"))
+    runs = materialize(runs, "runs")
+    drop(again, some, firsts)
+    word = lambda doc, at, side: F.struct(F.col(doc).alias("doc_id"), F.col(at).alias("word"), F.lit(side).alias("side"))
+    side = lambda n, mine, other, ask: runs.select("run", F.lit(n).alias("side"), word("run.doc_id", mine, n).alias("mine"), word(f"{other[0]}.o.doc_id", other, n).alias("other"), F.col(ask).cast("long").alias("ask"))
+    ends = _exact_ends(docs, side(_LEFT, "a.first", "a.o.first", "left").unionByName(side(_RIGHT, "z.last", "z.o.last", "right")))
+    total = lambda n: F.coalesce(F.max(F.when(F.col("side") == n, F.col("total"))), F.lit(0))
+    ends = ends.groupBy("run").agg(total(_LEFT).alias("left"), total(_RIGHT).alias("right"))
+    runs = runs.drop("left", "right").join(ends, "run")
+    first, last = F.col("a.first") - F.col("left") + 1, F.col("z.last") + F.col("right")
+    runs = runs.select(F.col("run.doc_id").alias("doc_id"), "start", "end", first.alias("first_word"), (last - first).alias("n_words"), "n_units", F.col("a.o.doc_id").alias("source_doc_id"))
+    found = runs.where(F.col("n_words") >= min_words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,6 +340,7 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the words of their repeated passages and the white space after these;
     rows without any stay as they are. Other columns stay."""
+    attach(docs.sparkSession)
     spans = find_passages(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
     cols = docs.columns
     name = spare(cols, "spans")
