@@ -80,43 +80,74 @@ def _png_length(b: bytes, at: int) -> int:
     return 0
 
 
+_walks: dict[str, tuple[bytes, dict[int, int]]] = {}
+
+
+def _walk(b: bytes, kind: str, p: int, step: Callable[[int], tuple[bool, int]]) -> int:
+    """Where a walk from ``p`` ends. ``step`` says of a place whether it is the end, and where that or the next place is. What
+    comes after a place is the same whichever way led there, so each place of a blob is passed once, however many files seem to begin in it."""
+    if kind not in _walks or _walks[kind][0] is not b:
+        _walks[kind] = b, {}
+    known, passed = _walks[kind][1], []
+    while p not in known:
+        passed.append(p)
+        ended, q = step(p)
+        if ended:
+            known[p] = q
+        else:
+            p = q
+    end = known[p]
+    known.update(dict.fromkeys(passed, end))
+    return end
+
+
+def _colours(flags: int) -> int:
+    return 3 << (flags & 7) + 1 if flags & 128 else 0
+
+
 def _gif_length(b: bytes, at: int) -> int:
-    def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1
+    def block(p: int) -> tuple[bool, int]:
+        return (False, p + 1 + b[p]) if p < len(b) and b[p] else (True, p + 1)
 
-    if at + 13 > len(b):
-        return 0
-    colours = lambda flags: 3 << (flags & 7) + 1 if flags & 128 else 0
-    p = at + 13 + colours(b[at + 10])
-    while p < len(b):
+    def part(p: int) -> tuple[bool, int]:
+        if p >= len(b):
+            return True, 0
         if b[p] == 0x3B:
-            return p + 1 - at
+            return True, p + 1
         if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 < len(b):
-            p = blocks(p + 11 + colours(b[p + 9]))
-        else:
-            return 0
-    return 0
+            return False, _walk(b, "gif block", p + 2, block)
+        if b[p] == 0x2C and p + 10 < len(b):
+            return False, _walk(b, "gif block", p + 11 + _colours(b[p + 9]), block)
+        return True, 0
+
+    end = _walk(b, "gif", at + 13 + _colours(b[at + 10]), part) if at + 13 <= len(b) else 0
+    return max(end - at, 0)
 
 
 def _jpeg_length(b: bytes, at: int) -> int:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+    def data(p: int) -> tuple[bool, int]:
+        """Image data go up to a marker that is neither stuffing nor a restart."""
+        k = bisect_left(marks, p)
+        if k == len(marks):
+            return True, -1
+        p = marks[k]
+        return (False, p + 2) if p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7) else (True, p)
+
+    def segment(p: int) -> tuple[bool, int]:
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return True, 0
         kind, n = b[p + 1], int.from_bytes(b[p + 2 : p + 4], "big")
         if not 0xC0 <= kind <= 0xFE or n < 2:
-            return 0
+            return True, 0
         p += 2 + n
-        if kind == 0xDA:  # image data follow, up to a marker that is neither stuffing nor a restart
-            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
-                p += 2
-            if p < 0:
-                return 0
-            if b[p + 1 : p + 2] == b"\xd9":
-                return p + 2 - at
-    return 0
+        if kind == 0xDA:
+            p = _walk(b, "jpeg data", p, data)
+            if p < 0 or b[p + 1 : p + 2] == b"\xd9":
+                return True, p + 2 if p >= 0 else 0
+        return False, p
+
+    marks = _places_of(b, b"\xff")
+    return max(_walk(b, "jpeg", at + 2, segment) - at, 0)
 
 
 def _bmp_length(b: bytes, at: int) -> int:
