@@ -30,7 +30,7 @@ class _Words(dict):
     """Ids of words as bytes, encoded when first seen."""
 
     #: Distinct words held at most, about 150 bytes each.
-    KEPT = 1_000_000
+    KEPT = 500_000
 
     def __init__(self, model):
         super().__init__()
