@@ -597,17 +597,20 @@ def link_components(docs: DataFrame) -> DataFrame:
     rows_of = met.where("tag = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"))
     sets = rows_of.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("h"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("g"))
     canon = sets.groupBy("h", "g", "m").agg(F.min("key").alias("key")).select("key", "m")
-    bucket = materialize(join_by_key(rows_of, materialize(canon, "canon"), "key", "m").drop("m").join(info.select("cls", "node"), "cls"), "buckets")
+    canon = materialize(canon, "canon")
+    once = materialize(join_by_key(rows_of, canon, "key", "m").drop("m").join(info.select("cls", "node"), "cls"), "buckets")
     # Two classes that meet in a bucket after the same one have met there, in the end in the first one that both have.
     before = F.lag("key").over(W.partitionBy("cls").orderBy("key"))
-    bucket = materialize(bucket.withColumn("before", before), "buckets")
-    drop(met, pool, pairs, counted)
+    bucket = materialize(once.withColumn("before", before), "buckets")
+    drop(met, pool, pairs, counted, canon, once)
     shape = ("kind", "key", "i", "j", "own", "cls", "root")
     for last in (False, False, True):
         members = materialize(rooted(bucket, roots, "node", "root"), "members")
         sizes = members.groupBy("key", "root").agg(F.count("*").alias("m"))
         mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("m", -F.col("root"))).alias("most"), F.sum("m").alias("m"), F.count("*").alias("roots")).where("roots > 1")
-        held = materialize(join_by_key(members, materialize(mixed, "mixed"), "key", "m").select("key", "cls", "root", "most", "before"), "held")
+        mixed = materialize(mixed, "mixed")
+        held = materialize(join_by_key(members, mixed, "key", "m").select("key", "cls", "root", "most", "before"), "held")
+        drop(members, mixed)
         # Who isn't of a bucket's largest component meets that component's classes, once however many buckets say so,
         few = held.where("root <> most")
         large = held.where("root = most").select("cls", "root").distinct()
@@ -624,7 +627,8 @@ def link_components(docs: DataFrame) -> DataFrame:
         # and the others of its bucket.
         several = few.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("before").alias("later"), F.min("before").alias("first"), F.max("before").alias("last"))
         several = several.where("lo <> hi and (later < m or first <> last)").select("key", "m")
-        parts = join_by_key(few.select("key", "cls", "root"), materialize(several, "several"), "key", "m").withColumn("blocks", blocks("m")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+        several = materialize(several, "several")
+        parts = join_by_key(few.select("key", "cls", "root"), several, "key", "m").withColumn("blocks", blocks("m")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
         parts = parts.withColumn("other", along("blocks")).select(F.lit(1).alias("kind"), "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).cast("int").alias("own"), "cls", "root")
         spread = dealt.select(*shape).unionByName(guests.select(*shape)).unionByName(parts.select(*shape)).join(info.select("cls", "n", "sketch"), "cls").select(*shape, "n", "sketch")
         met_again = spread.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j").mapInArrow(_across(last), "again int, a long, b long")
@@ -634,12 +638,15 @@ def link_components(docs: DataFrame) -> DataFrame:
             roots = merged(roots, verified(fresh))
             tested = tested.unionByName(fresh)
         again = late.where("again >= 0").select(F.col("again").alias("kind"), F.col("a").alias("key")).distinct()
+        drop(several, counts)
         if again.isEmpty():
+            drop(held, late, bucket)
             break
         # Only buckets whose blocks gave too many pairs come again.
         some = held.join(again.where("kind = 0").select(F.col("key").alias("most")), "most", "left_semi").select("key").unionByName(again.where("kind = 1").select("key")).distinct()
-        bucket = materialize(bucket.join(materialize(some, "some"), "key", "left_semi"), "buckets")
-        drop(members, held)
+        some, whole = materialize(some, "some"), bucket
+        bucket = materialize(whole.join(some, "key", "left_semi"), "buckets")
+        drop(held, late, some, whole)
     of_class = known.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cls", "n_rows", F.coalesce("root", "doc_id").alias("component_id"))
     of_class = of_class.unionByName(classes.where("doc_id is null").select("cls", "n_rows", F.col("doc_id").alias("component_id")))
     found = join_by_key(rows.where("n > 0").select("doc_id", "cls", "n"), of_class, "cls", "n_rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
