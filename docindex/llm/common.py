@@ -3,6 +3,7 @@ outlive executors, row keys and joins that survive a hot key."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,16 @@ def row_key(*cols: Column) -> Column:
 MAP_BITS, ROW_BITS = 1 << 25, 1 << 15
 
 
+def map_of_bits(ids: DataFrame, column: str) -> np.ndarray:
+    """A map of MAP_BITS bits, of which those are set that numbers in ``column`` have as their lowest bits; 4 MB whatever the input."""
+    place = F.pmod(column, F.lit(MAP_BITS))
+    marked = ids.where(F.col(column).isNotNull()).groupBy(F.floor(place / ROW_BITS).alias("row")).agg(F.call_function("bitmap_construct_agg", place % ROW_BITS).alias("bits"))
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for row, part in marked.collect():
+        out[row * ROW_BITS // 8 : (row + 1) * ROW_BITS // 8] = np.frombuffer(part, np.uint8)
+    return out
+
+
 def flag_among(df: DataFrame, column: str, ids: DataFrame, flag: str) -> DataFrame:
     """Add ``flag``: true for every row of ``df`` whose ``column`` is among ``ids`` (one column of
     that name) and for few others; rows with the flag still have to be joined. It saves

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import attach, drop, flag_among, join_by_key, load, materialize, spare
+from .common import MAP_BITS, attach, drop, flag_among, join_by_key, load, map_of_bits, materialize, spare
 
 #: Bytes: neighbours on either side among which a border has the least hash, and most in a chunk.
 NEAR, MOST = 10, 512
@@ -131,13 +132,13 @@ def _beside(code: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
-UNITS = "key long, check long, doc_id long, start long, end long, first long, last long, before long, after long"
+UNITS = "key long, check long, doc_id long, start long, end long, first long, last long, before long, after long, alone boolean"
 _NAMES = [x.split()[0] for x in UNITS.split(", ")]
 
 
-def _units(digests: list[Prefixes], raw: bytes, keys_only: bool = False) -> list[np.ndarray] | None:
-    """Of each two chunks in a row: two digests, where they are (bytes), their first and last word and what
-    lies beside these; or the first digest alone."""
+def _units(digests: list[Prefixes], raw: bytes, known: np.ndarray | None) -> list[np.ndarray] | None:
+    """Of each two chunks in a row whose first digest is in the map of bits ``known``: two digests, where they are (bytes),
+    their first and last word, what lies beside these, and whether neither neighbour is in the map; without a map the first digest of each."""
     b = np.frombuffer(raw, np.uint8)
     at = borders(b)
     if len(at) < 3:
@@ -145,47 +146,57 @@ def _units(digests: list[Prefixes], raw: bytes, keys_only: bool = False) -> list
         at = np.array([at[0], at[-1], at[-1]])
     start, end = at[:-2], at[2:]
     one = digests[0](b)
-    if keys_only:
-        return [one(start, end).view(np.int64)]
+    key = one(start, end)
+    if known is None:
+        return [key.view(np.int64)]
+    at = key & _U(MAP_BITS - 1)
+    able = (known[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 > 0
+    if not able.any():
+        return None
     begins, ends = words(b)
     if not len(begins):
         return None
+    beside = np.concatenate([[False], able, [False]])
+    alone = ~(beside[:-2] | beside[2:])[able]
+    key, start, end = key[able], start[able], end[able]
     two = digests[1](b)
     code = (one(begins, ends) >> _U(40)).astype(np.int64) % 3 + 1
     first = np.minimum(np.searchsorted(ends, start, "right"), len(begins) - 1)
     last = np.maximum(np.searchsorted(begins, end, "left") - 1, 0)
-    return [one(start, end).view(np.int64), two(start, end).view(np.int64), start, end, first, last, _beside(code, -1)[first], _beside(code, 1)[last]]
+    return [key.view(np.int64), two(start, end).view(np.int64), start, end, first, last, _beside(code, -1)[first], _beside(code, 1)[last], alone]
 
 
 #: Rows of units that go out at once, or those of a text.
 _ROWS = 100_000
 
 
-def units(docs: DataFrame, keys_only: bool = False) -> DataFrame:
-    """The units of ``docs`` (doc_id, text): two halves of a 128-bit digest, where the unit lies in
-    code points, its first and last word (numbers from 0) and two bits of each of 31 words at
-    both ends; or ``key`` alone, the first half. Null texts and ids have none, nor have texts without words. Of equal
-    texts in a task those with larger ids may be left out."""
+def units(docs: DataFrame, known: Broadcast[np.ndarray] | None = None) -> DataFrame:
+    """The units of ``docs`` (doc_id, text) that the map of bits ``known`` has: two halves of a 128-bit digest, where the unit lies in
+    code points, its first and last word (numbers from 0), two bits of each of 31 words at
+    both ends, and whether it is ``alone``, so that no unit that overlaps it is in the map; without a map ``key`` of all, the first half. Null texts and ids
+    have none, nor have texts without words. Of equal texts in a task those with larger ids may be left out."""
     import xxhash
 
-    names = _NAMES[:1] if keys_only else _NAMES
+    names = _NAMES[:1] if known is None else _NAMES
+    empty = [np.empty(0, bool if n == "alone" else np.int64) for n in names]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, seen = [Prefixes(0), Prefixes(1)], {}
-        cols: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in names]
+        bits = None if known is None else known.value
+        cols: list[list[np.ndarray]] = [[e] for e in empty]
         held = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
                 raw = text.encode()
-                known = xxhash.xxh3_128_digest(raw)
-                if seen.get(known, doc + 1) <= doc:  # the document with the smallest id is always looked at
+                digest = xxhash.xxh3_128_digest(raw)
+                if seen.get(digest, doc + 1) <= doc:  # the document with the smallest id is always looked at
                     continue
                 if len(seen) < 1_000_000:
-                    seen[known] = doc
-                if (own := _units(digests, raw, keys_only)) is None:
+                    seen[digest] = doc
+                if (own := _units(digests, raw, bits)) is None:
                     continue
-                if not keys_only:
+                if bits is not None:
                     key, check, start, end, *rest = own
                     if len(raw) != len(text):
                         points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
@@ -196,10 +207,10 @@ def units(docs: DataFrame, keys_only: bool = False) -> DataFrame:
                 held += len(own[0])
                 if held > _ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
-                    cols, held = [[np.empty(0, np.int64)] for _ in names], 0
+                    cols, held = [[e] for e in empty], 0
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "key long" if keys_only else UNITS)
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "key long" if known is None else UNITS)
 
 
 #: The lower bit of each pair.
@@ -213,6 +224,13 @@ def _agreeing(mine: Column, other: Column) -> Column:
     return F.when(odd == 0, F.lit(BESIDE)).otherwise((F.round(F.log2(odd.bitwiseAND(-odd))).cast("int") / 2).cast("int"))
 
 
+def _longest(first: str, last: str, left: str, right: str, min_words: int) -> Column:
+    """How many words a passage may have whose units have these ends, of which so many words beside them may agree; ``min_words`` if that isn't known."""
+    inner, left, right = F.greatest(F.col(last) - F.col(first) - 1, F.lit(0)), F.col(left), F.col(right)
+    # One word may be all that lies between the ends; else the words at both ends and those between them.
+    return F.when((left >= BESIDE) | (right >= BESIDE), F.greatest(F.lit(min_words), inner)).otherwise(F.greatest(inner + left + right, left, right))
+
+
 _LEFT, _RIGHT = 0, 1
 
 
@@ -291,30 +309,34 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     copies = join_by_key(whole, materialize(same, "same"), "digest", "n").where("doc_id <> source_doc_id")
     copies = materialize(copies.select("doc_id", "source_doc_id", "size").distinct(), "copies")
 
-    again = materialize(units(docs, keys_only=True).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
-    some = materialize(flag_among(units(docs), "key", again, "able").where("able").drop("able"), "units")
+    again = units(docs).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    known = docs.sparkSession.sparkContext.broadcast(map_of_bits(again, "key"))
+    some = materialize(units(docs, known), "units")
     place = ("doc_id", "start", "first", "last", "before", "after")
     firsts = some.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("o")).where("n > 1")
     firsts = materialize(firsts.withColumn("both", F.struct("key", "check")).select("both", "n", "o"), "firsts")
     hits = join_by_key(some.withColumn("both", F.struct("key", "check")), firsts, "both", "n").where("not (doc_id = o.doc_id and start = o.start)")
+    left = F.least(_agreeing(F.col("before"), F.col("o.before")), F.col("first") + 1)
+    right = _agreeing(F.col("after"), F.col("o.after"))
+    origin = F.struct("o.doc_id", "o.start", "o.first", "o.last").alias("o")
+    hits = hits.select("doc_id", "start", "end", "first", "last", left.alias("left"), right.alias("right"), origin, "alone")
+    # A unit alone is all of its run, so most repeats by chance go before they are moved again.
+    hits = hits.where(~F.col("alone") | (_longest("first", "last", "left", "right", min_words) >= min_words))
     order = W.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     runs = hits.withColumn("new", F.coalesce((reach <= F.col("start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     runs = runs.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.size(F.collect_set("start")).alias("n_units"),
-        F.min_by(F.struct("first", "before", "o"), F.struct("start", "end", "o")).alias("a"), F.max_by(F.struct("last", "after", "o"), F.struct("end", "start", "o")).alias("z"),
+        F.min_by(F.struct("first", "left", "o"), F.struct("start", "end", "o")).alias("a"), F.max_by(F.struct("last", "right", "o"), F.struct("end", "start", "o")).alias("z"),
     )
     runs = runs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    left = F.least(_agreeing(F.col("a.before"), F.col("a.o.before")), F.col("a.first") + 1)
-    right = _agreeing(F.col("z.after"), F.col("z.o.after"))
-    inner = F.greatest(F.col("z.last") - F.col("a.first") - 1, F.lit(0))
-    # One word may be all that lies between the ends; else the words at both ends and those between them.
-    guessed = F.when((left >= BESIDE) | (right >= BESIDE), F.lit(min_words)).otherwise(F.greatest(inner + left + right, left, right))
-    runs = runs.where(guessed >= min_words).select(F.struct("doc_id", "run").alias("run"), "start", "end", "n_units", "a", "z", left.alias("left"), right.alias("right"))
+    runs = runs.where(_longest("a.first", "z.last", "a.left", "z.right", min_words) >= min_words)
+    runs = runs.select(F.struct("doc_id", "run").alias("run"), "start", "end", "n_units", "a", "z", F.col("a.left").alias("left"), F.col("z.right").alias("right"))
     runs = materialize(runs, "runs")
-    drop(again, some, firsts)
+    drop(some, firsts)
+    known.unpersist()
     word = lambda doc, at, side: F.struct(F.col(doc).alias("doc_id"), F.col(at).alias("word"), F.lit(side).alias("side"))
-    side = lambda n, mine, other, ask: runs.select("run", F.lit(n).alias("side"), word("run.doc_id", mine, n).alias("mine"), word(f"{other[0]}.o.doc_id", other, n).alias("other"), F.col(ask).cast("long").alias("ask"))
+    side = lambda n, mine, other, ask: runs.select("run", F.lit(n).alias("side"), word("run.doc_id", mine, n).alias("mine"), word(f"{other[0]}.o.doc_id", other, n).alias("other"), F.col(ask).cast("long").alias("ask")).where("ask > 0")
     ends = _exact_ends(docs, side(_LEFT, "a.first", "a.o.first", "left").unionByName(side(_RIGHT, "z.last", "z.o.last", "right")))
     total = lambda n: F.coalesce(F.max(F.when(F.col("side") == n, F.col("total"))), F.lit(0))
     ends = ends.groupBy("run").agg(total(_LEFT).alias("left"), total(_RIGHT).alias("right"))
