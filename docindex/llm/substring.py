@@ -5,7 +5,8 @@ chunk ends, so chunk borders move with the text and are the same again a few doz
 bytes after an insertion. Two chunks in a row make a unit; units with one digest are one
 unit, whose first occurrence (smallest doc_id, then smallest position) is the original,
 the others are repeats. Repeats that overlap make a passage, so the order of its chunks
-was there before, too.
+was there before, too. White space counts as one space between words. Units that lie among so few others that no passage
+could be long enough are left out where they are made.
 
 A passage ends in the midst of chunks. Each unit therefore carries two bits of
 the hash of each of the 31 words before and after it: no more words than agree with those of
@@ -132,58 +133,79 @@ def _beside(code: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
-UNITS = "key long, check long, doc_id long, start long, end long, first long, last long, before long, after long, alone boolean"
+UNITS = "key long, check long, doc_id long, start long, end long, first long, last long, before long, after long"
 _NAMES = [x.split()[0] for x in UNITS.split(", ")]
 
 
-def _units(digests: list[Prefixes], raw: bytes, known: np.ndarray | None) -> list[np.ndarray] | None:
-    """Of each two chunks in a row whose first digest is in the map of bits ``known``: two digests, where they are (bytes),
-    their first and last word, what lies beside these, and whether neither neighbour is in the map; without a map the first digest of each."""
-    b = np.frombuffer(raw, np.uint8)
+def _long_enough(able: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray, min_words: int) -> np.ndarray:
+    """``able`` without units that no passage of ``min_words`` words can have. A border hangs on the 26 bytes before and the 10 after it. If a passage
+    went on that far beyond the border before or behind a row of able units, it would have one more unit on that side, able as well; so it
+    ends within these bytes, and the words that lie there are the most that it can have."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], able.view(np.int8), [0]])))
+    a, z = edge[::2], edge[1::2]  # units a to z - 1 have the borders a to z + 1
+    low = np.where(a > 0, at[np.maximum(a - 1, 0)] - 26, -1)
+    high = np.where(z + 2 < len(at), at[np.minimum(z + 2, len(at) - 1)] + 10, at[-1] + 1)
+    enough = np.searchsorted(ends, high, "left") - np.searchsorted(begins, low, "right") >= min_words
+    return able & np.repeat(np.concatenate([[0], np.stack([enough, np.zeros_like(enough)], 1).ravel()]), np.diff(np.concatenate([[0], edge, [len(able)]]))).astype(bool)
+
+
+def _units(digests: list[Prefixes], raw: bytes, known: np.ndarray | None, min_words: int = 1) -> list[np.ndarray] | None:
+    """Of each two chunks in a row whose first digest is in the map of bits ``known``, and that a passage of ``min_words`` words can have: two digests,
+    where they are (bytes), their first and last word and what lies beside these; without a map the first digest of each. White space counts as
+    one space between words, so that chunks are the same however lines are broken."""
+    joined = b" ".join(raw.split())
+    if not joined:
+        return None
+    b = np.frombuffer(joined, np.uint8)
     at = borders(b)
     if len(at) < 3:
-        at = at[[0, -1]]
         at = np.array([at[0], at[-1], at[-1]])
     start, end = at[:-2], at[2:]
     one = digests[0](b)
     key = one(start, end)
     if known is None:
         return [key.view(np.int64)]
-    at = key & _U(MAP_BITS - 1)
-    able = (known[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 > 0
+    bit = key & _U(MAP_BITS - 1)
+    able = (known[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8)) & 1 > 0
     if not able.any():
         return None
     begins, ends = words(b)
-    if not len(begins):
-        return None
-    beside = np.concatenate([[False], able, [False]])
-    alone = ~(beside[:-2] | beside[2:])[able]
+    # Borders of chunks that were cut for their length hang on more bytes; letters that are words of their own may have spaces between them or not.
+    if np.diff(at).max() < MOST and b.max() < 0xE0:
+        able = _long_enough(able, at, begins, ends, min_words)
+        if not able.any():
+            return None
     key, start, end = key[able], start[able], end[able]
     two = digests[1](b)
     code = (one(begins, ends) >> _U(40)).astype(np.int64) % 3 + 1
     first = np.minimum(np.searchsorted(ends, start, "right"), len(begins) - 1)
     last = np.maximum(np.searchsorted(begins, end, "left") - 1, 0)
-    return [key.view(np.int64), two(start, end).view(np.int64), start, end, first, last, _beside(code, -1)[first], _beside(code, 1)[last], alone]
+    out = [key.view(np.int64), two(start, end).view(np.int64), start, end, first, last, _beside(code, -1)[first], _beside(code, 1)[last]]
+    if joined != raw:
+        blank = np.concatenate([[True], _BLANK[np.frombuffer(raw, np.uint8)], [True]])
+        there = np.flatnonzero(blank[:-1] & ~blank[1:])
+        here = np.concatenate([[0], np.flatnonzero(b == 32) + 1])
+        out[2:4] = [there[w] + x - here[w] for x in (start, end) for w in [np.searchsorted(here, x, "right") - 1]]
+    return out
 
 
 #: Rows of units that go out at once, or those of a text.
 _ROWS = 100_000
 
 
-def units(docs: DataFrame, known: Broadcast[np.ndarray] | None = None) -> DataFrame:
-    """The units of ``docs`` (doc_id, text) that the map of bits ``known`` has: two halves of a 128-bit digest, where the unit lies in
-    code points, its first and last word (numbers from 0), two bits of each of 31 words at
-    both ends, and whether it is ``alone``, so that no unit that overlaps it is in the map; without a map ``key`` of all, the first half. Null texts and ids
+def units(docs: DataFrame, known: Broadcast[np.ndarray] | None = None, min_words: int = 1) -> DataFrame:
+    """The units of ``docs`` (doc_id, text) that the map of bits ``known`` has and that a passage of ``min_words`` words can have: two halves of a 128-bit digest, where the unit lies in
+    code points, its first and last word (numbers from 0) and two bits of each of 31 words at
+    both ends; without a map ``key`` of all, the first half. Null texts and ids
     have none, nor have texts without words. Of equal texts in a task those with larger ids may be left out."""
     import xxhash
 
     names = _NAMES[:1] if known is None else _NAMES
-    empty = [np.empty(0, bool if n == "alone" else np.int64) for n in names]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, seen = [Prefixes(0), Prefixes(1)], {}
         bits = None if known is None else known.value
-        cols: list[list[np.ndarray]] = [[e] for e in empty]
+        cols: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in names]
         held = 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -194,7 +216,7 @@ def units(docs: DataFrame, known: Broadcast[np.ndarray] | None = None) -> DataFr
                     continue
                 if len(seen) < 1_000_000:
                     seen[digest] = doc
-                if (own := _units(digests, raw, bits)) is None:
+                if (own := _units(digests, raw, bits, min_words)) is None:
                     continue
                 if bits is not None:
                     key, check, start, end, *rest = own
@@ -207,7 +229,7 @@ def units(docs: DataFrame, known: Broadcast[np.ndarray] | None = None) -> DataFr
                 held += len(own[0])
                 if held > _ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
-                    cols, held = [[e] for e in empty], 0
+                    cols, held = [[np.empty(0, np.int64)] for _ in names], 0
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
 
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "key long" if known is None else UNITS)
@@ -311,7 +333,7 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     again = units(docs).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     known = docs.sparkSession.sparkContext.broadcast(map_of_bits(again, "key"))
-    some = materialize(units(docs, known), "units")
+    some = materialize(units(docs, known, min_words), "units")
     place = ("doc_id", "start", "first", "last", "before", "after")
     firsts = some.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("o")).where("n > 1")
     firsts = materialize(firsts.withColumn("both", F.struct("key", "check")).select("both", "n", "o"), "firsts")
@@ -319,9 +341,7 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left = F.least(_agreeing(F.col("before"), F.col("o.before")), F.col("first") + 1)
     right = _agreeing(F.col("after"), F.col("o.after"))
     origin = F.struct("o.doc_id", "o.start", "o.first", "o.last").alias("o")
-    hits = hits.select("doc_id", "start", "end", "first", "last", left.alias("left"), right.alias("right"), origin, "alone")
-    # A unit alone is all of its run, so most repeats by chance go before they are moved again.
-    hits = hits.where(~F.col("alone") | (_longest("first", "last", "left", "right", min_words) >= min_words))
+    hits = hits.select("doc_id", "start", "end", "first", "last", left.alias("left"), right.alias("right"), origin)
     order = W.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     runs = hits.withColumn("new", F.coalesce((reach <= F.col("start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
