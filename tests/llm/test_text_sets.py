@@ -354,3 +354,19 @@ def test_long_tails(spark):
     rows = [(1, f"{say(5)} {same}{core} {same}x"), (2, f"{say(9)} c {same}{core} {same}y")]
     (row,) = [r for r in substring.find_passages(documents(spark, rows)).collect() if r["doc_id"] == 2 and r["source_doc_id"] == 1 and r["n_words"] > 1000][:1] or [None]
     assert row is not None and (row["first_word"], row["n_words"]) == (10, 1660)
+
+
+def test_units_whatever_the_white_space():
+    words = [f"w{k * k % 977}x{k}" for k in range(120)]
+    texts = [" ".join(words), "\n ".join(words) + "\n"]
+    digests = [substring.Prefixes(0), substring.Prefixes(1)]
+    every = np.full(substring.MAP_BITS // 8, 255, np.uint8)
+    one, other = (substring._units(digests, t.encode(), every, substring.MIN_WORDS) for t in texts)
+    assert one[0].tolist() == other[0].tolist() and one[4].tolist() == other[4].tolist()
+    for a, e, b, f in zip(one[2], one[3], other[2], other[3], strict=True):
+        assert texts[0][a:e].split() == texts[1][b:f].split()
+    few = np.zeros_like(every)
+    key = int(one[0][len(one[0]) // 2]) % substring.MAP_BITS
+    few[key >> 3] = 1 << (key & 7)
+    assert len(substring._units(digests, texts[0].encode(), few, 1)[0]) == 1
+    assert substring._units(digests, texts[0].encode(), few, substring.MIN_WORDS) is None
