@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MAP_BITS, ROW_BITS, attach, drop, flag_among, join_by_key, load, materialize, row_key, spare
@@ -25,6 +25,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 #: Shortest tile, in tokens, and the share of an item's tokens that tiles must cover.
 MIN_TILE, MIN_COVERAGE = 5, 0.5
+#: Documents and items of one seed that are joined in one group.
+PART = 1000
 
 
 class _Words(dict):
@@ -126,6 +128,48 @@ def tile(doc: np.ndarray, item: np.ndarray, min_tile: int) -> list[tuple[int, in
     return [(int(at[i]), j, length) for i, j, length in tiles(some, np.where(item == 0, 1, item).astype(_U), n)]
 
 
+def _telling(seeds: DataFrame, min_coverage: float) -> DataFrame:
+    """Of the seeds (item, n_tokens, n, seed, starts, n_hits) of each item those that a document must have one of to hold a leak: item, seed.
+
+    Tiles cover nothing but places of seeds that the document has. So the seeds that most documents have may be
+    left out as long as all places of these together are too few for ``min_coverage``. An item's
+    seeds are gathered in one row, which is as long as its text."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, kept = [], []
+            for row in map(dict, (zip(batch.schema.names, (c[k].as_py() for c in batch.columns), strict=True) for k in range(batch.num_rows))):
+                covered, n_covered = bytearray(row["n_tokens"]), 0
+                for k, seed in enumerate(row["found"]):
+                    for start in seed["starts"]:
+                        n_covered += row["n"] - sum(covered[start : start + row["n"]])
+                        covered[start : start + row["n"]] = b"\1" * row["n"]
+                    if n_covered >= min_coverage * row["n_tokens"]:
+                        kept += [s["seed"] for s in row["found"][k:]]
+                        keys += [row["item"]] * (len(row["found"]) - k)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(kept, pa.int64())], ["item", "seed"])
+
+    found = F.sort_array(F.collect_list(F.struct("n_hits", "seed", "starts")), asc=False).alias("found")
+    return seeds.groupBy("item", "n_tokens", "n").agg(found).mapInArrow(keep, "item binary, seed long")
+
+
+def _pairs(hits: DataFrame, kept: DataFrame, often: DataFrame) -> DataFrame:
+    """Documents and items (key, item) that share a seed of ``kept`` (item, seed); ``hits`` has key and seed, ``often`` seed and n_hits.
+    A seed of many documents or items is split into parts of about PART of each, so what is
+    copied for that is less than a PART-th of the pairs."""
+    parts = kept.groupBy("seed").agg(F.count("*").alias("n_items")).join(often, "seed")
+    parts = parts.select("seed", "n_hits", "n_items", F.ceil(F.col("n_hits") / PART).alias("key_parts"), F.ceil(F.col("n_items") / PART).alias("item_parts"))
+    parts = materialize(parts, "parts")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    left = join_by_key(hits, parts, "seed", "n_hits").select("seed", "key", F.pmod(F.xxhash64("key"), "key_parts").alias("a"), each("item_parts").alias("b"))
+    right = join_by_key(kept, parts, "seed", "n_items").select("seed", "item", each("key_parts").alias("a"), F.pmod(F.xxhash64("item"), "item_parts").alias("b"))
+    return left.join(right, ["seed", "a", "b"]).select("key", "item").distinct()
+
+
 LEAKS = "key binary, item_id {0}, item_tokens long, covered_tokens long, coverage double, tiles array<struct<doc_start:int,item_start:int,length:int>>"
 
 
@@ -138,16 +182,20 @@ def _leaks(keyed: DataFrame, benchmark: DataFrame, min_tile: int, min_coverage:
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            keys, n_seed, seeds = [], [], [np.empty(0, _U)]
+            keys, n_token, n_seed, starts, seeds = [], [], [], [], [np.empty(0, _U)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = _ids(text.as_py(), words)
                 if n := min(min_tile, len(ids)):
-                    seeds.append(np.unique(Windows(ids)(n)))
-                    keys += [key] * len(seeds[-1])
-                    n_seed += [n] * len(seeds[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n_seed, pa.int32()), pa.array(np.concatenate(seeds).view(np.int64))], ["item", "n", "seed"])
-
-    seeds = materialize(items.select("item", "text").mapInArrow(item_seeds, "item binary, n int, seed long"), "seeds")
+                    own, which, count = np.unique(Windows(ids)(n), return_inverse=True, return_counts=True)
+                    seeds.append(own)
+                    starts += np.split(np.argsort(which, kind="stable").astype(np.int32), np.cumsum(count)[:-1])
+                    keys += [key] * len(own)
+                    n_token += [len(ids)] * len(own)
+                    n_seed += [n] * len(own)
+            cols = [pa.array(keys, pa.binary()), pa.array(n_token, pa.int32()), pa.array(n_seed, pa.int32()), pa.array(np.concatenate(seeds).view(np.int64)), pa.array(starts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["item", "n_tokens", "n", "seed", "starts"])
+
+    seeds = materialize(items.select("item", "text").mapInArrow(item_seeds, "item binary, n_tokens int, n int, seed long, starts array<int>"), "seeds")
     lengths = sorted(r[0] for r in seeds.select("n").distinct().collect())  # at most min_tile
     # A map of bits of fixed size tells most seeds that no item has; the join does the rest.
     place = F.pmod("seed", F.lit(MAP_BITS))
@@ -174,8 +222,9 @@ def _leaks(keyed: DataFrame, benchmark: DataFrame, min_tile: int, min_coverage:
 
     hits = materialize(keyed.mapInArrow(doc_seeds, "key binary, seed long").distinct(), "hits")
     often = hits.groupBy("seed").agg(F.count("*").alias("n_hits"))
-    by_seed = materialize(seeds.groupBy("seed").agg(F.collect_set("item").alias("items")).join(often, "seed"), "by-seed")
-    pairs = materialize(join_by_key(hits, by_seed, "seed", "n_hits").select("key", F.explode("items").alias("item")).distinct(), "pairs")
+    by_seed = materialize(seeds.groupBy("seed").agg(F.count("*").alias("n_items")).join(often, "seed"), "by-seed")
+    kept = materialize(_telling(join_by_key(seeds, by_seed, "seed", "n_items"), min_coverage), "telling")
+    pairs = materialize(_pairs(hits, kept, by_seed.drop("n_items")), "pairs")
     texts = flag_among(keyed, "key", pairs.select("key"), "able").where("able").select("key", "text").dropDuplicates(["key"])
     often = pairs.groupBy("item").agg(F.count("*").alias("n_pairs"))
     asked = join_by_key(pairs, items.withColumnRenamed("text", "item_text").join(often, "item"), "item", "n_pairs").select("key", "item_id", "item_text")
@@ -200,7 +249,7 @@ def _leaks(keyed: DataFrame, benchmark: DataFrame, min_tile: int, min_coverage:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(2).take(pa.array(keep, pa.int64())), *own_cols], ["key", "item_id", "item_tokens", "covered_tokens", "coverage", "tiles"])
 
     found = materialize(texts.join(asked, "key").select("key", "text", "item_id", "item_text").mapInArrow(look, LEAKS.format(kind)), "leaks")
-    drop(seeds, hits, by_seed, pairs)
+    drop(seeds, hits, by_seed, kept, pairs)
     return found
 
 

@@ -220,6 +220,52 @@ def test_many_items_share_a_seed(spark, monkeypatch):
     assert [r["text"] for r in decontam.drop_leaks(docs, items).collect()] == [None]
 
 
+@pytest.mark.parametrize("coverage, part", [(0.5, 1000), (0.8, 2), (0.0, 3)])
+def test_leaks_against_brute_force(spark, monkeypatch, coverage, part):
+    monkeypatch.setattr(decontam, "PART", part)  # seeds are split
+    rng = random.Random(part)
+    lines = [" ".join(rng.choices("abcdefghij", k=rng.randint(4, 9))) for _ in range(6)]
+    items = [" ".join(rng.choices(lines, k=rng.randint(0, 2)) + rng.choices("abcxyz", k=rng.randint(0, 9))) for _ in range(30)]
+    items += [items[3], "a a a a a a a a a a a", None]
+    docs = [" ".join(rng.choices([*lines, *filter(None, items), "q r s", "a a a a a"], k=rng.randint(0, 4))) for _ in range(60)]
+    docs += [docs[5], None]
+    words, want = decontam._Words(), []
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            found, n = decontam.tile(decontam._ids(doc, words), decontam._ids(item, words), 5), len(decontam._TOKENS(item or ""))
+            covered = sum(t[2] for t in found)
+            if covered and covered >= coverage * n:
+                want.append((d, i, n, covered, sorted(found)))
+    docs, items = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = decontam.find_leaks(docs, items, min_coverage=coverage).collect()
+    assert len(want) > 50
+    assert sorted((r["doc_id"], r["item_id"], r["item_tokens"], r["covered_tokens"], sorted(map(tuple, r["tiles"]))) for r in got) == want
+
+
+def test_a_line_that_all_share_makes_no_pairs(spark, monkeypatch):
+    """Rows grow with the leaks, not with documents times items."""
+    rng = random.Random(5)
+    line = "this text is under the common license"
+
+    def text(k):
+        return " ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(k))
+
+    items = [(i, f"{text(7)} {line} {text(7)}") for i in range(1000)]
+    docs = [(d, f"{text(9)} {line} {text(9)}") for d in range(10_000)] + [(20_000 + i, f"{text(5)} {items[i][1]}") for i in range(20)]
+    made = {}
+
+    def counted(df, name):
+        out = materialize(df, name)
+        made[name] = out.count()
+        return out
+
+    materialize = decontam.materialize
+    monkeypatch.setattr(decontam, "materialize", counted)
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(20_000 + i, i) for i in range(20)]
+    assert made["pairs"] == 20
+
+
 # Substrings ---------------------------------------------------------------------
 
 
