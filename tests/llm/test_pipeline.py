@@ -80,4 +80,4 @@ def test_stages_keep_columns(spark, corpus):
 
 def test_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.QUERIES)
-    assert numbers == list(range(1, 11)) and set(llm.ORACLE_SQL) <= set(llm.QUERIES)
+    assert numbers == list(range(1, 14)) and set(llm.ORACLE_SQL) <= set(llm.QUERIES)
