@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 MOST_HOT = 1000
 
 
-def join_by_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def join_by_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Join ``rows`` with ``by_key``, which has one row per key and in ``count``
     how many rows of ``rows`` have that key.
 
     A key counts as hot if it has more than one in MOST_HOT of the rows that
     ``count`` adds up to: fewer than MOST_HOT keys can, so these are broadcast
     and their rows stay where they are. The others are shuffled; none of them
-    has more than that share of the rows. ``how`` is ``inner`` or ``left``."""
+    has more than that share of the rows. ``how`` is ``inner`` or ``left``. ``counts`` has the keys and counts where
+    ``by_key`` is costly to make, as it is read once more for each question; ``by_key`` then needs no counts."""
     spark = rows.sparkSession
-    total = by_key.agg(F.sum(count)).first()[0] or 0
+    counts = by_key if counts is None else counts
+    total = counts.agg(F.sum(count)).first()[0] or 0
     least = max(1000, total // MOST_HOT)
-    hot = [r[0] for r in by_key.where(F.col(count) > least).select(key).collect()]
+    hot = [r[0] for r in counts.where(F.col(count) > least).select(key).collect()]
     if not hot:
         return rows.join(by_key, key, how)
     names = spark.createDataFrame([(k,) for k in hot], by_key.select(key).schema)

@@ -13,7 +13,7 @@ Equal sets are one class throughout. In a bucket of many classes each is paired
 with the bucket's first. Once components are known, buckets that still hold several are
 compared in blocks: whoever is not of a bucket's largest component with the classes of that component,
 once for all buckets, and with the others like it; where many are close, a tree of the closest
-pairs first. So no link between components is lost and no group is expanded into all its pairs.
+pairs first, and then all that are still apart (a second tree would have the same pairs: those of the first that are no links). So no link between components is lost and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -459,7 +459,7 @@ def _across(last: bool):
 
 
 def _of_class(doubtful: set[int]):
-    """Compressed texts (cls, n, text) of (cls, n, text) whose class is the one that their id stands for, once in each task."""
+    """Compressed texts (cls, node, n, text) of (cls, node, n, text) whose class is the one that their id stands for, once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -467,14 +467,14 @@ def _of_class(doubtful: set[int]):
         shingles, seen, pack = Shingler(), set(), zstandard.ZstdCompressor(3).compress
         for batch in batches:
             rows = []
-            for cls, n, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for cls, node, n, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
                 text = text.as_py() or ""
                 a, b = class_ids(shingles(text))
                 if cls not in seen and cls == (b if a in doubtful else a):
                     seen.add(cls)
-                    rows.append((cls, n, pack(text.encode())))
-            cols = [*zip(*rows, strict=True)] if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["cls", "n", "text"])
+                    rows.append((cls, node, n, pack(text.encode())))
+            cols = [*zip(*rows, strict=True)] if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["cls", "node", "n", "text"])
 
     return run
 
@@ -495,7 +495,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = len(s) + len(t) - len(_distinct(np.concatenate([s, t])))
             ok.append(100 * both >= PERCENT * (len(s) + len(t) - both))
         keep = np.array(ok, bool)
-        yield _arrow(["a", "b"], batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep])
+        yield _arrow(["x", "y"], batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep])
 
 
 def _classes(survey: DataFrame) -> tuple[DataFrame, DataFrame, set[int]]:
@@ -549,25 +549,22 @@ def link_components(docs: DataFrame) -> DataFrame:
         one = heads.groupBy("key").agg(F.min("cls").alias("one"))
         pairs = pairs.unionByName(heads.join(one, "key").where("cls <> one").select(F.col("one").alias("a"), F.col("cls").alias("b")))
     pairs = materialize(pairs.distinct(), "pairs")
-    often = pairs.groupBy("a").agg(F.count("*").alias("often"))
-    a = info.select(F.col("cls").alias("a"), F.col("node").alias("x"), F.col("n").alias("na"), F.col("sketch").alias("sa")).join(often, "a")
+    often = materialize(pairs.groupBy("a").agg(F.count("*").alias("often")), "often")
+    a = info.select(F.col("cls").alias("a"), F.col("node").alias("x"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = info.select(F.col("cls").alias("b"), F.col("node").alias("y"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    pool = join_by_key(pairs, a, "a", "often").join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "x", "y", "na", "nb", "sa", "sb")
+    pool = join_by_key(pairs, a, "a", "often", counts=often).join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b", "x", "y", "na", "nb", "sa", "sb")
     pool = materialize(pool.mapInArrow(_sketch_pairs, "a long, b long, x long, y long, far double"), "pool")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of classes that are linked, as pairs of their documents."""
+        """Those of the pairs (a, b) of classes, all different, that are linked, as pairs of their documents."""
         both = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
         need = materialize(both.groupBy("cls").agg(F.count("*").alias("n")).join(info.select("cls", "node"), "cls"), "need")
         able = flag_among(docs, "doc_id", need.select(F.col("node").alias("doc_id")), "able").where("able")
-        texts = able.join(need.withColumnRenamed("node", "doc_id"), "doc_id").select("cls", "n", "text").mapInArrow(_of_class(doubtful), "cls long, n long, text binary")
+        texts = able.join(need.withColumnRenamed("node", "doc_id"), "doc_id").select("cls", "doc_id", "n", "text").mapInArrow(_of_class(doubtful), "cls long, node long, n long, text binary")
         texts = materialize(texts.dropDuplicates(["cls"]), "texts")
-        for c in "ab":
-            pairs = join_by_key(pairs, texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"), F.col("n").alias(f"n_{c}")), c, f"n_{c}")
-        linked = pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long").distinct()
         for c, node in (("a", "x"), ("b", "y")):
-            linked = linked.join(need.select(F.col("cls").alias(c), F.col("node").alias(node)), c)
-        out = materialize(linked.select("x", "y"), "links")
+            pairs = join_by_key(pairs, texts.select(F.col("cls").alias(c), F.col("node").alias(node), F.col("text").alias(f"text_{c}"), F.col("n").alias(f"n_{c}")), c, f"n_{c}")
+        out = materialize(pairs.select("x", "y", "text_a", "text_b").mapInArrow(_verify, "x long, y long"), "links")
         drop(need, texts)
         return out
 
@@ -585,30 +582,32 @@ def link_components(docs: DataFrame) -> DataFrame:
         drop(joins, moved)
         return out
 
-    # The closest pair of each class first; then what is still apart.
+    # The closest pair of each class first; what is still apart is verified with what the first comparison of blocks finds.
     closest = materialize(pool.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b"), "closest")
     roots = materialize(components(verified(closest).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
     apart = rooted(rooted(pool.join(closest, ["a", "b"], "left_anti"), roots, "x", "rx"), roots, "y", "ry").where("rx <> ry")
     apart = materialize(apart.select("a", "b"), "apart")
-    roots = merged(roots, verified(apart))
-    tested = closest.select("a", "b").unionByName(apart)
+    tested = closest.select("a", "b")
 
     # Buckets that hold several components, one of those with the same members.
     rows_of = met.where("tag = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"))
     sets = rows_of.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("cls")).alias("h"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("g"))
     canon = sets.groupBy("h", "g", "m").agg(F.min("key").alias("key")).select("key", "m")
     canon = materialize(canon, "canon")
-    once = materialize(join_by_key(rows_of, canon, "key", "m").drop("m").join(info.select("cls", "node"), "cls"), "buckets")
+    once = join_by_key(rows_of, canon, "key", "m").drop("m").join(info.select("cls", "node"), "cls")
     # Two classes that meet in a bucket after the same one have met there, in the end in the first one that both have.
     before = F.lag("key").over(W.partitionBy("cls").orderBy("key"))
     bucket = materialize(once.withColumn("before", before), "buckets")
-    drop(met, pool, pairs, counted, canon, once)
+    drop(met, pool, pairs, often, counted, canon)
     shape = ("kind", "key", "i", "j", "own", "cls", "root")
-    for last in (False, False, True):
+    for last in (False, True):
         members = materialize(rooted(bucket, roots, "node", "root"), "members")
         sizes = members.groupBy("key", "root").agg(F.count("*").alias("m"))
         mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("m", -F.col("root"))).alias("most"), F.sum("m").alias("m"), F.count("*").alias("roots")).where("roots > 1")
         mixed = materialize(mixed, "mixed")
+        if last and mixed.isEmpty():
+            drop(members, mixed, bucket)
+            break
         held = materialize(join_by_key(members, mixed, "key", "m").select("key", "cls", "root", "most", "before"), "held")
         drop(members, mixed)
         # Who isn't of a bucket's largest component meets that component's classes, once however many buckets say so,
@@ -633,7 +632,9 @@ def link_components(docs: DataFrame) -> DataFrame:
         spread = dealt.select(*shape).unionByName(guests.select(*shape)).unionByName(parts.select(*shape)).join(info.select("cls", "n", "sketch"), "cls").select(*shape, "n", "sketch")
         met_again = spread.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j").mapInArrow(_across(last), "again int, a long, b long")
         late = materialize(met_again, "late")
-        fresh = materialize(late.where("again < 0").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        fresh = late.where("again < 0").select("a", "b")
+        fresh = fresh if last else fresh.unionByName(apart)
+        fresh = materialize(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
         if not fresh.isEmpty():
             roots = merged(roots, verified(fresh))
             tested = tested.unionByName(fresh)
@@ -649,7 +650,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         drop(held, late, some, whole)
     of_class = known.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cls", "n_rows", F.coalesce("root", "doc_id").alias("component_id"))
     of_class = of_class.unionByName(classes.where("doc_id is null").select("cls", "n_rows", F.col("doc_id").alias("component_id")))
-    found = join_by_key(rows.where("n > 0").select("doc_id", "cls", "n"), of_class, "cls", "n_rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = join_by_key(rows.where("n > 0").select("doc_id", "cls", "n"), of_class, "cls", "n_rows", counts=classes).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 

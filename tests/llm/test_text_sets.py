@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docindex.llm import decontam, ngram_join, substring
+from docindex.llm import decontam, graph, ngram_join, substring
 from docindex.llm.graph import components
 
 from .helpers import EDGES, documents, saved
@@ -150,6 +150,31 @@ def test_components(spark):
     assert {k: v for k, v in root.items() if k in got} == got and all(near[k] == {k} for k in root.keys() - got.keys())
 
 
+def test_stars_need_no_step(spark, monkeypatch):
+    made, real = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: made.append(name) or real(df, name))
+    got = components(spark.createDataFrame([(1, 5), (1, 3), (9, 1), (20, 21), (7, 7)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (3, 1), (5, 1), (9, 1), (20, 20), (21, 20)]
+    assert made == ["edges"]
+
+
+def test_blocks_are_compared_twice_at_most(spark, monkeypatch):
+    """What a tree of the closest pairs has left apart is compared in full, without a second tree."""
+    rng, base = random.Random(19), ["b%d" % n for n in range(150)]
+    rows = []
+    for n in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            t[rng.randrange(len(t))] = "w%d" % rng.randrange(10**6)
+        rows.append((n, " ".join(t)))
+    made, real = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: made.append(name) or real(df, name))
+    monkeypatch.setattr(ngram_join, "EACH", 0)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_components(documents(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert 1 <= made.count("late") <= 2
+
+
 # Decontamination ----------------------------------------------------------------
 
 
