@@ -253,6 +253,18 @@ def _longest(first: str, last: str, left: str, right: str, min_words: int) -> Co
     return F.when((left >= BESIDE) | (right >= BESIDE), F.greatest(F.lit(min_words), inner)).otherwise(F.greatest(inner + left + right, left, right))
 
 
+def _firsts(some: DataFrame) -> DataFrame:
+    """(key, check, o): where each repeated unit is first. One row for each, whatever the number of its repeats."""
+    place = ("doc_id", "start", "first", "last", "before", "after")
+    return some.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("o")).where("n > 1").drop("n")
+
+
+def _repeats(some: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The units of ``some`` that occurred before, each in one row with its first occurrence. All units go through one join, so that it makes
+    at most as many rows as there are units; where a unit has very many repeats, Spark splits their partition, as the rows of ``firsts`` fit each part."""
+    return some.join(firsts, ["key", "check"]).where("not (doc_id = o.doc_id and start = o.start)")
+
+
 _LEFT, _RIGHT = 0, 1
 
 
@@ -334,10 +346,8 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = units(docs).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     known = docs.sparkSession.sparkContext.broadcast(map_of_bits(again, "key"))
     some = materialize(units(docs, known, min_words), "units")
-    place = ("doc_id", "start", "first", "last", "before", "after")
-    firsts = some.groupBy("key", "check").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("o")).where("n > 1")
-    firsts = materialize(firsts.withColumn("both", F.struct("key", "check")).select("both", "n", "o"), "firsts")
-    hits = join_by_key(some.withColumn("both", F.struct("key", "check")), firsts, "both", "n").where("not (doc_id = o.doc_id and start = o.start)")
+    firsts = materialize(_firsts(some), "firsts")
+    hits = _repeats(some, firsts)
     left = F.least(_agreeing(F.col("before"), F.col("o.before")), F.col("first") + 1)
     right = _agreeing(F.col("after"), F.col("o.after"))
     origin = F.struct("o.doc_id", "o.start", "o.first", "o.last").alias("o")

@@ -441,3 +441,27 @@ def test_units_whatever_the_white_space():
     few[key >> 3] = 1 << (key & 7)
     assert len(substring._units(digests, texts[0].encode(), few, 1)[0]) == 1
     assert substring._units(digests, texts[0].encode(), few, substring.MIN_WORDS) is None
+
+
+def test_a_unit_with_very_many_repeats(spark):
+    """All units go through one join, which makes a row for each repeat; Spark deals out those of one unit."""
+    n = 60_000
+    unit = lambda k: [f"{k} as key", "7L as check", "id as doc_id", "5L as start", "90L as end", "1L as first", "12L as last", "0L as before", "0L as after"]
+    rows = spark.range(n).selectExpr(*unit("if(id % 3 = 0, 2 * id, 1L)")).unionByName(spark.range(n, n + 3000).selectExpr(*unit("3 * (id % 1000) + 10000000L")))
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "100000", "adaptive.advisoryPartitionSizeInBytes": "100000", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for k, v in small.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        some = substring.materialize(rows.repartition(16), "units")
+        firsts = substring.materialize(substring._firsts(some), "firsts")
+        got = substring._repeats(some, firsts)
+        assert firsts.count() == 1001
+        plan = got._jdf.queryExecution().toString()
+        assert "Union" not in plan.split("== Physical Plan ==")[1]
+        parts = {(r["key"], r["o"]["doc_id"], r["part"]): r["count"] for r in got.groupBy("key", "o", F.spark_partition_id().alias("part")).count().collect()}
+    finally:
+        for k in small:
+            spark.conf.unset(f"spark.sql.{k}")
+    hot = [c for (key, first, _), c in parts.items() if key == 1 and first == 1]
+    assert sum(hot) == n * 2 // 3 - 1 and len(hot) > 1
+    assert sum(parts.values()) == sum(hot) + 2000
