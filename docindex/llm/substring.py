@@ -370,7 +370,8 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ends = _exact_ends(docs, side(_LEFT, "a.first", "a.o.first", "left").unionByName(side(_RIGHT, "z.last", "z.o.last", "right")))
     total = lambda n: F.coalesce(F.max(F.when(F.col("side") == n, F.col("total"))), F.lit(0))
     ends = ends.groupBy("run").agg(total(_LEFT).alias("left"), total(_RIGHT).alias("right"))
-    runs = runs.drop("left", "right").join(ends, "run")
+    # Where units start and end within words that differ, no words beside them were asked for.
+    runs = runs.drop("left", "right").join(ends, "run", "left").fillna(0, ["left", "right"])
     first, last = F.col("a.first") - F.col("left") + 1, F.col("z.last") + F.col("right")
     runs = runs.select(F.col("run.doc_id").alias("doc_id"), "start", "end", first.alias("first_word"), (last - first).alias("n_words"), "n_units", F.col("a.o.doc_id").alias("source_doc_id"))
     found = runs.where(F.col("n_words") >= min_words)

@@ -465,3 +465,14 @@ def test_a_unit_with_very_many_repeats(spark):
     hot = [c for (key, first, _), c in parts.items() if key == 1 and first == 1]
     assert sum(hot) == n * 2 // 3 - 1 and len(hot) > 1
     assert sum(parts.values()) == sum(hot) + 2000
+
+
+def test_repeats_in_a_large_group(spark):
+    """In a large group some documents share parts of words on both sides of the passage with others, so that units start and end within words; they repeat it, too."""
+    every = iter(random.Random(4).sample(range(99_999), 20_000))  # no word is there twice but those of the passage
+    say = lambda n: " ".join("w%d" % next(every) for _ in range(n))
+    shared = say(60)
+    rows = [(i, f"{say(3)} {shared} {say(4)}") for i in range(1500)] + [(9000 + i, say(70)) for i in range(50)]
+    got = substring.find_passages(documents(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(1, 1500)]
+    assert all(r["source_doc_id"] < r["doc_id"] and (r["first_word"], r["n_words"]) == (3, 60) for r in got)
