@@ -22,10 +22,10 @@ def join_by_key(rows: DataFrame, by_key: DataFrame, key: str, count: str, how: s
     counts = by_key if counts is None else counts
     total = counts.agg(F.sum(count)).first()[0] or 0
     least = max(1000, total // MOST_HOT)
-    hot = [r[0] for r in counts.where(F.col(count) > least).select(key).collect()]
-    if not hot:
+    hot = counts.where(F.col(count) > least).select(key).toArrow()  # a list of keys would go through Python workers of another kind, which stay beside those of the tasks
+    if not hot.num_rows:
         return rows.join(by_key, key, how)
-    names = spark.createDataFrame([(k,) for k in hot], by_key.select(key).schema)
+    names = spark.createDataFrame(hot, by_key.select(key).schema)
     is_hot = F.broadcast(names.withColumn("_hot", F.lit(True)))
     marked = rows.join(is_hot, key, "left")
     few = F.broadcast(by_key.join(F.broadcast(names), key, "left_semi"))
