@@ -30,7 +30,7 @@ class _Words(dict):
     """Ids of words as bytes, encoded when first seen."""
 
     #: Distinct words held at most, about 150 bytes each.
-    KEPT = 500_000
+    KEPT = 200_000
 
     def __init__(self, model):
         super().__init__()
@@ -170,7 +170,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     attach(spark)
     counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # a row per length
     runs = {n: np.array(r, np.int64).reshape(-1, 4) for n, r in plan_best_fit(counts, capacity).items()}
-    share = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()] or [(0, 1)], "length long, parts long")
+    # As an Arrow table it needs no Python worker; a list goes through workers of another kind, which stay beside those of the tasks.
+    share = spark.createDataFrame(pa.table([pa.array([*c], pa.int64()) for c in zip(*((n, -(-c // RANKED)) for n, c in (counts or {0: 1}).items()), strict=True)], ["length", "parts"]))
     cols = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     rows = pieces.select(F.struct(*cols).alias("row"), "length", F.struct("doc_id", "piece", "ids_crc32").alias("key"))
     dealt = rows.join(F.broadcast(share), "length").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("parts")

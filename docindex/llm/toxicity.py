@@ -33,6 +33,10 @@ LEAST = 3
 SHARE = 0.02
 #: Chance that any feature at all is taken for certain though it is no more frequent in toxic documents.
 ALPHA = 0.05
+#: Features whose counts a task holds at once, but for those of one document.
+COUNTED = 50_000
+#: Words whose weights a task keeps.
+KEPT = 100_000
 
 
 def features(word: str) -> list[str]:
@@ -52,7 +56,7 @@ class Model:
         empty = soft_plus(bias)
 
         def weight(word: str) -> float:
-            if len(seen) > 500_000:
+            if len(seen) > KEPT:
                 seen.clear()
             seen[word] = w = sum(weights.get(f, 0.0) for f in features(word))
             return w
@@ -84,13 +88,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and clean documents a feature is, in parts: a feature may have several rows, which Spark sums."""
     clean: Counter = Counter()
     toxic: Counter = Counter()
+
+    def part() -> pa.RecordBatch:
+        words = [*(toxic.keys() | clean.keys())]
+        out = pa.RecordBatch.from_pydict({"feature": pa.array(words, pa.string()), "n1": pa.array([toxic[w] for w in words], pa.int64()), "n0": pa.array([clean[w] for w in words], pa.int64())})
+        toxic.clear()
+        clean.clear()
+        return out
+
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1), strict=True):
             (toxic if label.as_py() else clean).update({f for w in {*_WORD((text.as_py() or "").lower())} for f in features(w)})
-    words = [*(toxic.keys() | clean.keys())]
-    yield pa.RecordBatch.from_pydict({"feature": pa.array(words, pa.string()), "n1": pa.array([toxic[w] for w in words], pa.int64()), "n0": pa.array([clean[w] for w in words], pa.int64())})
+            if len(toxic) + len(clean) > COUNTED:
+                yield part()
+    yield part()
 
 
 def _surprise(n1: Column, n0: Column, share: float) -> Column:

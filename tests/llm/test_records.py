@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,15 @@ def test_encoder_is_the_tokenizer(tokenizer):
         assert encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_lengths_need_no_python_workers_of_their_own(spark):
+    """A table made from a list comes out of Python workers of another kind than those of the tasks; both kinds stay in memory."""
+    pieces = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "1 + id % 7 as length", "id as ids_crc32")
+    out = packing.pack(pieces, 8)
+    assert "ExistingRDD" not in out._jdf.queryExecution().toString()
+    full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert out.count() == 5000 and full.where("n <> end or n > 8").isEmpty()
+
+
 def test_packing(spark, tmp_path, tokenizer):
     path, plain = tokenizer
     rng = random.Random(7)
@@ -128,6 +138,26 @@ def test_toxicity(spark, tmp_path):
     assert toxicity.score_toxicity(documents(spark, EDGES), none).agg(F.max("score")).first()[0] < 1e-9
 
 
+def test_features_are_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "COUNTED", 500)
+    rng = random.Random(5)
+    rows = [(" ".join(f"{rng.choice('abcdef')}{chr(97 + rng.randrange(26))}{chr(97 + n % 26)}x" for _ in range(20)), n % 3 == 0) for n in range(400)]
+    batches = [pa.RecordBatch.from_pydict({"text": [r[0] for r in part], "toxic": [r[1] for r in part]}) for part in (rows[:150], rows[150:])]
+    got, sizes = {}, []
+    for batch in toxicity._counts(iter(batches)):
+        sizes.append(batch.num_rows)
+        for r in batch.to_pylist():
+            a, b = got.get(r["feature"], (0, 0))
+            got[r["feature"]] = (a + r["n1"], b + r["n0"])
+    want = {}
+    for text, toxic in rows:
+        for f in {f for w in set(text.split()) for f in toxicity.features(w)}:
+            a, b = want.get(f, (0, 0))
+            want[f] = (a + toxic, b + (not toxic))
+    assert got == want and len(want) > 1000
+    assert len(sizes) > 2 and max(sizes) <= 500 + 20 * 4
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     rows = [(n, f"t{n % 3} word") for n in range(200)]
     labels = [(n, int(n % 3 == 0)) for n in range(200)]
