@@ -78,6 +78,23 @@ def test_stages_keep_columns(spark, corpus):
         assert stage(spark, docs.limit(0), corpus[2]).count() == 0
 
 
+def test_batches_are_bounded(spark, tmp_path):
+    """Also those of few long texts; a session's own bound stays."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = documents(spark, [(i, "abcd efgh " * 40_000) for i in range(20)]).drop("key").coalesce(1)
+    saved(tmp_path, spark.createDataFrame([], "doc_id long, toxic int"), "labels")
+    saved(tmp_path, spark.createDataFrame([], "item_id long, text string"), "benchmark")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset(bound)
+        stage(spark, docs.limit(0), str(tmp_path))
+        sizes = docs.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) > 8_000_000 and max(r.n for r in sizes) < 2_000_000
+    spark.conf.set(bound, "3m")
+    corpus_pipeline.bound_batches(spark)
+    assert spark.conf.get(bound) == "3m"
+    spark.conf.unset(bound)
+
+
 def test_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.QUERIES)
     assert numbers == list(range(1, 14)) and set(llm.ORACLE_SQL) <= set(llm.QUERIES)
