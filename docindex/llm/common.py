@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..joins import MOST_HOT, join_by_key, spare  # noqa: F401
-from ..session import attach, drop, load_table, materialize, new_path, shared_dir  # noqa: F401
+from ..session import attach, brief_shuffles, drop, load_table, materialize, new_path, shared_dir  # noqa: F401
 
 #: Rows of text per Arrow batch of the queries.
 TEXT_BATCH = 1000

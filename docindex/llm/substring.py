@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import MAP_BITS, attach, drop, flag_among, join_by_key, load, map_of_bits, materialize, spare
+from .common import MAP_BITS, attach, brief_shuffles, drop, flag_among, join_by_key, load, map_of_bits, materialize, spare
 
 #: Bytes: neighbours on either side among which a border has the least hash, and most in a chunk.
 NEAR, MOST = 10, 512
@@ -326,18 +326,9 @@ def _exact_ends(docs: DataFrame, sides: DataFrame) -> DataFrame:
     return out.groupBy("run", "side").agg(F.max("total").alias("total"))
 
 
-def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages of at least ``min_words`` words of ``docs`` (doc_id, text) that occurred before:
-
-    doc_id, start, end (code points, end exclusive: the whole chunks in it), first_word,
-    n_words (the passage itself, its first word counted from 0), n_units and source_doc_id,
-    where the first of its units was found first. Of documents with equal texts all but the one with the
-    smallest doc_id are a passage each. Rows with one doc_id count as one document, and a
-    document may repeat itself. Null ids and texts have none.
-
-    Words are runs without ASCII white space; letters of scripts without spaces count as words."""
-    attach(docs.sparkSession)
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+def _tables(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of documents with equal texts all but the first; rows of repeats that overlap and may make a passage; how many words agree at
+    both ends of these. Every step ends in a table."""
     whole = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").cast("long").alias("size"))
     same = whole.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("source_doc_id")).where("n > 1")
     copies = join_by_key(whole, materialize(same, "same"), "digest", "n").where("doc_id <> source_doc_id")
@@ -367,7 +358,23 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     known.unpersist()
     word = lambda doc, at, side: F.struct(F.col(doc).alias("doc_id"), F.col(at).alias("word"), F.lit(side).alias("side"))
     side = lambda n, mine, other, ask: runs.select("run", F.lit(n).alias("side"), word("run.doc_id", mine, n).alias("mine"), word(f"{other[0]}.o.doc_id", other, n).alias("other"), F.col(ask).cast("long").alias("ask")).where("ask > 0")
-    ends = _exact_ends(docs, side(_LEFT, "a.first", "a.o.first", "left").unionByName(side(_RIGHT, "z.last", "z.o.last", "right")))
+    return copies, runs, _exact_ends(docs, side(_LEFT, "a.first", "a.o.first", "left").unionByName(side(_RIGHT, "z.last", "z.o.last", "right")))
+
+
+def find_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Passages of at least ``min_words`` words of ``docs`` (doc_id, text) that occurred before:
+
+    doc_id, start, end (code points, end exclusive: the whole chunks in it), first_word,
+    n_words (the passage itself, its first word counted from 0), n_units and source_doc_id,
+    where the first of its units was found first. Of documents with equal texts all but the one with the
+    smallest doc_id are a passage each. Rows with one doc_id count as one document, and a
+    document may repeat itself. Null ids and texts have none.
+
+    Words are runs without ASCII white space; letters of scripts without spaces count as words."""
+    attach(docs.sparkSession)
+    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    with brief_shuffles(docs.sparkSession):
+        copies, runs, ends = _tables(docs, min_words)
     total = lambda n: F.coalesce(F.max(F.when(F.col("side") == n, F.col("total"))), F.lit(0))
     ends = ends.groupBy("run").agg(total(_LEFT).alias("left"), total(_RIGHT).alias("right"))
     # Where units start and end within words that differ, no words beside them were asked for.

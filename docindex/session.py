@@ -6,6 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +71,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is made within it loses its shuffle files as soon as it has been executed (Spark 4.1 and later), not when the driver's JVM happens to collect
+    its garbage. For steps that are executed once, such as tables to materialize; what the caller gets to execute is made outside."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder wherever Spark can reach it; PySpark has no call of its own for that."""
     at, system = _system(spark, path)

@@ -1,6 +1,8 @@
 import random
 import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -476,3 +478,33 @@ def test_repeats_in_a_large_group(spark):
     got = substring.find_passages(documents(spark, rows)).collect()
     assert sorted(r["doc_id"] for r in got) == [*range(1, 1500)]
     assert all(r["source_doc_id"] < r["doc_id"] and (r["first_word"], r["n_words"]) == (3, 60) for r in got)
+
+
+def test_shuffle_files_of_steps_go(spark):
+    """Disk doesn't hang on when the driver collects its garbage: each step's shuffle files go when its table is there. Those that the caller made stay, and so do those of the result."""
+    there = lambda: {p.name for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    rng = random.Random(5)
+    text = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    shared = text(80)
+    rows = [(i, f"{text(30)} {shared} {text(20)}") for i in range(40)]
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    docs = documents(spark, rows).repartition(3, "doc_id").persist()
+    before = there()
+    docs.write.format("noop").mode("overwrite").save()
+    own = there() - before
+    found = substring.find_passages(docs)
+    until = time.time() + 20
+    while (left := there() - before - own) and time.time() < until:  # Spark deletes them in the background
+        time.sleep(0.2)
+    assert not left
+    assert own and own <= there()
+    assert spark.conf.get(setting) == was
+    first = sorted(found.collect())
+    assert there() - before - own
+    assert sorted(found.collect()) == first and [r["doc_id"] for r in first] == [*range(1, 40)]
+    docs.unpersist()
+    with pytest.raises(ZeroDivisionError), substring.brief_shuffles(spark):
+        assert spark.conf.get(setting) == "true"
+        _ = 1 / 0
+    assert spark.conf.get(setting) == was
